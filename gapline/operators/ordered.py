@@ -63,6 +63,10 @@ class Ordered:
     def with_columns(self, cols: dict[str, Column]) -> "Ordered":
         return self.with_df(self.df.withColumns(cols))
 
+    def finer(self, by) -> "Ordered":
+        """The same rows and parts under finer groups, each contiguous in the order."""
+        return replace(self, by=tuple(by))
+
     def result(self) -> DataFrame:
         return self.df.drop(PART, ALL)
 
@@ -237,13 +241,20 @@ class Ordered:
         return self.with_df(joined.withColumns({out: mean(out) for out in outs}).drop("_near", "_tail", "_last"))
 
 
-def arrange(df: DataFrame, by, order, max_rows: int = MAX_GROUP_ROWS) -> Ordered:
+def arranged(df, by, order, max_rows: int = MAX_GROUP_ROWS) -> Ordered:
+    """``arrange`` for a frame; an ``Ordered`` keeps its parts and takes finer groups."""
+    return df.finer(by) if isinstance(df, Ordered) else arrange(df, by, order, max_rows)
+
+
+def arrange(df: DataFrame, by, order, max_rows: int = MAX_GROUP_ROWS, rows_known: int | None = None) -> Ordered:
     """Prepare ordered computations over groups ``by`` in the order ``order``.
 
     One light aggregate over the key and order columns tells whether any group is
     above ``max_rows``. If none is, the frame stays as it is. Otherwise a hot group
     is cut by equal widths of the first order column that varies in it, again for
     parts which are still too big, up to three levels. The order must be total.
+    ``rows_known`` is a row count the caller already has; within the bound it saves
+    the check.
     """
     by, order = tuple(by), tuple(order)
     if not by:
@@ -251,6 +262,8 @@ def arrange(df: DataFrame, by, order, max_rows: int = MAX_GROUP_ROWS) -> Ordered
         by = (ALL,)
 
     split, total_parts = False, 0
+    if rows_known is not None and rows_known <= max_rows:
+        return Ordered(df, by, order, split, total_parts)
     for _ in range(_LEVELS):
         keys = list(by) + ([PART] if split else [])
         stats, n_groups, n_parts = _hot_groups(df, keys, order, max_rows)
