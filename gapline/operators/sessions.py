@@ -89,6 +89,19 @@ def start_gap_sessions(
     return line.with_df(line.df.drop("_prev", "_new"))
 
 
+def session_totals(line: Ordered) -> DataFrame:
+    """First and last start, games and P/L per session of an ordered frame.
+
+    Plain merging aggregates, so a hot player or session is no burden.
+    """
+    return line.df.groupBy(*line.by, "session_id").agg(
+        F.min("created_at_ms").alias("session_start_ms"),
+        F.max("created_at_ms").alias("last_start_ms"),
+        F.count(F.lit(1)).alias("n_games"),
+        F.sum("rating_diff").alias("session_pl"),
+    )
+
+
 def loss_streak(line: Ordered, per_session: bool = False) -> Ordered:
     """Length of the running loss streak.
 

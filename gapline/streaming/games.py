@@ -17,15 +17,24 @@ def game_stream(spark: SparkSession, folder: str, schema: T.StructType, files_pe
 
 
 def ingest(
-    stream: DataFrame, table: str, checkpoint: str, key: str = "id", created: str = "createdAt", once: bool = True
+    stream: DataFrame,
+    table: str,
+    checkpoint: str,
+    key: str = "id",
+    created: str = "createdAt",
+    created_is_fixed: bool = False,
+    once: bool = True,
 ):
     """Append each game once, however often batches overlap and however late it comes.
 
     The table is stored by creation day. A batch keeps its first row per key and
-    drops keys the table has, looking only at the days of the batch. Replaying a
-    batch after a failure finds its rows already there, so the result is the same.
+    drops keys the table has. Replaying a batch after a failure finds its rows
+    already there, so the result is the same. Where copies of a game always carry
+    the same creation time, ``created_is_fixed`` limits the look-up to the days of
+    the batch, which prunes the table's partitions.
     """
     spark = stream.sparkSession
+    match = [DAY, key] if created_is_fixed else [key]
 
     def append(batch: DataFrame, _batch_id: int) -> None:
         day = F.to_date(F.timestamp_millis(F.coalesce(F.col(created), F.lit(0))))
@@ -33,8 +42,8 @@ def ingest(
         path = spark._jvm.org.apache.hadoop.fs.Path(table)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(path):
-            known = spark.read.schema(fresh.schema).parquet(table).select(DAY, key)
-            fresh = fresh.join(known, [DAY, key], "left_anti")
+            known = spark.read.schema(fresh.schema).parquet(table).select(*match)
+            fresh = fresh.join(known, match, "left_anti")
         fresh.write.mode("append").partitionBy(DAY).parquet(table)
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
