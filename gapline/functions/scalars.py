@@ -91,37 +91,80 @@ def seconds_per_move(created: Column, last: Column, moves: Column) -> Column:
     return F.greatest(F.lit(0.0), span) / pairs
 
 
-def timeline_summary(evals: Column, side: Column) -> Column:
+ENGINE_FIELDS = [
+    "my_acpl",
+    "my_blunder_count",
+    "my_mistake_count",
+    "my_inaccuracy_count",
+    "largest_eval_drop_cp",
+    "avg_eval_drop_cp",
+    "eval_volatility",
+    "threw_winning_position",
+]
+
+
+def timeline_summary(evals: Column, side: Column, source: Column | None = None) -> Column:
     """Struct of loss statistics over an array of evaluations, one per ply.
 
-    Built from array functions on the row itself: no explode, so no shuffle.
+    One pass of an array aggregate on the row itself: no explode, so no shuffle.
+    Sums are whole numbers, so the deviation has no rounding until its root.
     """
+    sign = F.when(side == "white", 1).otherwise(-1)
     own = F.when(side == "white", 1).otherwise(0)
-    signed = F.transform(evals, lambda cp: F.when(side == "white", cp).otherwise(-cp))
-    plies = F.when(F.size(evals) > 1, F.sequence(F.lit(1), F.size(evals) - 1)).otherwise(F.array().cast("array<int>"))
-    steps = F.transform(
-        F.filter(plies, lambda p: p % 2 == own),
-        lambda p: F.struct(F.get(signed, p - 1).alias("before"), F.get(signed, p).alias("after")),
-    )
-    losses = F.transform(steps, lambda s: F.greatest(F.lit(0), s["before"] - s["after"]))
-    n_own, n_all = F.size(losses), F.size(signed)
-    total = F.aggregate(losses, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    acpl = F.coalesce(F.try_divide(total.cast("double"), n_own), F.lit(0.0))
-    mean = F.try_divide(F.aggregate(signed, F.lit(0).cast("long"), lambda acc, x: acc + x).cast("double"), n_all)
-    squares = F.aggregate(signed, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    count = lambda limit: F.size(F.filter(losses, lambda x: x >= limit))
-    thrown = F.exists(steps, lambda s: (s["before"] >= WINNING_CP) & (s["after"] < THROWN_CP))
-    return F.struct(
-        acpl.alias("my_acpl"),
-        count(BLUNDER_CP).alias("my_blunder_count"),
-        count(MISTAKE_CP).alias("my_mistake_count"),
-        count(INACCURACY_CP).alias("my_inaccuracy_count"),
-        F.coalesce(F.array_max(losses).cast("double"), F.lit(0.0)).alias("largest_eval_drop_cp"),
-        acpl.alias("avg_eval_drop_cp"),
-        F.coalesce(F.sqrt(F.try_divide(squares, n_all)), F.lit(0.0)).alias("eval_volatility"),
-        thrown.cast("int").alias("threw_winning_position"),
+    long0, int0 = F.lit(0).cast("long"), F.lit(0)
+    counters = ["inaccuracies", "mistakes", "blunders", "thrown", "losses"]
+    start = F.struct(
+        F.lit(-1).alias("ply"),
+        int0.alias("before"),
+        *[int0.alias(c) for c in counters],
+        int0.alias("largest"),
+        long0.alias("lost"),
+        long0.alias("total"),
+        long0.alias("squares"),
     )
 
+    def step(acc: Column, cp: Column) -> Column:
+        ply = acc["ply"] + 1
+        now = cp * sign
+        mine = (ply > 0) & (ply % 2 == own)
+        loss = F.when(mine, F.greatest(int0, acc["before"] - now)).otherwise(-1)
+        limits = {"inaccuracies": INACCURACY_CP, "mistakes": MISTAKE_CP, "blunders": BLUNDER_CP, "losses": 0}
+        thrown = mine & (acc["before"] >= WINNING_CP) & (now < THROWN_CP)
+        return F.struct(
+            ply.alias("ply"),
+            now.alias("before"),
+            *[
+                (
+                    F.greatest(acc[c], thrown.cast("int"))
+                    if c == "thrown"
+                    else acc[c] + (loss >= limits[c]).cast("int")
+                ).alias(c)
+                for c in counters
+            ],
+            F.greatest(acc["largest"], loss).alias("largest"),
+            (acc["lost"] + F.greatest(int0, loss)).alias("lost"),
+            (acc["total"] + now).alias("total"),
+            (acc["squares"] + now.cast("long") * now).alias("squares"),
+        )
+
+    def finish(acc: Column) -> Column:
+        n = (acc["ply"] + 1).cast("long")
+        acpl = F.coalesce(F.try_divide(acc["lost"].cast("double"), acc["losses"]), F.lit(0.0))
+        spread = (n * acc["squares"] - acc["total"] * acc["total"]).cast("double")
+        fields = [
+            acpl.alias("my_acpl"),
+            acc["blunders"].alias("my_blunder_count"),
+            acc["mistakes"].alias("my_mistake_count"),
+            acc["inaccuracies"].alias("my_inaccuracy_count"),
+            acc["largest"].cast("double").alias("largest_eval_drop_cp"),
+            acpl.alias("avg_eval_drop_cp"),
+            F.coalesce(F.sqrt(F.try_divide(spread, n * n)), F.lit(0.0)).alias("eval_volatility"),
+            acc["thrown"].alias("threw_winning_position"),
+        ]
+        return F.struct(*fields, *([source.alias("engine_source")] if source is not None else []))
+
+    return F.aggregate(evals, start, step, finish)
+
 
 # An analysis with none of these is an empty document, which counts as absent.
 _ANALYSIS_FIELDS = ["acpl", "blunder", "blunders", "mistake", "mistakes", "inaccuracy", "inaccuracies"]
@@ -151,26 +194,10 @@ def engine_summary(analysis: Column, white: Column, black: Column, side: Column,
         none_i.alias("threw_winning_position"),
         F.lit(SOURCE_REUSED).alias("engine_source"),
     )
-    derived = timeline_summary(evals, side)
-    computed = F.struct(
-        *[derived[f].alias(f) for f in ENGINE_FIELDS],
-        F.lit(SOURCE_COMPUTED).alias("engine_source"),
-    )
+    computed = timeline_summary(evals, side, F.lit(SOURCE_COMPUTED))
     return F.when(supplied, reused).when(F.size(evals) > 0, computed)
 
 
-ENGINE_FIELDS = [
-    "my_acpl",
-    "my_blunder_count",
-    "my_mistake_count",
-    "my_inaccuracy_count",
-    "largest_eval_drop_cp",
-    "avg_eval_drop_cp",
-    "eval_volatility",
-    "threw_winning_position",
-]
-
-
 def engine_defaults(engine: Column) -> dict[str, Column]:
     """Missing engine numbers become 0, a missing source becomes ``unknown``."""
     out = {f: F.coalesce(engine[f].cast("double"), F.lit(0.0)) for f in ENGINE_FIELDS[:-1]}

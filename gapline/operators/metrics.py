@@ -34,8 +34,9 @@ def ranking_scores(df: DataFrame, label: str, score: str, by=(), max_rows: int =
     steps = df.groupBy(*keys, score).agg(
         F.sum(pos).cast("long").alias("_p"), F.sum(1 - pos).cast("long").alias("_n")
     )
-    line = arrange(steps, keys, [score], max_rows).scan({"_np": ("sum", "_n")})
-    line = line.scan({"_tp": ("sum", "_p"), "_fp": ("sum", "_n")}, reverse=True)
+    line = arrange(steps, keys, [score], max_rows).scan(
+        {"_np": ("sum", "_n"), "_tp": ("rev_sum", "_p"), "_fp": ("rev_sum", "_n")}
+    )
     p, n = F.sum("_p"), F.sum("_n")
     below = F.col("_np") - F.col("_n")
     wins = F.sum(F.col("_p") * (below + F.col("_n") / 2.0))

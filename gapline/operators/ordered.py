@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapline.runtime import BROADCAST_ROWS
+from gapline.runtime import BROADCAST_ROWS, cut_lineage
 
 MAX_GROUP_ROWS = 2_000_000
 PART = "_part"
@@ -24,6 +24,9 @@ ALL = "_all"
 _LEVELS = 3
 _OVERSPLIT = 4
 _LEVEL_SHIFT = 1 << 20
+# A cut frame is used twice by every scan, as rows and for its carry. Fixing it
+# after this many scans keeps the plan from doubling on and on.
+_SCANS_PER_CUT = 2
 
 Spec = tuple  # (kind, column name) or (kind,)
 
@@ -47,6 +50,7 @@ class Ordered:
     order: tuple[str, ...]
     split: bool
     parts: int = 0
+    scans: int = 0
 
     # ------------------------------------------------------------ helpers
     def _keys(self, by) -> list[str]:
@@ -70,36 +74,49 @@ class Ordered:
     def result(self) -> DataFrame:
         return self.df.drop(PART, ALL)
 
+    def _stepped(self, df: DataFrame) -> "Ordered":
+        """Count a scan over parts; every second one is written to the shared folder.
+
+        The written rows keep their hash partitioning, so the next window reads
+        them without another shuffle.
+        """
+        if self.scans + 1 < _SCANS_PER_CUT:
+            return replace(self, df=df, scans=self.scans + 1)
+        return replace(self, df=cut_lineage(df), scans=0)
+
     # --------------------------------------------------------------- scan
-    def scan(self, specs: dict[str, Spec], by=None, reverse: bool = False) -> "Ordered":
+    def scan(self, specs: dict[str, Spec], by=None) -> "Ordered":
         """Add running values. Kinds:
 
         ``count`` position from 1, ``sum``, ``max``, ``min`` from the first row to
-        this one, ``first`` value of the first row, ``lag`` value of the row before,
-        ``total_max``, ``total_min``, ``total_sum``, ``total_count`` over the group.
+        this one, ``max_before``, ``min_before`` up to the row before, ``first``
+        value of the first row, ``lag`` value of the row before, ``total_max``,
+        ``total_min``, ``total_sum``, ``total_count`` over the group. With ``rev_``
+        in front, the walk starts at the last row.
 
         ``by`` may refine the group columns, as long as each finer group is
-        contiguous in the order. ``reverse`` walks from the last row.
+        contiguous in the order. All specs of a call share one carry.
         """
-        local = self._local(by, reverse)
         if not self.split:
-            return self.with_columns({out: self._direct(spec, local) for out, spec in specs.items()})
+            return self.with_columns({out: self._direct(spec, by) for out, spec in specs.items()})
 
         keys = self._keys(by)
-        near = {f"_l_{out}": self._direct(spec, local) for out, spec in specs.items()}
-        if any(spec[0] == "lag" for spec in specs.values()):
-            near["_l__rn"] = F.row_number().over(local)
-        carry = self._carry(keys, specs, reverse)
+        near = {f"_l_{out}": self._direct(spec, by) for out, spec in specs.items()}
+        for way in (False, True):
+            if any(spec[0] == ("rev_lag" if way else "lag") for spec in specs.values()):
+                near[f"_rn{int(way)}"] = F.row_number().over(self._local(by, way))
+        carry = self._carry(keys, specs)
         joined = self.df.withColumns(near).join(carry, keys + [PART], "left")
         out = {name: self._combine(spec, f"_l_{name}", f"_c_{name}") for name, spec in specs.items()}
         drop = list(near) + [f"_c_{name}" for name in specs]
-        return self.with_df(joined.withColumns(out).drop(*drop))
+        return self._stepped(joined.withColumns(out).drop(*drop))
 
-    @staticmethod
-    def _direct(spec: Spec, local) -> Column:
-        kind = spec[0]
+    def _direct(self, spec: Spec, by) -> Column:
+        kind = spec[0].removeprefix("rev_")
         col = F.col(spec[1]) if len(spec) > 1 else None
+        local = self._local(by, spec[0] != kind)
         running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        earlier = local.rowsBetween(Window.unboundedPreceding, -1)
         whole = local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         if kind == "count":
             return F.row_number().over(local).cast("long")
@@ -109,6 +126,10 @@ class Ordered:
             return F.max(col).over(running)
         if kind == "min":
             return F.min(col).over(running)
+        if kind == "max_before":
+            return F.max(col).over(earlier)
+        if kind == "min_before":
+            return F.min(col).over(earlier)
         if kind == "first":
             return F.first(col).over(running)
         if kind == "lag":
@@ -121,9 +142,9 @@ class Ordered:
             return F.sum(col).over(whole)
         if kind == "total_count":
             return F.count(F.lit(1)).over(whole)
-        raise ValueError(f"unknown kind: {kind}")
+        raise ValueError(f"unknown kind: {spec[0]}")
 
-    def _carry(self, keys: list[str], specs: dict[str, Spec], reverse: bool) -> DataFrame:
+    def _carry(self, keys: list[str], specs: dict[str, Spec]) -> DataFrame:
         """State before each part (or the whole-group total), one row per part.
 
         Only cut groups have a part number, so the filter keeps this to hot groups.
@@ -131,42 +152,44 @@ class Ordered:
         carry never has more than two rows per part.
         """
         position = F.struct(*[F.col(c) for c in self.order])
-        head, tail = (F.max_by, F.min_by) if reverse else (F.min_by, F.max_by)
         aggs = []
         for out, spec in specs.items():
-            kind = spec[0]
+            kind = spec[0].removeprefix("rev_")
+            head, tail = (F.max_by, F.min_by) if spec[0] != kind else (F.min_by, F.max_by)
+            base = kind.removeprefix("total_").removesuffix("_before")
             col = F.col(spec[1]) if len(spec) > 1 else None
-            if kind in ("count", "total_count"):
+            if base == "count":
                 agg = F.count(F.lit(1))
-            elif kind in ("sum", "total_sum"):
+            elif base == "sum":
                 agg = F.sum(col)
-            elif kind in ("max", "total_max"):
+            elif base == "max":
                 agg = F.max(col)
-            elif kind in ("min", "total_min"):
+            elif base == "min":
                 agg = F.min(col)
-            elif kind == "first":
+            elif base == "first":
                 agg = head(F.struct(col.alias("v")), position)
             else:
                 agg = tail(F.struct(col.alias("v")), position)
             aggs.append(agg.alias(f"_s_{out}"))
         summary = self.df.filter(F.col(PART).isNotNull()).groupBy(*keys, PART).agg(*aggs)
 
-        across = Window.partitionBy(*keys)
-        ahead = F.col(PART).desc() if reverse else F.col(PART).asc()
-        before = across.orderBy(ahead).rowsBetween(Window.unboundedPreceding, -1)
-        whole = across.orderBy(ahead).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        forward = Window.partitionBy(*keys).orderBy(F.col(PART).asc())
+        backward = Window.partitionBy(*keys).orderBy(F.col(PART).desc())
+        whole = forward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         merged = {"_span": F.count(F.lit(1)).over(whole)}
         for out, spec in specs.items():
             part = F.col(f"_s_{out}")
-            frame = whole if spec[0].startswith("total_") else before
-            kind = spec[0].removeprefix("total_")
-            if kind in ("count", "sum"):
+            kind = spec[0].removeprefix("rev_")
+            across = backward if spec[0] != kind else forward
+            frame = whole if kind.startswith("total_") else across.rowsBetween(Window.unboundedPreceding, -1)
+            base = kind.removeprefix("total_").removesuffix("_before")
+            if base in ("count", "sum"):
                 value = F.sum(part)
-            elif kind == "max":
+            elif base == "max":
                 value = F.max(part)
-            elif kind == "min":
+            elif base == "min":
                 value = F.min(part)
-            elif kind == "first":
+            elif base == "first":
                 value = F.first(part)
             else:
                 value = F.last(part)
@@ -183,20 +206,20 @@ class Ordered:
 
     @staticmethod
     def _combine(spec: Spec, near: str, far: str) -> Column:
-        kind = spec[0]
+        kind = spec[0].removeprefix("rev_")
         a, b = F.col(near), F.col(far)
         if kind == "count":
             return a + F.coalesce(b, F.lit(0))
         if kind == "sum":
             return F.when(b.isNull(), a).when(a.isNull(), b).otherwise(a + b)
-        if kind == "max":
+        if kind in ("max", "max_before"):
             return F.greatest(a, b)
-        if kind == "min":
+        if kind in ("min", "min_before"):
             return F.least(a, b)
         if kind == "first":
             return F.when(b.isNotNull(), b["v"]).otherwise(a)
         if kind == "lag":
-            return F.when(F.col("_l__rn") == 1, b["v"]).otherwise(a)
+            return F.when(F.col(f"_rn{int(spec[0] != kind)}") == 1, b["v"]).otherwise(a)
         return F.coalesce(b, a)
 
     # ------------------------------------------------------------- rolling
@@ -238,7 +261,7 @@ class Ordered:
             total = F.aggregate(seen, F.lit(0.0), lambda acc, v: acc + v)
             return F.try_divide(total, F.size(seen))
 
-        return self.with_df(joined.withColumns({out: mean(out) for out in outs}).drop("_near", "_tail", "_last"))
+        return self._stepped(joined.withColumns({out: mean(out) for out in outs}).drop("_near", "_tail", "_last"))
 
 
 def arranged(df, by, order, max_rows: int = MAX_GROUP_ROWS) -> Ordered:

@@ -177,21 +177,22 @@ def policy_traces(
 ) -> DataFrame:
     """Per row position, value, score, whether it is the peak, and the first stop of its session."""
     work = df.withColumns({"_pl": F.col(pl).cast("double"), "is_stop": (F.col(action) == "stop").cast("int")})
-    line = arrange(work, group, order, max_rows).scan({"game_in_session": ("count",), "_top": ("total_max", "_pl")})
+    line = arrange(work, group, order, max_rows).scan({"game_in_session": ("count",)})
+    here = F.col("game_in_session")
     line = line.with_columns(
         {
-            "_peak": F.when(F.col("_pl") == F.col("_top"), F.col("game_in_session")),
-            "_stop": F.when(F.col("is_stop") == 1, F.col("game_in_session")),
+            "_entry": F.when(F.col("_pl").isNotNull(), F.struct((-F.col("_pl")).alias("neg"), here.alias("pos"))),
+            "_stop": F.when(F.col("is_stop") == 1, here),
         }
     )
-    line = line.scan({"_first_peak": ("total_min", "_peak"), "first_stop_game": ("total_min", "_stop")})
+    line = line.scan({"_top": ("total_min", "_entry"), "first_stop_game": ("total_min", "_stop")})
     return line.df.select(
         *group,
         "game_in_session",
         F.col("_pl").alias("value"),
         F.col(score).alias("score"),
         "is_stop",
-        F.coalesce((F.col("game_in_session") == F.col("_first_peak")).cast("int"), F.lit(0)).alias("is_peak"),
+        F.coalesce((here == F.col("_top.pos")).cast("int"), F.lit(0)).alias("is_peak"),
         "first_stop_game",
     )
 

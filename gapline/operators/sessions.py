@@ -80,13 +80,26 @@ def start_gap_sessions(
     gap_minutes: float = DEFAULT_GAP_MINUTES,
     by: str = "player",
     max_rows: int = MAX_GROUP_ROWS,
+    streaks: bool = False,
 ) -> Ordered:
-    """Gap between starts in ms and the integer session id, both per player."""
-    line = arrange(rows, [by], ["created_at_ms", "game_id"], max_rows).scan({"_prev": ("lag", "created_at_ms")})
+    """Gap between starts in ms and the integer session id, both per player.
+
+    With ``streaks`` the same two scans also find the last non-loss before each row.
+    """
+    line = arrange(rows, [by], ["created_at_ms", "game_id"], max_rows)
+    first = {"_prev": ("lag", "created_at_ms")}
+    if streaks:
+        first["_rn"] = ("count",)
+    line = line.scan(first)
     line = line.with_columns({"time_gap_ms": F.col("created_at_ms") - F.col("_prev")})
     opens = F.col("time_gap_ms").isNull() | (F.col("time_gap_ms") > int(gap_minutes * 60_000))
-    line = line.with_columns({"_new": F.when(opens, 1).otherwise(0)}).scan({"session_id": ("sum", "_new")})
-    return line.with_df(line.df.drop("_prev", "_new"))
+    line = line.with_columns({"_new": F.when(opens, 1).otherwise(0)})
+    second = {"session_id": ("sum", "_new")}
+    if streaks:
+        line = line.with_columns({"_safe": F.when(F.col("result") != 0.0, F.col("_rn"))})
+        second["_last_safe"] = ("max", "_safe")
+    line = line.scan(second)
+    return line.with_df(line.df.drop("_prev", "_new", "_safe"))
 
 
 def session_totals(line: Ordered) -> DataFrame:
@@ -102,25 +115,15 @@ def session_totals(line: Ordered) -> DataFrame:
     )
 
 
-def loss_streak(line: Ordered, per_session: bool = False) -> Ordered:
-    """Length of the running loss streak.
+def session_features(line: Ordered, per_session_streak: bool = False) -> Ordered:
+    """Position, running P/L, pace, breaks, streaks, rolling means and one-hot times.
 
-    The default keeps the known quirk: streaks run across sessions, and losses
-    before the first non-loss count from 0. ``per_session=True`` restarts in every
-    session and counts those from 1. The position in a streak is the distance to
-    the last non-loss, so one running maximum replaces a second grouping.
+    Takes a line made with ``streaks=True``. The streak length is the distance to
+    the last non-loss, so a running maximum replaces a second grouping. By default
+    it keeps a known quirk: streaks run across sessions, and losses before a
+    player's first non-loss count from 0. ``per_session_streak`` restarts in every
+    session and counts those from 1.
     """
-    by = [*line.by, "session_id"] if per_session else list(line.by)
-    line = line.scan({"_rn": ("count",)}, by=by)
-    line = line.with_columns({"_safe": F.when(F.col("result") != 0.0, F.col("_rn"))})
-    line = line.scan({"_lastsafe": ("max", "_safe")}, by=by)
-    base = F.coalesce(F.col("_lastsafe"), F.lit(0 if per_session else 1))
-    streak = F.when(F.col("result") == 0.0, F.col("_rn") - base).otherwise(F.lit(0).cast("long"))
-    return line.with_df(line.df.withColumn("loss_streak", streak).drop("_rn", "_safe", "_lastsafe"))
-
-
-def session_features(line: Ordered, per_session_streak: bool = False) -> Ordered:
-    """Position, running P/L, pace, breaks, streaks, rolling means and one-hot times."""
     by = [*line.by, "session_id"]
     line = line.scan(
         {
@@ -132,15 +135,20 @@ def session_features(line: Ordered, per_session_streak: bool = False) -> Ordered
         by=by,
     )
     pause = F.coalesce(F.col("created_at_ms") - F.col("prev_game_end_ms"), F.lit(0)) / 1000.0
+    lost = F.col("result") == 0.0
+    start = F.coalesce(F.col("_last_safe"), F.lit(1))
+    if per_session_streak:
+        # The row before the session's first is the earliest a streak can start after.
+        start = F.greatest(F.coalesce(F.col("_last_safe"), F.lit(0)), F.col("_rn") - F.col("games_played"))
     line = line.with_columns(
         {
-            "is_loss": (F.col("result") == 0.0).cast("long"),
+            "is_loss": lost.cast("long"),
             "speed_vs_start": F.col("my_avg_secs_per_move") / (F.col("first_speed") + 0.001),
             "break_time_sec": F.greatest(pause, F.lit(0.0)),
+            "loss_streak": F.when(lost, F.col("_rn") - start).otherwise(F.lit(0).cast("long")),
         }
     )
-    line = loss_streak(line, per_session_streak)
-    line = line.rolling_mean(
+    line = line.with_df(line.df.drop("_rn", "_last_safe")).rolling_mean(
         {"roll_5_acpl_mean": "my_acpl", "roll_5_time_per_move": "my_avg_secs_per_move"}, 5, by=by
     )
     return line.with_columns(
@@ -150,20 +158,28 @@ def session_features(line: Ordered, per_session_streak: bool = False) -> Ordered
 
 def attach_peak(line: Ordered) -> Ordered:
     """Session maximum, whether a row is at it, and the first such position."""
-    by = [*line.by, "session_id"]
-    line = line.scan({"session_max": ("total_max", "session_pl")}, by=by)
-    line = line.with_columns({"is_max": F.col("session_pl") == F.col("session_max")})
-    line = line.with_columns({"_at": F.when(F.col("is_max"), F.col("games_played"))})
-    line = line.scan({"first_max_game": ("total_min", "_at")}, by=by)
-    hit = (F.col("games_played") == F.col("first_max_game")).cast("tinyint")
-    return line.with_df(line.df.withColumn("target", hit).drop("_at"))
+    entry = F.struct((-F.col("session_pl")).alias("neg"), F.col("games_played").alias("pos"))
+    line = line.with_columns({"_entry": F.when(F.col("session_pl").isNotNull(), entry)})
+    line = line.scan({"_top": ("total_min", "_entry")}, by=[*line.by, "session_id"])
+    line = line.with_columns({"session_max": -F.col("_top.neg"), "first_max_game": F.col("_top.pos")})
+    line = line.with_columns(
+        {
+            "is_max": F.col("session_pl") == F.col("session_max"),
+            "target": (F.col("games_played") == F.col("first_max_game")).cast("tinyint"),
+        }
+    )
+    return line.with_df(line.df.drop("_entry", "_top"))
 
 
 def feature_line(
-    rows: DataFrame, gap_minutes: float = DEFAULT_GAP_MINUTES, max_rows: int = MAX_GROUP_ROWS
+    rows: DataFrame,
+    gap_minutes: float = DEFAULT_GAP_MINUTES,
+    max_rows: int = MAX_GROUP_ROWS,
+    per_session_streak: bool = False,
 ) -> Ordered:
     """Feature rows to the full feature table with its label block, still ordered."""
-    return attach_peak(session_features(start_gap_sessions(rows, gap_minutes, max_rows=max_rows)))
+    line = start_gap_sessions(rows, gap_minutes, max_rows=max_rows, streaks=True)
+    return attach_peak(session_features(line, per_session_streak))
 
 
 def feature_table(rows: DataFrame, gap_minutes: float = DEFAULT_GAP_MINUTES, **kw) -> DataFrame:

@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
-def r6(c: Column) -> Column:
+def r6(c: Column, places: int = 6) -> Column:
     """Six places; adding zero turns a negative zero into zero."""
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
+    return F.round(c.cast("double"), places) + F.lit(0.0)
 
 
 def micros(c: Column) -> Column:

@@ -33,12 +33,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def q(*exprs: str) -> str:
-    """Six-place doubles: ``a AS b`` keeps its alias, a bare name is its own."""
+def q(*exprs: str, places: int = 6) -> str:
+    """Rounded doubles: ``a AS b`` keeps its alias, a bare name is its own."""
     out = []
     for e in exprs:
         body, _, alias = e.partition(" AS ")
-        out.append(f"round(CAST({body} AS DOUBLE), 6) + 0.0 AS {alias or body}")
+        out.append(f"round(CAST({body} AS DOUBLE), {places}) + 0.0 AS {alias or body}")
     return ", ".join(out)
 
 

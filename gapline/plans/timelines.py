@@ -38,14 +38,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def sel(df: DataFrame, plain: str, doubles: str = "") -> DataFrame:
-    cols = [F.col(c) for c in plain.split()] + [r6(F.col(c)).alias(c) for c in doubles.split()]
+def sel(df: DataFrame, plain: str, doubles: str = "", places: int = 6) -> DataFrame:
+    cols = [F.col(c) for c in plain.split()] + [r6(F.col(c), places).alias(c) for c in doubles.split()]
     return df.select(*cols)
 
 
-def sqlsel(plain: str, doubles: str = "") -> str:
+def sqlsel(plain: str, doubles: str = "", places: int = 6) -> str:
     parts = [p for p in plain.split()]
-    return ", ".join(parts + ([q(*doubles.split())] if doubles else []))
+    return ", ".join(parts + ([q(*doubles.split(), places=places)] if doubles else []))
+
+
+# Milliseconds over powers of two have seven places often, whose last five the two
+# engines round apart. Nine places are past those ties.
+FINE = 9
 
 
 # ------------------------------------------------------- documents to features
@@ -281,7 +286,7 @@ def f_hot(spark, sf) -> DataFrame:
     "F_feature_table_from_documents",
     X.with_documents(
         f"""SELECT game_id, player, user_color, engine_source,
-            {sqlsel(_FEATURE_PLAIN, _FEATURE_DOUBLES + ' my_acpl my_avg_secs_per_move rating_diff result')} FROM feat"""
+            {sqlsel(_FEATURE_PLAIN, _FEATURE_DOUBLES + ' my_acpl my_avg_secs_per_move rating_diff result', FINE)} FROM feat"""
     ),
 )
 def f_docs(spark, sf) -> DataFrame:
@@ -290,6 +295,7 @@ def f_docs(spark, sf) -> DataFrame:
         _cast(line.df),
         f"game_id player user_color engine_source {_FEATURE_PLAIN}",
         _FEATURE_DOUBLES + " my_acpl my_avg_secs_per_move rating_diff result",
+        FINE,
     )
 
 
@@ -314,7 +320,7 @@ _ALL_KINDS = list(TG.TASKS)
 
 
 def _targets(spark, sf, kinds=_ALL_KINDS, **kw) -> DataFrame:
-    return TG.add_targets(_line(spark, sf, **kw), kinds, SESSION, ORDER, "session_pl")
+    return TG.add_targets(_line(spark, sf, **kw), kinds, SESSION, ORDER, "session_pl", position="games_played")
 
 
 _SUFFIX_SQL = X.with_history(f"SELECT game_id, {q('suffix_max', 'suffix_min')} FROM feat")
@@ -322,7 +328,7 @@ _SUFFIX_SQL = X.with_history(f"SELECT game_id, {q('suffix_max', 'suffix_min')} F
 
 @query("F13_suffix_extremes", _SUFFIX_SQL)
 def f13(spark, sf) -> DataFrame:
-    line = TG.suffix_extremes(_line(spark, sf).finer(SESSION), "session_pl")
+    line = TG.extremes(_line(spark, sf).finer(SESSION), "session_pl", "games_played")
     return sel(line.df, "game_id", "suffix_max suffix_min")
 
 
@@ -333,14 +339,14 @@ _DIST_SQL = """SELECT a.game_id, CAST((SELECT min(b.games_played) FROM feat b WH
 
 @query("F14_distance_to_peak", X.with_history(_DIST_SQL))
 def f14(spark, sf) -> DataFrame:
-    line = TG.suffix_extremes(_line(spark, sf).finer(SESSION), "session_pl")
+    line = TG.extremes(_line(spark, sf).finer(SESSION), "session_pl", "games_played")
     return sel(line.df, "game_id games_to_peak")
 
 
 def _target_query(name: str, kind: str, expr: str) -> None:
     @query(name, X.with_history(f"SELECT game_id, {q(expr + ' AS target_value')} FROM feat"))
     def run(spark, sf) -> DataFrame:
-        out, col, _ = TG.add_target(_line(spark, sf), kind, SESSION, ORDER, "session_pl")
+        out, col, _ = TG.add_target(_line(spark, sf), kind, SESSION, ORDER, "session_pl", position="games_played")
         return out.select("game_id", r6(F.col(col)).alias("target_value"))
 
 
@@ -580,7 +586,7 @@ SMALL_TREES = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3, "random_
 
 
 def _training(spark, sf) -> DataFrame:
-    df = TG.add_targets(_line(spark, sf), ["peak_binary", "future_upside_regression"], SESSION, ORDER, "session_pl")
+    df = _targets(spark, sf, ["peak_binary", "future_upside_regression"])
     return df.withColumn("sid", F.concat_ws("/", "player", "session_id"))
 
 
@@ -588,7 +594,8 @@ def _training(spark, sf) -> DataFrame:
 def k1(spark, sf) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    data = ML.model_input(_training(spark, sf), CORE_FEATURES, "target")
+    df = SE.feature_table(_feature_rows(spark, sf), X.GAP_MINUTES)
+    data = ML.model_input(df, CORE_FEATURES, "target")
     out = ML.assembler(CORE_FEATURES).transform(data)
     return out.select("game_id", vector_to_array("features").alias("features"))
 
@@ -1032,11 +1039,8 @@ def _run_rows(spark, sf) -> dict[str, DataFrame]:
           FROM scored a, scored b WHERE a.label = 1 AND b.label = 0),
         f AS (SELECT 2.0 * count(*) FILTER (score >= 0.5 AND label = 1) / (2 * count(*) FILTER (score >= 0.5 AND label = 1)
           + count(*) FILTER (score >= 0.5 AND label = 0) + count(*) FILTER (score < 0.5 AND label = 1)) AS f1 FROM scored)
-        SELECT 'classifier' AS run, {q('roc_auc', 'f1', 'CAST(NULL AS DOUBLE) AS mae', 'CAST(NULL AS DOUBLE) AS rmse',
-        'CAST(NULL AS DOUBLE) AS r2')} FROM a, f
-        UNION ALL SELECT 'regressor', NULL, NULL, {q('mae', 'rmse', 'r2')} FROM m""".replace(
-        "CAST(NULL AS DOUBLE) AS mae", "NULL AS mae"
-    ),
+        SELECT 'classifier' AS run, {q('roc_auc', 'f1')}, NULL AS mae, NULL AS rmse, NULL AS r2 FROM a, f
+        UNION ALL SELECT 'regressor', NULL, NULL, {q('mae', 'rmse', 'r2')} FROM m""",
 )
 def l4(spark, sf) -> DataFrame:
     return sel(R.compare_runs(_run_rows(spark, sf)), "run", "roc_auc f1 mae rmse r2")

@@ -17,7 +17,10 @@ SPECS = {
     "tl": ("total_min", "v"),
     "ts": ("total_sum", "v"),
     "tc": ("total_count",),
+    "hb": ("max_before", "v"),
+    "lb": ("min_before", "v"),
 }
+REVERSED = {name: (kind if kind.startswith("total_") else f"rev_{kind}", *col) for name, (kind, *col) in SPECS.items()}
 
 
 def make(spark, kind):
@@ -41,14 +44,14 @@ def rows(ordered):
 
 
 @pytest.mark.parametrize("kind", ["even", "ties", "burst", "nulls"])
-@pytest.mark.parametrize("reverse", [False, True])
-def test_split_equals_plain(spark, kind, reverse):
+@pytest.mark.parametrize("specs", [SPECS, REVERSED], ids=["forward", "reverse"])
+def test_split_equals_plain(spark, kind, specs):
     df = make(spark, kind)
     plain = arrange(df, ["k"], ["t", "id"])
     split = arrange(df, ["k"], ["t", "id"], max_rows=20)
     assert not plain.split and split.split
     pd.testing.assert_frame_equal(
-        rows(plain.scan(SPECS, reverse=reverse)), rows(split.scan(SPECS, reverse=reverse)), check_dtype=False
+        rows(plain.scan(specs)), rows(split.scan(specs)), check_dtype=False
     )
 
 
