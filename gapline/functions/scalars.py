@@ -103,67 +103,57 @@ ENGINE_FIELDS = [
 ]
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to an expression that reads it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def timeline_summary(evals: Column, side: Column, source: Column | None = None) -> Column:
     """Struct of loss statistics over an array of evaluations, one per ply.
 
-    One pass of an array aggregate on the row itself: no explode, so no shuffle.
-    Sums are whole numbers, so the deviation has no rounding until its root.
+    Array functions on the row itself: no explode, so no shuffle. The evaluations
+    after a player's own plies pair up with those before them. Sums are whole
+    numbers, so the deviation has no rounding until its root.
     """
     sign = F.when(side == "white", 1).otherwise(-1)
     own = F.when(side == "white", 1).otherwise(0)
-    long0, int0 = F.lit(0).cast("long"), F.lit(0)
-    counters = ["inaccuracies", "mistakes", "blunders", "thrown", "losses"]
-    start = F.struct(
-        F.lit(-1).alias("ply"),
-        int0.alias("before"),
-        *[int0.alias(c) for c in counters],
-        int0.alias("largest"),
-        long0.alias("lost"),
-        long0.alias("total"),
-        long0.alias("squares"),
-    )
-
-    def step(acc: Column, cp: Column) -> Column:
-        ply = acc["ply"] + 1
-        now = cp * sign
-        mine = (ply > 0) & (ply % 2 == own)
-        loss = F.when(mine, F.greatest(int0, acc["before"] - now)).otherwise(-1)
-        limits = {"inaccuracies": INACCURACY_CP, "mistakes": MISTAKE_CP, "blunders": BLUNDER_CP, "losses": 0}
-        thrown = mine & (acc["before"] >= WINNING_CP) & (now < THROWN_CP)
-        return F.struct(
-            ply.alias("ply"),
-            now.alias("before"),
-            *[
-                (
-                    F.greatest(acc[c], thrown.cast("int"))
-                    if c == "thrown"
-                    else acc[c] + (loss >= limits[c]).cast("int")
-                ).alias(c)
-                for c in counters
-            ],
-            F.greatest(acc["largest"], loss).alias("largest"),
-            (acc["lost"] + F.greatest(int0, loss)).alias("lost"),
-            (acc["total"] + now).alias("total"),
-            (acc["squares"] + now.cast("long") * now).alias("squares"),
-        )
-
-    def finish(acc: Column) -> Column:
-        n = (acc["ply"] + 1).cast("long")
-        acpl = F.coalesce(F.try_divide(acc["lost"].cast("double"), acc["losses"]), F.lit(0.0))
-        spread = (n * acc["squares"] - acc["total"] * acc["total"]).cast("double")
+    zero = F.lit(0).cast("long")
+    whole = lambda xs, of: F.aggregate(xs, zero, lambda acc, x: acc + of(x))
+
+    def from_timeline(tl: Column) -> Column:
+        after = F.filter(tl, lambda x, i: (i % 2 == own) & (i > 0))
+        # One longer than ``after`` when the last ply is the opponent's; the
+        # surplus pairs with null and counts nowhere.
+        before = F.filter(tl, lambda x, i: i % 2 != own)
+        pairs = F.zip_with(before, after, lambda b, a: F.struct((b * sign).alias("b"), (a * sign).alias("a")))
+        return bind(pairs, lambda p: from_pairs(tl, p))
+
+    def from_pairs(tl: Column, pairs: Column) -> Column:
+        drops = F.transform(pairs, lambda p: p["b"] - p["a"])
+        return bind(drops, lambda d: from_drops(tl, pairs, d))
+
+    def from_drops(tl: Column, pairs: Column, drops: Column) -> Column:
+        n_own = F.size(F.array_compact(drops))
+        n = F.size(tl).cast("long")
+        lost = whole(drops, lambda d: F.greatest(F.lit(0), d))
+        acpl = F.coalesce(F.try_divide(lost.cast("double"), n_own), F.lit(0.0))
+        count = lambda limit: F.size(F.filter(drops, lambda d: d >= limit))
+        thrown = F.exists(pairs, lambda p: (p["b"] >= WINNING_CP) & (p["a"] < THROWN_CP))
+        total, squares = whole(tl, lambda x: x), whole(tl, lambda x: x.cast("long") * x)
+        spread = bind(total, lambda t: n * squares - t * t).cast("double")
         fields = [
             acpl.alias("my_acpl"),
-            acc["blunders"].alias("my_blunder_count"),
-            acc["mistakes"].alias("my_mistake_count"),
-            acc["inaccuracies"].alias("my_inaccuracy_count"),
-            acc["largest"].cast("double").alias("largest_eval_drop_cp"),
+            count(BLUNDER_CP).alias("my_blunder_count"),
+            count(MISTAKE_CP).alias("my_mistake_count"),
+            count(INACCURACY_CP).alias("my_inaccuracy_count"),
+            F.greatest(F.lit(0), F.array_max(drops)).cast("double").alias("largest_eval_drop_cp"),
             acpl.alias("avg_eval_drop_cp"),
             F.coalesce(F.sqrt(F.try_divide(spread, n * n)), F.lit(0.0)).alias("eval_volatility"),
-            acc["thrown"].alias("threw_winning_position"),
+            F.coalesce(thrown, F.lit(False)).cast("int").alias("threw_winning_position"),
         ]
         return F.struct(*fields, *([source.alias("engine_source")] if source is not None else []))
 
-    return F.aggregate(evals, start, step, finish)
+    return F.when(evals.isNotNull(), bind(evals, from_timeline))
 
 
 # An analysis with none of these is an empty document, which counts as absent.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gapline.functions import scalars as S
 from gapline.operators import metrics as M
 from gapline.operators import splits as SP
-from gapline.runtime import cut_lineage, scratch_path
+from gapline.runtime import BROADCAST_ROWS, cut_lineage, scratch_path
 
 # Parameters of the production classifier.
 PRODUCTION_PARAMS = {
@@ -99,32 +99,39 @@ def score(model: PipelineModel, df: DataFrame, features: list[str], spec: ModelS
     return scored.withColumn(out, value).select(*df.columns, out)
 
 
+def fix_folds(
+    df: DataFrame, group: str, time: str, n_splits: int = 5, group_gap: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """The rows and their fold map, both written once, so that all fits see the same."""
+    rows = cut_lineage(df)
+    return rows, cut_lineage(SP.chronological_folds(rows, group, time, n_splits, group_gap))
+
+
 def out_of_fold(
-    df: DataFrame,
+    rows: DataFrame,
+    folds: DataFrame,
     features: list[str],
     target: str,
     kind: str,
     spec: ModelSpec,
     group: str,
-    time: str,
     key: list[str],
-    n_splits: int = 5,
-    group_gap: int = 0,
 ) -> DataFrame:
     """Every row with its out-of-fold score, fold and validity flag.
 
     The driver loops over the folds only; each fit and scoring is distributed. Rows
-    a fold never validates keep a null score and flag 0. The inputs are fixed once,
-    so all folds see the same rows.
+    a fold never validates keep a null score and flag 0. Takes the frames that
+    ``fix_folds`` made.
     """
-    df = cut_lineage(df)
-    folds = cut_lineage(SP.chronological_folds(df, group, time, n_splits, group_gap))
     numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    small = folds.count() <= BROADCAST_ROWS
     scored = None
     for fold in numbers:
         mine = folds.filter(F.col("fold") == fold)
-        train = SP.rows_of_groups(df, mine.filter("role = 'train'"), group)
-        valid = SP.rows_of_groups(df, mine.filter("role = 'valid'"), group)
+        side = lambda role: mine.filter(F.col("role") == role).select(group)
+        hint = F.broadcast if small else (lambda x: x)
+        train = rows.join(hint(side("train")), group, "left_semi")
+        valid = rows.join(hint(side("valid")), group, "left_semi")
         model = fit(train, features, target, spec)
         part = score(model, valid, features, spec, "oof_score").select(
             *key, "oof_score", F.lit(float(fold)).alias("oof_fold"), F.lit(1).alias("oof_is_validation")
@@ -132,7 +139,7 @@ def out_of_fold(
         scored = part if scored is None else scored.unionByName(part)
     from gapline.operators.targets import TASKS
 
-    return df.join(scored, key, "left").withColumns(
+    return rows.join(scored, key, "left").withColumns(
         {
             "oof_is_validation": F.coalesce("oof_is_validation", F.lit(0)),
             "task_type": F.lit(TASKS[kind]),

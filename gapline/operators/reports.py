@@ -110,22 +110,25 @@ def _moments(df: DataFrame, cols: list[str]) -> DataFrame:
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair over rows with both values; undefined gives 0.
 
-    All pairs are aggregates of one pass. Long form ``(x, y, corr)``.
+    A row offers its pairs and they merge before the shuffle, so one row per pair
+    and task travels. Long form ``(x, y, corr)``.
     """
-    v = {c: S.as_number(F.col(c).cast("double")) for c in cols}
-    pairs, exprs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            # Nulling one side where the other is missing keeps the pair's own mean.
-            x, y = F.when(v[b].isNotNull(), v[a]), F.when(v[a].isNotNull(), v[b])
-            exprs.append(F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0)).alias(f"_{len(pairs)}"))
-            pairs.append((a, b))
-    wide = df.agg(*exprs)
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            rows.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"_{i}").alias("corr")))
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    v = {c: S.as_number(F.col(c).cast("double")).alias(c) for c in cols}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    offered = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)]
+    )
+    both = df.select(*v.values()).select(F.explode(offered).alias("p")).select("p.*")
+    corr = F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0))
+    found = both.groupBy("i").agg(corr.alias("corr"))
+    # A pair no row has both values of still gets its 0.
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(pairs)])
+    listed = df.sparkSession.range(1).select(F.explode(names).alias("n")).select("n.*")
+    rows = listed.join(F.broadcast(found), "i", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
+    ways = F.array_distinct(
+        F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    )
+    return rows.select(F.explode(ways).alias("w"), "corr").select("w.x", "w.y", "corr")
 
 
 # --------------------------------------------------------------- histograms

@@ -22,32 +22,39 @@ def default_spec(kind: str) -> ML.ModelSpec:
 
 
 def experiment(
-    df: DataFrame,
+    rows: DataFrame,
+    folds: DataFrame,
     kind: str,
     features: list[str],
     spec: ML.ModelSpec,
     group: str,
-    time: str,
     key: list[str],
-    n_splits: int = 5,
-    group_gap: int = 1,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Out-of-fold frame, fold metrics, and their mean and deviation."""
     target = f"target__{kind}"
-    oof = ML.out_of_fold(df, features, target, kind, spec, group, time, key, n_splits, group_gap)
+    oof = ML.out_of_fold(rows, folds, features, target, kind, spec, group, key)
     per_fold = ML.fold_metrics(oof, target, kind)
     names = [c for c in per_fold.columns if c != "fold"]
     return oof, per_fold, K.fold_summary(per_fold, names)
 
 
 def objective_matrix(
-    df: DataFrame, kinds, features: list[str], group: str, time: str, key: list[str], specs: Mapping | None = None
+    df: DataFrame,
+    kinds,
+    features: list[str],
+    group: str,
+    time: str,
+    key: list[str],
+    specs: Mapping | None = None,
+    n_splits: int = 5,
+    group_gap: int = 1,
 ) -> DataFrame:
-    """Fold summaries of several objectives side by side."""
+    """Fold summaries of several objectives side by side, over the same rows and folds."""
+    rows, folds = ML.fix_folds(df, group, time, n_splits, group_gap)
     parts = []
     for kind in kinds:
         spec = (specs or {}).get(kind) or default_spec(kind)
-        summary = experiment(df, kind, features, spec, group, time, key)[2]
+        summary = experiment(rows, folds, kind, features, spec, group, key)[2]
         parts.append(summary.select(F.lit(kind).alias("objective_kind"), "metric", "mean", "std"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -57,19 +64,19 @@ def write_run(
     oof: DataFrame,
     per_fold: DataFrame,
     summary: DataFrame,
-    df: DataFrame,
+    rows: DataFrame,
+    folds: DataFrame,
     kind: str,
     features: list[str],
     group: str,
     time: str,
 ) -> DataFrame:
     """Run folder: out-of-fold parquet, metrics, leakage report and manifest."""
-    spark = df.sparkSession
-    folds = SP.chronological_folds(df, group, time)
+    spark = rows.sparkSession
     sinks.write_parquet(oof, f"{out}/oof_predictions")
     sinks.write_manifest(per_fold, f"{out}/fold_metrics")
     sinks.write_manifest(summary, f"{out}/metrics")
-    sinks.write_manifest(SP.leakage_report(df, folds, group, time), f"{out}/leakage")
+    sinks.write_manifest(SP.leakage_report(rows, folds, group, time), f"{out}/leakage")
     manifest = sinks.run_manifest(
         spark,
         {

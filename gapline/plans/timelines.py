@@ -582,6 +582,10 @@ def k11(spark, sf) -> DataFrame:
 # -------------------------------------------------------------------- models
 MODEL_FEATURES = ["my_acpl", "my_avg_secs_per_move", "games_played", "session_pl", "loss_streak", "log_break_time"]
 # Few trees, so a check stays short; the parameters are those of a real run otherwise.
+SHORT_FIT = {
+    "classification": ML.ModelSpec("logistic_regression", {"max_iter": 15}),
+    "regression": ML.ModelSpec("linear_regression"),
+}
 SMALL_TREES = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3, "random_state": 42, "scale_pos_weight": 5}
 
 
@@ -611,16 +615,15 @@ def _model_query(name: str, kind: str, params: dict, target: str) -> None:
 
 _model_query("K2_boosted_classifier", "xgb_classifier", SMALL_TREES, "target__peak_binary")
 _model_query("K3_boosted_regressor", "xgb_regressor", SMALL_TREES, "target__future_upside_regression")
-_model_query("K4_logistic_regression", "logistic_regression", {}, "target__peak_binary")
+_model_query("K4_logistic_regression", "logistic_regression", {"max_iter": 15}, "target__peak_binary")
 _model_query("K4_linear_regression", "linear_regression", {}, "target__future_upside_regression")
 
 
 def _oof(spark, sf, kind: str = "peak_binary") -> DataFrame:
     target = f"target__{kind}"
-    spec = ML.ModelSpec("logistic_regression" if TG.TASKS[kind] == "classification" else "linear_regression")
-    return ML.out_of_fold(
-        _training(spark, sf), MODEL_FEATURES, target, kind, spec, "sid", "created_at_ms", ["game_id"], 5, 1
-    )
+    spec = SHORT_FIT[TG.TASKS[kind]]
+    rows, folds = ML.fix_folds(_training(spark, sf), "sid", "created_at_ms", 5, 1)
+    return ML.out_of_fold(rows, folds, MODEL_FEATURES, target, kind, spec, "sid", ["game_id"])
 
 
 @query("K5_out_of_fold_scores")
@@ -630,7 +633,7 @@ def k5(spark, sf) -> DataFrame:
 
 @query("K6_final_fit_fallback")
 def k6(spark, sf) -> DataFrame:
-    spec = ML.ModelSpec("logistic_regression")
+    spec = SHORT_FIT["classification"]
     df = _training(spark, sf)
 
     def in_sample() -> DataFrame:
@@ -1063,4 +1066,5 @@ def l6(spark, sf) -> DataFrame:
 
     kinds = _ALL_KINDS[:4]
     df = _targets(spark, sf, kinds).withColumn("sid", F.concat_ws("/", "player", "session_id"))
-    return objective_matrix(df, kinds, MODEL_FEATURES, "sid", "created_at_ms", ["game_id"])
+    specs = {k: SHORT_FIT[TG.TASKS[k]] for k in kinds}
+    return objective_matrix(df, kinds, MODEL_FEATURES, "sid", "created_at_ms", ["game_id"], specs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,30 +50,40 @@ def _widest(types: list[T.DataType]) -> T.DataType:
     return T.StringType()
 
 
+def _mergeable(spark: SparkSession, files: list[str]) -> list[tuple[list[str], T.StructType]]:
+    """Runs of files whose schemas merge, found by halving where a merge fails.
+
+    Spark merges the footers of a run in one parallel job, so agreeing files cost a
+    single job however many there are.
+    """
+    try:
+        return [(files, spark.read.option("mergeSchema", True).parquet(*files).schema)]
+    except PySparkException:
+        if len(files) == 1:
+            raise
+    half = len(files) // 2
+    return _mergeable(spark, files[:half]) + _mergeable(spark, files[half:])
+
+
 def scan_parquet(spark: SparkSession, dirs: Iterable[str] = (), globs: Iterable[str] = ()) -> DataFrame:
     """All files as one frame, columns united by name, source path in ``filename``.
 
-    Files with the same schema share one scan. Where a column's type differs, the
+    Files whose schemas merge share one scan. Where a column's type differs, the
     narrower one is cast, which a merged-schema read refuses to do.
     """
-    files = list_parquet(spark, dirs, globs)
-    by_schema: dict[str, list[str]] = {}
-    schemas: dict[str, T.StructType] = {}
-    for path in files:
-        schema = spark.read.parquet(path).schema
-        by_schema.setdefault(schema.json(), []).append(path)
-        schemas[schema.json()] = schema
+    groups: dict[str, tuple[list[str], T.StructType]] = {}
+    for files, schema in _mergeable(spark, list_parquet(spark, dirs, globs)):
+        groups.setdefault(schema.json(), ([], schema))[0].extend(files)
     seen: dict[str, list[T.DataType]] = {}
-    for schema in schemas.values():
+    for _, schema in groups.values():
         for field in schema.fields:
             seen.setdefault(field.name, []).append(field.dataType)
     target = {name: _widest(types) for name, types in seen.items()}
     frames = []
-    for key, paths in by_schema.items():
-        cols = [F.col(f"`{f.name}`").cast(target[f.name]).alias(f.name) for f in schemas[key].fields]
-        frames.append(
-            spark.read.schema(schemas[key]).parquet(*paths).select(*cols, F.col("_metadata.file_path").alias(SOURCE_FILE))
-        )
+    for files, schema in groups.values():
+        cols = [F.col(f"`{f.name}`").cast(target[f.name]).alias(f.name) for f in schema.fields]
+        rows = spark.read.schema(schema).parquet(*files)
+        frames.append(rows.select(*cols, F.col("_metadata.file_path").alias(SOURCE_FILE)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
