@@ -75,11 +75,7 @@ class Ordered:
         return self.df.drop(PART, ALL)
 
     def _stepped(self, df: DataFrame) -> "Ordered":
-        """Count a scan over parts; every second one is written to the shared folder.
-
-        The written rows keep their hash partitioning, so the next window reads
-        them without another shuffle.
-        """
+        """Count a scan over parts; every second one is written to the shared folder."""
         if self.scans + 1 < _SCANS_PER_CUT:
             return replace(self, df=df, scans=self.scans + 1)
         return replace(self, df=cut_lineage(df), scans=0)
