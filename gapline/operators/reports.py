@@ -119,10 +119,13 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
         *[F.struct(F.lit(i).alias("i"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)]
     )
     both = df.select(*v.values()).select(F.explode(offered).alias("p")).select("p.*")
-    corr = F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0))
+    both = both.filter("x IS NOT NULL AND y IS NOT NULL")
+    # The built-in correlation divides by zero on a constant column in ANSI mode.
+    corr = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
     found = both.groupBy("i").agg(corr.alias("corr"))
     # A pair no row has both values of still gets its 0.
     names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(pairs)])
+    # At most one row per listed pair.
     listed = df.sparkSession.range(1).select(F.explode(names).alias("n")).select("n.*")
     rows = listed.join(F.broadcast(found), "i", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
     ways = F.array_distinct(

@@ -169,13 +169,15 @@ def a7(spark, sf) -> DataFrame:
 
 @query(
     "A8_provenance",
-    """SELECT CAST(3 AS BIGINT) AS parquet_file_count, 'customer.parquet,orders.parquet,supplier.parquet' AS parquet_files""",
+    """SELECT CAST(3 AS BIGINT) AS parquet_file_count, 'customer.parquet,orders.parquet,supplier.parquet' AS files,
+       (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM supplier) AS n_rows""",
 )
 def a8(spark, sf) -> DataFrame:
     X.use_utc(spark)
     raw = scan.scan_parquet(spark, globs=[f"{sf}/{{customer,supplier,orders}}.parquet"])
-    names = F.array_join(F.transform("parquet_files", lambda p: scan.file_name(p)), ",")
-    return C.provenance(raw).select("parquet_file_count", names.alias("parquet_files"))
+    paths = F.from_json("parquet_files_json", "array<string>")
+    names = F.array_join(F.transform(paths, lambda p: scan.file_name(p)), ",")
+    return C.provenance(raw).select("parquet_file_count", names.alias("files"), "n_rows")
 
 
 # ------------------------------------------------------------------ scalars

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +72,15 @@ def games_catalog(raw: DataFrame) -> DataFrame:
 
 
 def provenance(raw: DataFrame) -> DataFrame:
-    """Build time, number of source files and their sorted list.
+    """Build time, source files (sorted, as JSON) and rows of a scanned frame.
 
-    Distinct paths are found before the list is made; it holds files, not rows.
+    Files come from the plan's own listing, so empty ones count too; the row count
+    reads no column.
     """
-    files = raw.select(F.col(SOURCE_FILE).alias("f")).distinct()
-    return files.agg(
-        F.count(F.lit(1)).alias("parquet_file_count"), F.sort_array(F.collect_list("f")).alias("parquet_files")
-    ).withColumn("built_at_utc", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    files = sorted(set(raw.inputFiles()))
+    return raw.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("built_at_utc"),
+        F.lit(len(files)).cast("long").alias("parquet_file_count"),
+        F.lit(json.dumps(files)).alias("parquet_files_json"),
+        "n_rows",
+    )

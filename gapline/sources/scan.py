@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def _mergeable(spark: SparkSession, files: list[str]) -> list[tuple[list[str], T
     """
     try:
         return [(files, spark.read.option("mergeSchema", True).parquet(*files).schema)]
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         if len(files) == 1:
             raise
     half = len(files) // 2
