@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Engine source tags.
 SOURCE_REUSED = "lichess"
@@ -37,15 +38,25 @@ def local_timestamp(date: Column, time_text: Column) -> Column:
     return F.concat(date.cast("string"), F.lit(" "), clock).try_cast("timestamp_ntz")
 
 
-def _epoch_or_text(c: Column) -> Column:
+def _epoch_or_text(c: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return c.cast("timestamp")
+    if isinstance(dtype, T.IntegralType):
+        return F.when(c > EPOCH_MS_FLOOR, F.timestamp_millis(c.cast("bigint")))
     text = c.cast("string")
     number = text.try_cast("bigint")
-    return F.when(number > EPOCH_MS_FLOOR, F.timestamp_millis(number)).otherwise(text.try_cast("timestamp"))
+    # Digits alone are never a date; a date has year, month and day.
+    dated = F.when(text.rlike(r"^\s*\d+-\d+-\d+"), text.try_cast("timestamp"))
+    return F.when(number > EPOCH_MS_FLOOR, F.timestamp_millis(number)).when(number.isNull(), dated)
 
 
-def event_time(last_move: Column, created: Column, date: Column) -> Column:
-    """First usable of last move, creation and date."""
-    return F.coalesce(_epoch_or_text(last_move), _epoch_or_text(created), date.cast("string").try_cast("timestamp"))
+def event_time(df: DataFrame, last_move: str, created: str, date: str) -> Column:
+    """First usable of last move, creation and date.
+
+    A whole number above the limit is epoch milliseconds, anything else is read as
+    text. Columns that are numbers or times already skip the detour over text.
+    """
+    return F.coalesce(*[_epoch_or_text(F.col(c), df.schema[c].dataType) for c in (last_move, created, date)])
 
 
 def side_outcome(winner: Column, side: str) -> Column:
@@ -242,11 +253,17 @@ def selection_score() -> Column:
     )
 
 
-def as_number(c: Column) -> Column:
-    """Text, boolean or number as a double; what cannot be read, and NaN, become null."""
-    value = c.cast("string").try_cast("double")
+def as_number(df: DataFrame, name: str) -> Column:
+    """A column as double; text that cannot be read, and NaN, become null."""
+    dtype, c = df.schema[name].dataType, F.col(name)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        value = c.cast("double")
+    else:
+        value = c.cast("string").try_cast("double")
+    if isinstance(dtype, (T.IntegralType, T.BooleanType, T.DecimalType)):
+        return value
     return F.when(~F.isnan(value), value)
 
 
-def number_or_zero(c: Column) -> Column:
-    return F.coalesce(as_number(c), F.lit(0.0))
+def number_or_zero(df: DataFrame, name: str) -> Column:
+    return F.coalesce(as_number(df, name), F.lit(0.0))

@@ -70,7 +70,7 @@ class ModelSpec:
 
 def model_input(df: DataFrame, features: list[str], label: str, pos_weight: float = 1.0) -> DataFrame:
     """Features as doubles with gaps filled by 0, label as double, class weight."""
-    filled = {c: S.number_or_zero(F.col(c)) for c in features}
+    filled = {c: S.number_or_zero(df, c) for c in features}
     out = df.withColumns({f"_x_{c}": v for c, v in filled.items()})
     return out.withColumns(
         {
@@ -93,7 +93,7 @@ def fit(df: DataFrame, features: list[str], label: str, spec: ModelSpec) -> Pipe
 
 def score(model: PipelineModel, df: DataFrame, features: list[str], spec: ModelSpec, out: str) -> DataFrame:
     """Probability of the positive class, or the predicted value."""
-    filled = df.withColumns({f"_x_{c}": S.number_or_zero(F.col(c)) for c in features})
+    filled = df.withColumns({f"_x_{c}": S.number_or_zero(df, c) for c in features})
     scored = model.transform(filled)
     value = vector_to_array("probability")[1] if spec.classifies else F.col("prediction")
     return scored.withColumn(out, value).select(*df.columns, out)
@@ -150,7 +150,7 @@ def out_of_fold(
 
 def validation_rows(oof: DataFrame) -> DataFrame:
     """Rows a fold validated, scores as numbers; an error when there are none."""
-    rows = oof.filter(F.col("oof_is_validation") == 1).withColumn("policy_score", S.as_number(F.col("oof_score")))
+    rows = oof.filter(F.col("oof_is_validation") == 1).withColumn("policy_score", S.as_number(oof, "oof_score"))
     if rows.isEmpty():
         raise ValueError("OOF predictions contain no validation rows")
     return rows

@@ -73,13 +73,13 @@ def player_games(catalog: DataFrame, rated_only: bool = False) -> DataFrame:
     Rows without player, time or rating are dropped; ``rated_only`` also drops
     games not marked as rated.
     """
-    when = S.event_time(F.col("last_move_at"), F.col("created_at"), F.col("utc_date"))
+    when = S.event_time(catalog, "last_move_at", "created_at", "utc_date")
     base = catalog.select(
         "game_id",
         "white_player",
         "black_player",
-        F.col("white_elo").cast("string").try_cast("double").alias("white_elo"),
-        F.col("black_elo").cast("string").try_cast("double").alias("black_elo"),
+        S.as_number(catalog, "white_elo").alias("white_elo"),
+        S.as_number(catalog, "black_elo").alias("black_elo"),
         "winner",
         "victory_status",
         "rated",

@@ -45,7 +45,7 @@ def choose_report_features(df: DataFrame, max_features: int = 12, exclude: Itera
 
 def _long(df: DataFrame, cols: list[str], keep: Iterable[str] = ()) -> DataFrame:
     """Rows (column, value) for the numeric columns, null and NaN as null."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), S.as_number(F.col(c).cast("double")).alias("value")) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), S.as_number(df, c).alias("value")) for c in cols])
     return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.column", "p.value")
 
 
@@ -91,7 +91,7 @@ def describe(df: DataFrame, cols: list[str], max_rows: int = MAX_GROUP_ROWS) ->
 
 def _moments(df: DataFrame, cols: list[str]) -> DataFrame:
     """One pass of plain aggregates over all columns, then one row per column."""
-    v = {c: S.as_number(F.col(c).cast("double")) for c in cols}
+    v = {c: S.as_number(df, c) for c in cols}
     parts = [
         F.struct(
             F.lit(c).alias("column"),
@@ -113,7 +113,7 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     A row offers its pairs and they merge before the shuffle, so one row per pair
     and task travels. Long form ``(x, y, corr)``.
     """
-    v = {c: S.as_number(F.col(c).cast("double")).alias(c) for c in cols}
+    v = {c: S.as_number(df, c).alias(c) for c in cols}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     offered = F.array(
         *[F.struct(F.lit(i).alias("i"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)]

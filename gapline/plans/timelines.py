@@ -194,11 +194,8 @@ def b16(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     i = F.col("event_id")
     text = F.when(i % 4 == 0, F.col("value").cast("string")).when(i % 4 == 1, "n/a").when(i % 4 == 2, "NaN")
-    return e.select(
-        "event_id",
-        r6(S.number_or_zero(text)).alias("filled"),
-        S.as_number(F.get_json_object("props", "$.k")).alias("k"),
-    )
+    e = e.select("event_id", text.alias("text"), F.get_json_object("props", "$.k").alias("k"))
+    return e.select("event_id", r6(S.number_or_zero(e, "text")).alias("filled"), S.as_number(e, "k").alias("k"))
 
 
 # ------------------------------------------------------------------ sessions

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows a side may have before it is broadcast. Every caller counts first.
 BROADCAST_ROWS = 200_000
@@ -22,6 +22,7 @@ def build_session(master: str = "local[*]", app: str = "gapline", **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -35,35 +36,61 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
 
     Only a session without that setting (tests, local bench) gets a local folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.environ.get("GAPLINE_LOCAL_SCRATCH") or tempfile.mkdtemp(prefix="gapline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="gapline-")
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/gapline/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _storable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _storable(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _storable(dtype.keyType) and _storable(dtype.valueType)
+    if isinstance(dtype, T.StructType):
+        return all(_storable(f.dataType) for f in dtype.fields)
+    return not isinstance(dtype, (T.NullType, T.UserDefinedType, T.CalendarIntervalType))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so a lost executor costs no recompute."""
+    """Write the rows to the shared folder once and go on from there.
+
+    A lost executor then costs a re-read, not a recompute. Written as a table, so
+    later steps read only the columns they use; types a table cannot hold take a
+    reliable checkpoint.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoint"))
-    return df.checkpoint(eager=True)
+    if not all(_storable(f.dataType) for f in df.schema.fields):
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoint"))
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "rows")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after a count that stops at ``max_rows`` + 1 rows.
+    """Hint a broadcast only after the side was written once and counted.
 
-    Above the bound the frame comes back unhinted and the join shuffles, with
-    adaptive skew handling for hot keys.
+    Above the bound the side comes back unhinted and the join shuffles, with
+    adaptive skew handling for hot keys. Writing it keeps the count from running
+    the side's whole plan a second time.
     """
-    rows = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    fixed = cut_lineage(df)
+    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed

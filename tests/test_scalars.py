@@ -79,18 +79,24 @@ def test_local_hour_follows_daylight_saving(spark):
 
 
 def test_event_time_rules(spark):
-    pick = lambda a, b, c: one(
-        spark, F.unix_millis(S.event_time(F.col("a"), F.col("b"), F.col("c"))), a=a, b=b, c=c
-    )
+    def pick(a, b, c, kind="string"):
+        df = spark.createDataFrame([(a, b, c)], f"a {kind}, b {kind}, c string")
+        return df.select(F.unix_millis(S.event_time(df, "a", "b", "c"))).first()[0]
+
     assert pick("1704067200123", None, None) == 1704067200123
     assert pick("junk", "2024-01-01 00:00:01", None) == 1704067201000
-    assert pick(None, "junk", "2024-01-02") == 1704153600000
+    assert pick("12345", "2024", "2024-01-02") == 1704153600000
     assert pick(None, None, "never") is None
+    assert pick(1704067200123, 5, None, "bigint") == 1704067200123
+    assert pick(7, 5, "2024-01-02", "bigint") == 1704153600000
 
 
 def test_numbers_and_moves(spark):
-    assert one(spark, S.number_or_zero(F.col("v")), v="n/a") == 0.0
-    assert one(spark, S.number_or_zero(F.col("v")), v="NaN") == 0.0
+    for value, kind in [("n/a", "string"), ("NaN", "string"), (float("nan"), "double"), (None, "int")]:
+        df = spark.createDataFrame([(value,)], f"v {kind}")
+        assert df.select(S.number_or_zero(df, "v")).first()[0] == 0.0
+    df = spark.createDataFrame([(True, " 2.5 ")], "b boolean, t string")
+    assert tuple(df.select(S.as_number(df, "b"), S.as_number(df, "t")).first()) == (1.0, 2.5)
     assert one(spark, S.move_count(F.col("m")), m="  e4 e5\n Nf3 ") == 3
     assert one(spark, S.move_count(F.col("m")), m="") == 1
     assert one(spark, S.seconds_per_move(F.lit(10_000), F.lit(4_000), F.lit(9))) == 0.0
