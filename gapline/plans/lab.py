@@ -14,6 +14,7 @@ from gapline.operators import models as ML
 from gapline.operators import policy as P
 from gapline.operators import splits as SP
 from gapline.operators.targets import TASKS
+from gapline.runtime import cut_lineage
 from gapline.sources import sinks
 
 
@@ -109,3 +110,44 @@ def evaluate_policy(
         F.lit("oof_validation").alias("score_source"),
     )
     return records, summary
+
+
+def production_run(
+    df: DataFrame,
+    features: list[str],
+    target: str,
+    group: str,
+    order: list[str],
+    delta: str,
+    key: list[str],
+    spec: ML.ModelSpec = ML.ModelSpec("xgb_classifier", ML.PRODUCTION_PARAMS),
+    n_splits: int = 5,
+    seed: int = 42,
+) -> tuple[DataFrame, DataFrame, ML.PipelineModel]:
+    """Stratified group check, final fit on all rows, threshold search: summary, AUCs, model.
+
+    The threshold is chosen on the rows the model was fitted on, as in the original
+    recipe, so its gain is an optimistic figure.
+    """
+    rows = cut_lineage(df)
+    dealt = SP.stratified_group_folds(rows, group, target, n_splits, seed)
+    every = F.array(*[F.lit(k) for k in range(1, n_splits + 1)])
+    folds = cut_lineage(
+        dealt.select(group, F.col("fold").alias("_own"), F.explode(every).alias("fold")).select(
+            group, "fold", F.when(F.col("fold") == F.col("_own"), "valid").otherwise("train").alias("role")
+        )
+    )
+    oof = ML.out_of_fold(rows, folds, features, target, "peak_binary", spec, group, key)
+    scored = oof.withColumn("fold", F.col("oof_fold").cast("int"))
+    aucs = K.ranking_scores(scored, target, "oof_score", ["fold"]).select("fold", "roc_auc")
+    model, fitted = ML.final_scores(rows, features, target, spec, "tilt_prob")
+    choice = B.production_choice(B.production_search(fitted, [group], order, delta, "tilt_prob"))
+    cv = aucs.agg(
+        F.sort_array(F.collect_list(F.struct("fold", "roc_auc")))["roc_auc"].alias("cv_auc_scores"),
+        F.avg("roc_auc").alias("cv_auc_mean"),
+        F.stddev_pop("roc_auc").alias("cv_auc_std"),
+    )
+    # Two one-row frames side by side.
+    one = F.lit(1)
+    summary = cv.withColumn("_one", one).join(choice.withColumn("_one", one), "_one").drop("_one")
+    return summary, aucs, model

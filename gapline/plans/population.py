@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,6 +182,33 @@ def a8(spark, sf) -> DataFrame:
     return C.provenance(raw).select("parquet_file_count", names.alias("files"), "n_rows")
 
 
+@query(
+    "A_selection_run",
+    X.with_catalog(
+        """SELECT 'selected_players' AS export, count(*) AS n FROM selected
+           UNION ALL SELECT 'eligible_players', count(*) FROM eligible
+           UNION ALL SELECT 'selected_games', count(*) FROM catalog g JOIN selected s
+             ON g.white_player = s.player_name OR g.black_player = s.player_name
+           UNION ALL SELECT 'selected_players_by_bin', count(DISTINCT elo_bin_lo) FROM selected"""
+    ),
+)
+def selection_run(spark, sf) -> DataFrame:
+    """All exports of a selection run, read back and counted."""
+    from gapline.plans.selection import run_selection
+
+    out = scratch_path(spark, "selection")
+    run_selection(X.catalog(spark, sf), out, FILTERS)
+    parts = [
+        spark.read.parquet(f"{out}/selected_players.parquet").select(F.lit("selected_players").alias("export")),
+        spark.read.option("header", True).csv(f"{out}/eligible_players.csv").select(F.lit("eligible_players").alias("export")),
+        spark.read.parquet(f"{out}/selected_games.parquet").select(F.lit("selected_games").alias("export")),
+        spark.read.option("header", True)
+        .csv(f"{out}/selected_players_by_bin.csv")
+        .select(F.lit("selected_players_by_bin").alias("export")),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("export").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ------------------------------------------------------------------ scalars
 _KEY_SQL = """md5(coalesce(filename, '') || '|' || coalesce("Event", '') || '|' || coalesce("Site", '') || '|' ||
   coalesce("White", '') || '|' || coalesce("Black", '') || '|' || coalesce("UTCDate", '') || '|' ||

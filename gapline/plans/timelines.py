@@ -887,6 +887,18 @@ def j8_choice(spark, sf) -> DataFrame:
     )
 
 
+@query("J8_production_run")
+def j8_run(spark, sf) -> DataFrame:
+    """Group-checked classifier and its threshold, from features to summary."""
+    from gapline.plans.lab import production_run
+
+    spec = ML.ModelSpec("xgb_classifier", SMALL_TREES)
+    summary, _, _ = production_run(
+        _training(spark, sf), MODEL_FEATURES, "target__peak_binary", "sid", ORDER, "rating_diff", ["game_id"], spec
+    )
+    return summary
+
+
 # ------------------------------------------------------------------- reports
 REPORT_COLUMNS = ["my_acpl", "my_avg_secs_per_move", "result", "rating_diff", "time_gap_ms"]
 
