@@ -160,13 +160,30 @@ def a6(spark, sf) -> DataFrame:
     return C.resolve_aliases(raw).drop("rated", "utc_date")
 
 
-@query("A7_selection_manifest")
+@query(
+    "A7_selection_manifest",
+    X.with_catalog(
+        """SELECT 'events' AS source_table, 20 AS per_bin, FALSE AS rated_only, 'selected' AS output,
+           (SELECT count(*) FROM eligible) AS n_eligible_players, (SELECT count(*) FROM selected) AS n_selected_players,
+           (SELECT string_agg(elo_bin_lo || '-' || elo_bin_hi || ':' || n, ',' ORDER BY elo_bin_lo) FROM (
+             SELECT elo_bin_lo, elo_bin_hi, count(*) AS n FROM selected GROUP BY ALL)) AS bins"""
+    ),
+)
 def a7(spark, sf) -> DataFrame:
     manifest = sinks.selection_manifest(
         _eligible(spark, sf), FILTERS.per_bin, FILTERS.as_dict(), {"selected_players": "selected"}, "events"
     )
     path = sinks.write_manifest(manifest, scratch_path(spark, "manifest"))
-    return spark.read.schema(manifest.schema).json(path)
+    text = lambda b: F.concat(b["elo_bin_lo"], F.lit("-"), b["elo_bin_hi"], F.lit(":"), b["n_selected"])
+    return spark.read.schema(manifest.schema).json(path).select(
+        "source_table",
+        F.col("filters.per_bin").cast("int").alias("per_bin"),
+        F.col("filters.rated_only").alias("rated_only"),
+        F.col("outputs.selected_players").alias("output"),
+        "n_eligible_players",
+        "n_selected_players",
+        F.array_join(F.transform("selected_bins", text), ",").alias("bins"),
+    )
 
 
 @query(

@@ -419,6 +419,30 @@ def i7(spark, sf) -> DataFrame:
     return SP.stratified_group_folds(df, "sid", "lost")
 
 
+@query(
+    "I7_fold_balance",
+    _with_groups(
+        """SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows,
+           CAST(sum(p) AS BIGINT) AS n_positive FROM (
+             SELECT n, p, CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END + 1 AS fold FROM (
+               SELECT n, p, row_number() OVER (ORDER BY p DESC, n DESC, sid) - 1 AS i FROM (
+                 SELECT sid, count(*) AS n, sum(CASE WHEN result = 0 THEN 1 ELSE 0 END) AS p FROM grouped GROUP BY sid)))
+           GROUP BY fold"""
+    ),
+)
+def i7_balance(spark, sf) -> DataFrame:
+    """Sizes and classes per fold do not depend on how equals are shuffled."""
+    return (
+        i7(spark, sf)
+        .groupBy("fold")
+        .agg(
+            F.count(F.lit(1)).alias("n_groups"),
+            F.sum("n_rows").alias("n_rows"),
+            F.sum("n_positive").alias("n_positive"),
+        )
+    )
+
+
 @query(
     "D3_rows_of_folds",
     _with_groups("SELECT game_id, sid, fold, role FROM grouped JOIN folds USING (sid) WHERE role = 'valid'"),
@@ -491,14 +515,14 @@ def _with_scored(body: str) -> str:
 
 @query(
     "C3_validation_rows",
-    """SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS policy_score FROM events WHERE event_id % 3 = 0""",
+    """SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS policy_score FROM events WHERE event_type <> 'view'""",
 )
 def c3(spark, sf) -> DataFrame:
     i = F.col("event_id")
     e = table(spark, sf, "events").select(
         "event_id",
         F.when(i % 5 != 0, F.col("value").cast("string")).otherwise("none").alias("oof_score"),
-        (i % 3 == 0).cast("int").alias("oof_is_validation"),
+        (F.col("event_type") != "view").cast("int").alias("oof_is_validation"),
     )
     return ML.validation_rows(e).select("event_id", "policy_score")
 
@@ -591,14 +615,21 @@ def _training(spark, sf) -> DataFrame:
     return df.withColumn("sid", F.concat_ws("/", "player", "session_id"))
 
 
-@query("K1_feature_vector")
+_TOD_SQL = ", ".join(f"CAST(tod_label = '{t}' AS INTEGER) AS tod_{t}" for t in S.TOD_LABELS)
+
+
+@query(
+    "K1_feature_vector",
+    X.with_documents(f"SELECT game_id, {q(*CORE_FEATURES, places=FINE)} FROM (SELECT *, {_TOD_SQL} FROM feat)"),
+)
 def k1(spark, sf) -> DataFrame:
+    """The assembled vector, taken apart again in contract order."""
     from pyspark.ml.functions import vector_to_array
 
     df = SE.feature_table(_feature_rows(spark, sf), X.GAP_MINUTES)
     data = ML.model_input(df, CORE_FEATURES, "target")
-    out = ML.assembler(CORE_FEATURES).transform(data)
-    return out.select("game_id", vector_to_array("features").alias("features"))
+    out = ML.assembler(CORE_FEATURES).transform(data).select("game_id", vector_to_array("features").alias("v"))
+    return out.select("game_id", *[r6(F.col("v")[i], FINE).alias(c) for i, c in enumerate(CORE_FEATURES)])
 
 
 def _model_query(name: str, kind: str, params: dict, target: str) -> None:
@@ -628,6 +659,32 @@ def k5(spark, sf) -> DataFrame:
     return _oof(spark, sf).select("game_id", "sid", "oof_score", "oof_fold", "oof_is_validation", "objective_kind")
 
 
+@query(
+    "K5_out_of_fold_coverage",
+    _with_groups(
+        """SELECT game_id, CAST(fold AS DOUBLE) AS oof_fold, CASE WHEN fold IS NULL THEN 0 ELSE 1 END AS oof_is_validation,
+           'regression' AS task_type FROM grouped LEFT JOIN (SELECT * FROM folds WHERE role = 'valid') v USING (sid)"""
+    ),
+)
+def k5_coverage(spark, sf) -> DataFrame:
+    return _oof(spark, sf, "future_upside_regression").select("game_id", "oof_fold", "oof_is_validation", "task_type")
+
+
+@query(
+    "K4_linear_regression_one_feature",
+    X.with_history(
+        f"""SELECT game_id, {q('a + b * session_pl AS policy_score')} FROM feat,
+            (SELECT regr_intercept(suffix_max - session_pl, session_pl) AS a,
+              regr_slope(suffix_max - session_pl, session_pl) AS b FROM feat) f"""
+    ),
+)
+def k4_one(spark, sf) -> DataFrame:
+    df = _targets(spark, sf, ["future_upside_regression"])
+    spec = ML.ModelSpec("linear_regression")
+    _, out = ML.final_scores(df, ["session_pl"], "target__future_upside_regression", spec)
+    return out.select("game_id", r6(F.col("policy_score")).alias("policy_score"))
+
+
 @query("K6_final_fit_fallback")
 def k6(spark, sf) -> DataFrame:
     spec = SHORT_FIT["classification"]
@@ -672,7 +729,25 @@ def j2(spark, sf) -> DataFrame:
     )
 
 
-@query("J3_threshold_resolution")
+# What each policy resolves to, in the order of the objectives.
+_RESOLVED = {
+    "aggressive": [0.60, 0.42, 0.0, 6.0, 0.0],
+    "balanced": [0.60, 0.50, 0.0, 6.0, 0.0],
+    "conservative": [0.60, 0.60, 0.0, 6.0, 0.0],
+}
+_RESOLVED_SQL = ", ".join(
+    f"('{p}', '{k}', CAST({t} AS DOUBLE))" for p, ts in _RESOLVED.items() for k, t in zip(P.OBJECTIVES, ts)
+)
+
+
+@query(
+    "J3_threshold_resolution",
+    X.with_history(
+        f"""SELECT policy, objective, threshold,
+            count(*) FILTER (score IS NOT NULL AND NOT isnan(score) AND score >= threshold) AS n
+            FROM hist, (VALUES {_RESOLVED_SQL}) r(policy, objective, threshold) GROUP BY ALL"""
+    ),
+)
 def j3(spark, sf) -> DataFrame:
     """Thresholds of every policy and objective, with how many given scores reach each."""
     pairs = [(p, k, P.resolve_threshold(c, k)) for p, c in P.POLICIES.items() for k in P.OBJECTIVES]
@@ -1035,8 +1110,9 @@ def l3(spark, sf) -> DataFrame:
 def _run_rows(spark, sf) -> dict[str, DataFrame]:
     scored = X.scored_labels(spark, sf)
     ranking = K.ranking_scores(scored, "label", "score")
+    f1 = K.f1_scores(scored, "label", "score")
     return {
-        "classifier": ranking.crossJoin(K.f1_scores(scored, "label", "score")),
+        "classifier": ranking.withColumn("one", F.lit(1)).join(f1.withColumn("one", F.lit(1)), "one").drop("one"),
         "regressor": K.regression_scores(
             table(spark, sf, "events").select(F.col("value").alias("y"), (F.col("value") * 0.5).alias("p")), "y", "p"
         ),

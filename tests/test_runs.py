@@ -60,3 +60,36 @@ def test_production_run(spark):
     r = summary.first()
     assert len(r.cv_auc_scores) == 5 and aucs.count() == 5 and r.cv_auc_mean > 0.9
     assert r.optimized_rating_diff_sum - r.baseline_rating_diff_sum == r.estimated_gain
+
+
+def test_json_to_features(spark, tmp_path):
+    import json
+
+    from gapline.plans.features import build_features, collect_games
+
+    side = lambda name, diff: {"user": {"name": name}, "ratingDiff": diff}
+    game = lambda i, minute, white, winner, diff: {
+        "id": i,
+        "createdAt": minute * 60_000,
+        "lastMoveAt": minute * 60_000 + 60_000,
+        "winner": winner,
+        "moves": "e4 e5 Nf3 Nc6",
+        "players": {
+            "white": side("Me" if white else "x", diff if white else -diff),
+            "black": side("x" if white else "Me", -diff if white else diff),
+        },
+        "cq_engine": {"my_acpl": 20.0, "engine_source": "local_stockfish"},
+    }
+    games = [game("a", 0, True, "white", 5), game("b", 10, False, "white", -7), game("c", 200, False, None, 0)]
+    (tmp_path / "batch").mkdir()
+    for name, part in [("1", games[:2]), ("2", games[1:])]:
+        (tmp_path / "batch" / f"{name}.json").write_text("\n".join(json.dumps(g) for g in part))
+    assert [r.id for r in collect_games(spark, f"{tmp_path}/batch").collect()] == ["a", "b", "c"]
+    assert [r.id for r in collect_games(spark, f"{tmp_path}/batch", 2).collect()] == ["a", "b"]
+    (tmp_path / "games.json").write_text(json.dumps(games))
+    out = build_features(spark, f"{tmp_path}/games.json", "me", f"{tmp_path}/features", "Europe/Vienna")
+    got = out.orderBy("created_at_ms").collect()
+    assert [r.session_id for r in got] == [1, 1, 2] and [r.session_pl for r in got] == [5.0, -2.0, 0.0]
+    assert [r.user_color for r in got] == ["white", "black", "black"] and [r.result for r in got] == [1.0, 0.0, 0.5]
+    assert [r.target for r in got] == [1, 0, 1] and got[0].my_avg_secs_per_move == 30.0
+    assert got[0].tod_label == "night" and "player" not in out.columns
