@@ -122,45 +122,60 @@ def bind(value: Column, use) -> Column:
 def timeline_summary(evals: Column, side: Column, source: Column | None = None) -> Column:
     """Struct of loss statistics over an array of evaluations, one per ply.
 
-    Array functions on the row itself: no explode, so no shuffle. The evaluations
-    after a player's own plies pair up with those before them. Sums are whole
-    numbers, so the deviation has no rounding until its root.
+    Array functions on the row itself: no explode, so no shuffle. Only a player's
+    own plies are visited for losses, and the larger limits search the few losses
+    above the smaller ones. Sums are whole numbers, so the deviation has no
+    rounding until its root.
     """
     sign = F.when(side == "white", 1).otherwise(-1)
-    own = F.when(side == "white", 1).otherwise(0)
+    first = F.when(side == "white", 1).otherwise(2)
     zero = F.lit(0).cast("long")
     whole = lambda xs, of: F.aggregate(xs, zero, lambda acc, x: acc + of(x))
+    above = lambda xs, limit: F.filter(xs, lambda x: x >= limit)
 
     def from_timeline(tl: Column) -> Column:
-        after = F.filter(tl, lambda x, i: (i % 2 == own) & (i > 0))
-        # One longer than ``after`` when the last ply is the opponent's; the
-        # surplus pairs with null and counts nowhere.
-        before = F.filter(tl, lambda x, i: i % 2 != own)
-        pairs = F.zip_with(before, after, lambda b, a: F.struct((b * sign).alias("b"), (a * sign).alias("a")))
-        return bind(pairs, lambda p: from_pairs(tl, p))
-
-    def from_pairs(tl: Column, pairs: Column) -> Column:
-        drops = F.transform(pairs, lambda p: p["b"] - p["a"])
-        return bind(drops, lambda d: from_drops(tl, pairs, d))
-
-    def from_drops(tl: Column, pairs: Column, drops: Column) -> Column:
-        n_own = F.size(F.array_compact(drops))
-        n = F.size(tl).cast("long")
+        own = F.when(F.size(tl) > first, F.sequence(first, F.size(tl) - 1, F.lit(2)))
+        own = F.coalesce(own, F.array().cast("array<int>"))
+        return bind(own, lambda plies: from_plies(tl, plies))
+
+    def from_plies(tl: Column, plies: Column) -> Column:
+        drops = F.transform(plies, lambda p: (F.get(tl, p - 1) - F.get(tl, p)) * sign)
+        thrown = F.exists(
+            plies, lambda p: (F.get(tl, p - 1) * sign >= WINNING_CP) & (F.get(tl, p) * sign < THROWN_CP)
+        )
+        losses = bind(drops, lambda d: from_drops(d))
+        return bind(losses, lambda x: summary(tl, x, thrown))
+
+    def from_drops(drops: Column) -> Column:
+        def counts(small: Column) -> list[Column]:
+            return [F.size(small).alias("inaccuracies"), bind(above(small, MISTAKE_CP), larger).alias("more")]
+
+        def larger(some: Column) -> Column:
+            return F.struct(F.size(some).alias("mistakes"), F.size(above(some, BLUNDER_CP)).alias("blunders"))
+
         lost = whole(drops, lambda d: F.greatest(F.lit(0), d))
-        acpl = F.coalesce(F.try_divide(lost.cast("double"), n_own), F.lit(0.0))
-        count = lambda limit: F.size(F.filter(drops, lambda d: d >= limit))
-        thrown = F.exists(pairs, lambda p: (p["b"] >= WINNING_CP) & (p["a"] < THROWN_CP))
-        total, squares = whole(tl, lambda x: x), whole(tl, lambda x: x.cast("long") * x)
-        spread = bind(total, lambda t: n * squares - t * t).cast("double")
+        return F.struct(
+            F.coalesce(F.try_divide(lost.cast("double"), F.size(drops)), F.lit(0.0)).alias("mean"),
+            F.greatest(F.lit(0), F.array_max(drops)).alias("largest"),
+            bind(above(drops, INACCURACY_CP), lambda s: F.struct(*counts(s))).alias("n"),
+        )
+
+    def summary(tl: Column, x: Column, thrown: Column) -> Column:
+        n = F.size(tl).cast("long")
+        spread = bind(
+            whole(tl, lambda v: v), lambda t: n * whole(tl, lambda v: v.cast("long") * v) - t * t
+        ).cast("double")
+        # A win is thrown only by a loss above the distance of its two limits.
+        lost_enough = x["largest"] > WINNING_CP - THROWN_CP
         fields = [
-            acpl.alias("my_acpl"),
-            count(BLUNDER_CP).alias("my_blunder_count"),
-            count(MISTAKE_CP).alias("my_mistake_count"),
-            count(INACCURACY_CP).alias("my_inaccuracy_count"),
-            F.greatest(F.lit(0), F.array_max(drops)).cast("double").alias("largest_eval_drop_cp"),
-            acpl.alias("avg_eval_drop_cp"),
+            x["mean"].alias("my_acpl"),
+            x["n"]["more"]["blunders"].alias("my_blunder_count"),
+            x["n"]["more"]["mistakes"].alias("my_mistake_count"),
+            x["n"]["inaccuracies"].alias("my_inaccuracy_count"),
+            x["largest"].cast("double").alias("largest_eval_drop_cp"),
+            x["mean"].alias("avg_eval_drop_cp"),
             F.coalesce(F.sqrt(F.try_divide(spread, n * n)), F.lit(0.0)).alias("eval_volatility"),
-            F.coalesce(thrown, F.lit(False)).cast("int").alias("threw_winning_position"),
+            F.when(lost_enough, thrown.cast("int")).otherwise(0).alias("threw_winning_position"),
         ]
         return F.struct(*fields, *([source.alias("engine_source")] if source is not None else []))
 
