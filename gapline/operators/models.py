@@ -39,7 +39,8 @@ class ModelSpec:
     kind: str
     params: Mapping = field(default_factory=dict)
 
-    def estimator(self, label: str):
+    def estimator(self, label: str, n_rows: int = 1):
+        """The Spark estimator. ``n_rows`` turns a penalty per data set into one per row."""
         p = dict(self.params)
         if self.kind in ("xgb_classifier", "xgb_regressor"):
             cls = GBTClassifier if self.kind == "xgb_classifier" else GBTRegressor
@@ -57,8 +58,12 @@ class ModelSpec:
             )
             return model.setWeightCol("_weight") if "scale_pos_weight" in p else model
         if self.kind == "logistic_regression":
-            strength = 1.0 / float(p.get("C", 1.0))
-            return LogisticRegression(labelCol=label, maxIter=p.get("max_iter", 100), regParam=p.get("reg", strength * 1e-4))
+            # The usual objective is half the squared weights plus C times the summed
+            # loss, on raw features; Spark's is the mean loss plus the penalty.
+            penalty = 1.0 / (float(p.get("C", 1.0)) * n_rows)
+            return LogisticRegression(
+                labelCol=label, maxIter=p.get("max_iter", 100), regParam=penalty, standardization=False
+            )
         if self.kind == "linear_regression":
             return LinearRegression(labelCol=label, regParam=0.0)
         raise ValueError(f"Unsupported model kind: {self.kind}")
@@ -88,7 +93,8 @@ def assembler(features: list[str]) -> VectorAssembler:
 def fit(df: DataFrame, features: list[str], label: str, spec: ModelSpec) -> PipelineModel:
     weight = float(spec.params.get("scale_pos_weight", 1.0))
     data = model_input(df, features, label, weight).select("_label", "_weight", *[f"_x_{c}" for c in features])
-    return Pipeline(stages=[assembler(features), spec.estimator("_label")]).fit(data)
+    n_rows = data.count() if spec.kind == "logistic_regression" else 1
+    return Pipeline(stages=[assembler(features), spec.estimator("_label", n_rows)]).fit(data)
 
 
 def score(model: PipelineModel, df: DataFrame, features: list[str], spec: ModelSpec, out: str) -> DataFrame:

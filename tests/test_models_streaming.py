@@ -70,6 +70,24 @@ def test_final_scores_are_repeatable(spark, kind, params, target):
         assert K.regression_scores(out, target, "policy_score").first().r2 > 0.8
 
 
+def test_logistic_regression_has_the_usual_penalty(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 2)) * [1.0, 4.0]
+    y = (x[:, 0] - 0.3 * x[:, 1] + rng.normal(size=300) > 0.5).astype(int)
+    a, w = np.c_[x, np.ones(300)], np.zeros(3)
+    ridge = np.diag([1.0, 1.0, 0.0])
+    for _ in range(30):  # Newton steps on half squared weights plus summed loss
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
+    want = 1 / (1 + np.exp(-a @ w))
+    df = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))], "i long, a double, b double, y int")
+    _, out = ML.final_scores(df, ["a", "b"], "y", ML.ModelSpec("logistic_regression"))
+    got = [r.policy_score for r in out.orderBy("i").collect()]
+    assert np.abs(np.array(got) - want).max() < 1e-4
+
+
 def test_run_folder(spark, tmp_path):
     rows, folds = ML.fix_folds(learnable(spark, 120), "sid", "created_at_ms", 2, 0)
     kind = "future_upside_regression"
