@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import chat_format, exact_dedup, substring_dedup, vector_topk, warc
+from gapline.llm import chat_format, exact_dedup, near_dedup, substring_dedup, vector_topk, warc
 from gapline.llm.tables import table
 from gapline.runtime import scratch_path
 
@@ -44,6 +44,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
 }
 
