@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import chat_format, exact_dedup, near_dedup, substring_dedup, vector_topk, warc
+from gapline.llm import chat_format, exact_dedup, length_packing, near_dedup, source_mixing, substring_dedup, vector_topk, warc
 from gapline.llm.tables import table
 from gapline.runtime import scratch_path
 
 
+def op1_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", vector_topk.scaled("embedding").alias("vec"))
     return vector_topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
@@ -20,6 +24,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.draw(table(spark, sf_dir, "documents")).select("doc_id", "source", "tokens", "epoch", "block_place", "place")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -59,8 +67,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_length_packing": op1_length_packing,
     "op2_vector_topk": op2_vector_topk,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_source_mixing": op4_source_mixing,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
