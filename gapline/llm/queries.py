@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import chat_format, exact_dedup, length_packing, near_dedup, source_mixing, substring_dedup, vector_topk, warc
+from gapline.llm import chat_format, exact_dedup, length_packing, near_dedup, quality, source_mixing, substring_dedup, toxicity, vector_topk, warc
 from gapline.llm.tables import table
 from gapline.runtime import scratch_path
 
@@ -28,6 +28,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.draw(table(spark, sf_dir, "documents")).select("doc_id", "source", "tokens", "epoch", "block_place", "place")
 
 
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models, threshold, _ = toxicity.train_chain(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, models, threshold)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -52,6 +58,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
@@ -71,8 +81,10 @@ QUERIES = {
     "op2_vector_topk": op2_vector_topk,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_toxicity_chain": op5_toxicity_chain,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality_labels": op8_quality_labels,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
 }
