@@ -36,8 +36,8 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.col(conv).alias(conv),
         F.struct(
             F.col(turn).alias("turn"),
-            escape(F.coalesce(F.col(role), F.lit("")), role=True).alias("role"),
-            escape(F.coalesce(F.col(text), F.lit(""))).alias("text"),
+            F.coalesce(F.col(role), F.lit("")).alias("role"),
+            F.coalesce(F.col(text), F.lit("")).alias("text"),
         ).alias("said"),
     )
     said = turns.groupBy(conv).agg(F.array_sort(F.collect_list("said")).alias("said"))
@@ -45,8 +45,8 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     pieces = F.transform(
         "said",
         lambda x, i: F.struct(
-            F.when((i > 0) & (F.get("said", i - 1)["role"] == x["role"]), F.lit("")).otherwise(F.concat(F.lit(HEAD), x["role"], F.lit(MID))).alias("head"),
-            x["text"].alias("text"),
+            F.when((i > 0) & (F.get("said", i - 1)["role"] == x["role"]), F.lit("")).otherwise(F.concat(F.lit(HEAD), escape(x["role"], role=True), F.lit(MID))).alias("head"),
+            escape(x["text"]).alias("text"),
             (x["role"] == trained).alias("trained"),
         ),
     )

@@ -11,6 +11,9 @@ validates candidates by decoding their headers: one that does not start a WARC r
 is a piece of the member before it. A member that runs on into the next range leaves
 its pieces as loose rows; they are few and are joined per file.
 
+Hadoop's reader inflates files whose name ends in .gz as one stream, so archives need
+another ending (such as .warc); a name in .gz raises an error.
+
 Defined results: null payloads are empty; an archive folder without files gives no
 rows; a member that never ends raises an error rather than getting lost.
 """
@@ -186,6 +189,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield from zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
 
         def candidates(file, at, pieces):
+            if file.endswith(".gz"):
+                raise ValueError(f"{file}: the reader inflates names in .gz as a whole; give archives another ending")
             for number, (piece, _, _) in enumerate(pieces):
                 if number == 0 and at == 0:  # what is before the first magic of a file
                     if len(piece.as_py()):
