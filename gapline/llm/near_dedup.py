@@ -9,11 +9,13 @@ what meets in a band is verified on the whole texts: the Jaccard similarity of t
 distinct shingles is at least the threshold.
 
 Texts of one word sequence are one node before banding. A band's nodes are not paired
-with each other: they are compared with a few centres first. While a band still holds
-nodes of different classes, more centres follow (four times as many a round), until
-its nodes are of one class or all were centres. So no link of two nodes that meet in a
-band is lost to the class, and a large group of near copies takes a linear number of
-comparisons.
+with each other: all are compared with one centre, the node that shares most bands with
+others. Where a band then still holds nodes of different classes, an exact filter finds
+what is left: two texts reach the threshold only if they share some of their rarest
+shingles, as in any order that both use the first few have to hold a shared one.
+Nodes that are not of their band's main class meet the others in such rare shingles
+and are verified. So no link of two nodes that meet in a band is lost to the class,
+and a large group of near copies takes about a linear number of comparisons.
 
 Defined results: null texts are empty; texts without words are copies of each other and
 near to nothing else; texts of fewer words than a shingle are one shingle; rows without an id
@@ -126,6 +128,57 @@ def _verify(width: int, threshold: float):
     return run
 
 
+def _items(width: int):
+    def run(stream):
+        hasher = Hasher()
+        for whole in stream:
+            for batch in slices(whole, "text", BATCH_BYTES):
+                item, owner, _, _ = shingles(hasher, batch.column("text"), width)
+                order = np.lexsort((item, owner))
+                item, owner = item[order], owner[order]
+                new = np.ones(len(item), bool)
+                new[1:] = (item[1:] != item[:-1]) | (owner[1:] != owner[:-1])
+                ids = batch.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner[new]]), pa.array(item[new].view(np.int64))], ["id", "item"])
+
+    return run
+
+
+def _rare_pairs(here: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different labels that can reach the threshold, one of them not of the main label of a band.
+
+    Shingles are ordered by how many nodes have them. Texts of n and m shingles at the
+    threshold t share at least t / (1 + t) * (n + m) of them, so all but that many, and
+    one more, make a start in which they meet. m is the smallest text of a node's bands.
+    """
+    items = cut_lineage(texts.join(here.select("id").distinct(), "id").mapInArrow(_items(width), "id long, item long").dropDuplicates())
+    common = cut_lineage(items.groupBy("item").agg(F.count(F.lit(1)).alias("nodes")))
+    items = cut_lineage(items.join(common, "item"))
+    counts = cut_lineage(items.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("nodes") > 1, 1)).alias("s")))
+    here = cut_lineage(here.join(counts, "id"))
+    # A node with s shingles in other nodes has at most this similarity to a text of m shingles or more.
+    most = F.col("s") / (F.col("n") + F.greatest(F.col("m") - F.col("s"), F.lit(0)))
+    smallest = cut_lineage(here.groupBy("band").agg(F.min("n").alias("m")))
+    here = _mixed(here.join(smallest, "band").where(most >= threshold - 1e-9).select("band", "id", "label", "n", "m"))
+    sizes = here.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = cut_lineage(sizes.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main")))
+    minor = cut_lineage(here.join(main, "band").where("label <> main").select("id").distinct())
+    nodes = cut_lineage(here.groupBy("id").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("m").alias("m")))
+    ranked = items.join(nodes, "id").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("nodes", "item")))
+    other = F.greatest(F.col("m"), F.col("n") * threshold)
+    needed = F.ceil((F.col("n") + other) * (threshold / (1 + threshold)) - 1e-9)
+    start = F.col("n") - needed + 1
+    # What only one node has meets nobody.
+    starts = cut_lineage(ranked.where(F.col("place") <= start).where("nodes > 1").select("id", "item", "place", "n", "label"))
+    one = starts.join(minor, "id").select("item", F.col("id").alias("one"), F.col("place").alias("its_place"), F.col("n").alias("its_n"), F.col("label").alias("its_label"))
+    met = starts.join(one, "item").where("label <> its_label").where(F.least("n", "its_n") >= F.greatest("n", "its_n") * threshold - 1e-9)
+    shared = met.groupBy("one", "id", "n", "its_n").agg(F.count(F.lit(1)).alias("shared"), F.max("place").alias("last"), F.max("its_place").alias("its_last"))
+    # What they share up to the last place they meet in, and at most all that is after it.
+    best = F.col("shared") + F.least(F.col("n") - F.col("last"), F.col("its_n") - F.col("its_last"))
+    shared = shared.where(best >= (F.col("n") + F.col("its_n")) * (threshold / (1 + threshold)) - 1e-9)
+    return shared.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: its id, class_id (the smallest id of its class), class_size, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("id").isNotNull())
@@ -149,37 +202,32 @@ def _linked(texts: DataFrame, sketches: DataFrame, nodes: DataFrame, width: int,
     firsts = nodes.select("words_key", F.col("node").alias("id"))
     spread = sketches.join(firsts, ["words_key", "id"]).select("id", F.explode("bands").alias("band"))
     buckets = cut_lineage(spread.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("band", "size"))
-    members = cut_lineage(spread.join(buckets, "band").select("band", "size", "id"))
+    met = cut_lineage(spread.join(buckets, "band").select("band", "size", "id"))
+    central = met.groupBy("id").agg(F.sum("size").alias("central"))
+    members = cut_lineage(met.join(central, "id").select("band", "size", "id", "central"))
     wanted = members.select("id").distinct()
     held = cut_lineage(texts.join(wanted, "id"))
 
-    labels, edges, tested = None, None, None
-    before, reach = 0, 1
-    while True:
-        here = members.withColumn("label", F.col("id"))
-        if labels is not None:
-            named = members.where(F.col("size") > before + 1).join(labels, "id", "left").select("band", "size", "id", F.coalesce("label", "id").alias("label"))
-            named = cut_lineage(named)
-            mixed = cut_lineage(named.groupBy("band").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("band"))
-            here = cut_lineage(named.join(mixed, "band"))
-        if here.isEmpty():
-            break
-        order = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("id"), "id"))
-        centres = here.withColumn("place", order).where(F.col("place") <= reach).where(F.col("place") > before)
-        centres = cut_lineage(centres.select("band", F.col("id").alias("centre"), F.col("label").alias("its_label")))
-        met = here.join(centres, "band").where("label <> its_label")
-        pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).where("a < b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         both = one.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        found = cut_lineage(both.mapInArrow(_verify(width, threshold), "a long, b long"))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        before, reach = reach, reach * 5 + 1
-    return labels if labels is not None else members.select("id", F.col("id").alias("label"))
+        return cut_lineage(both.mapInArrow(_verify(width, threshold), "a long, b long"))
+
+    centres = members.groupBy("band").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("centre"))
+    star = members.join(cut_lineage(centres), "band").where("id <> centre")
+    star = cut_lineage(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+    edges = verified(star)
+    labels = components(edges)
+    here = _mixed(members.where("size > 2").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label")))
+    rest = cut_lineage(_rare_pairs(here, held, width, threshold).join(star, ["a", "b"], "left_anti"))
+    return components(edges.unionByName(verified(rest)))
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """Members of bands that hold more than one label."""
+    named = cut_lineage(named)
+    mixed = cut_lineage(named.groupBy("band").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("band"))
+    return cut_lineage(named.join(mixed, "band"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
