@@ -144,6 +144,11 @@ def _items(width: int):
     return run
 
 
+def _meet(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """Sort-merge join at every size, so that small inputs move data as large ones do."""
+    return left.join(right.hint("merge"), on)
+
+
 def _rare_pairs(here: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of different labels that can reach the threshold, one of them not of the main label of a band.
 
@@ -151,11 +156,11 @@ def _rare_pairs(here: DataFrame, texts: DataFrame, width: int, threshold: float)
     threshold t share at least t / (1 + t) * (n + m) of them, so all but that many, and
     one more, make a start in which they meet. m is the smallest text of a node's bands.
     """
-    items = cut_lineage(texts.join(here.select("id").distinct(), "id").mapInArrow(_items(width), "id long, item long").dropDuplicates())
+    items = cut_lineage(_meet(texts, here.select("id").distinct(), "id").mapInArrow(_items(width), "id long, item long").dropDuplicates())
     common = cut_lineage(items.groupBy("item").agg(F.count(F.lit(1)).alias("nodes")))
-    items = cut_lineage(items.join(common, "item"))
+    items = cut_lineage(_meet(items, common, "item"))
     counts = cut_lineage(items.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("nodes") > 1, 1)).alias("s")))
-    here = cut_lineage(here.join(counts, "id"))
+    here = cut_lineage(_meet(here, counts, "id"))
     # A node with s shingles in other nodes has at most this similarity to a text of m shingles or more.
     most = F.col("s") / (F.col("n") + F.greatest(F.col("m") - F.col("s"), F.lit(0)))
     smallest = cut_lineage(here.groupBy("band").agg(F.min("n").alias("m")))
@@ -164,14 +169,14 @@ def _rare_pairs(here: DataFrame, texts: DataFrame, width: int, threshold: float)
     main = cut_lineage(sizes.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main")))
     minor = cut_lineage(here.join(main, "band").where("label <> main").select("id").distinct())
     nodes = cut_lineage(here.groupBy("id").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("m").alias("m")))
-    ranked = items.join(nodes, "id").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("nodes", "item")))
+    ranked = _meet(items, nodes, "id").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("nodes", "item")))
     other = F.greatest(F.col("m"), F.col("n") * threshold)
     needed = F.ceil((F.col("n") + other) * (threshold / (1 + threshold)) - 1e-9)
     start = F.col("n") - needed + 1
     # What only one node has meets nobody.
     starts = cut_lineage(ranked.where(F.col("place") <= start).where("nodes > 1").select("id", "item", "place", "n", "label"))
-    one = starts.join(minor, "id").select("item", F.col("id").alias("one"), F.col("place").alias("its_place"), F.col("n").alias("its_n"), F.col("label").alias("its_label"))
-    met = starts.join(one, "item").where("label <> its_label").where(F.least("n", "its_n") >= F.greatest("n", "its_n") * threshold - 1e-9)
+    one = _meet(starts, minor, "id").select("item", F.col("id").alias("one"), F.col("place").alias("its_place"), F.col("n").alias("its_n"), F.col("label").alias("its_label"))
+    met = _meet(starts, one, "item").where("label <> its_label").where(F.least("n", "its_n") >= F.greatest("n", "its_n") * threshold - 1e-9)
     shared = met.groupBy("one", "id", "n", "its_n").agg(F.count(F.lit(1)).alias("shared"), F.max("place").alias("last"), F.max("its_place").alias("its_last"))
     # What they share up to the last place they meet in, and at most all that is after it.
     best = F.col("shared") + F.least(F.col("n") - F.col("last"), F.col("its_n") - F.col("its_last"))
@@ -188,9 +193,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     named = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("words_key", F.coalesce("label", "node").alias("class_id"))
     named = cut_lineage(named)
-    placed = cut_lineage(sketches.select("id", "words_key").join(named, "words_key").select("id", "class_id"))
+    placed = cut_lineage(_meet(sketches.select("id", "words_key"), named, "words_key").select("id", "class_id"))
     sizes = cut_lineage(placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
-    out = placed.join(sizes, "class_id").select("id", "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
+    out = _meet(placed, sizes, "class_id").select("id", "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
     loose = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")
     )
@@ -200,21 +205,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _linked(texts: DataFrame, sketches: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """id, label of the nodes that have a verified link."""
     firsts = nodes.select("words_key", F.col("node").alias("id"))
-    spread = sketches.join(firsts, ["words_key", "id"]).select("id", F.explode("bands").alias("band"))
+    spread = _meet(sketches, firsts, ["words_key", "id"]).select("id", F.explode("bands").alias("band"))
     buckets = cut_lineage(spread.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("band", "size"))
-    met = cut_lineage(spread.join(buckets, "band").select("band", "size", "id"))
+    met = cut_lineage(_meet(spread, buckets, "band").select("band", "size", "id"))
     central = met.groupBy("id").agg(F.sum("size").alias("central"))
-    members = cut_lineage(met.join(central, "id").select("band", "size", "id", "central"))
+    members = cut_lineage(_meet(met, central, "id").select("band", "size", "id", "central"))
     wanted = members.select("id").distinct()
-    held = cut_lineage(texts.join(wanted, "id"))
+    held = cut_lineage(_meet(texts, wanted, "id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = one.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+        one = _meet(pairs, held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        both = _meet(one, held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         return cut_lineage(both.mapInArrow(_verify(width, threshold), "a long, b long"))
 
     centres = members.groupBy("band").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("centre"))
-    star = members.join(cut_lineage(centres), "band").where("id <> centre")
+    star = _meet(members, cut_lineage(centres), "band").where("id <> centre")
     star = cut_lineage(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
     edges = verified(star)
     labels = components(edges)
@@ -234,4 +239,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One document of each class, with all columns; rows without an id stay."""
     kept = near_classes(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"))
-    return rows.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+    return rows.join(kept.hint("merge"), F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
