@@ -28,6 +28,7 @@ HEADLINE = [
     "E9_correlations",
     "H2_first_document_per_text",
     "H4_unique_names",
+    "K5_out_of_fold_scores",
 ]
 
 

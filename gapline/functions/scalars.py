@@ -1,4 +1,7 @@
-"""Column expressions. All are built-in functions, so they stay in generated code."""
+"""Column expressions, all of built-in functions: no Python in tasks.
+
+Array lambdas are evaluated by Spark's interpreter, the rest in generated code.
+"""
 
 from __future__ import annotations
 
@@ -43,6 +46,9 @@ def _epoch_or_text(c: Column, dtype: T.DataType) -> Column:
         return c.cast("timestamp")
     if isinstance(dtype, T.IntegralType):
         return F.when(c > EPOCH_MS_FLOOR, F.timestamp_millis(c.cast("bigint")))
+    if isinstance(dtype, T.NumericType):
+        number = c.try_cast("bigint")
+        return F.when(number > EPOCH_MS_FLOOR, F.timestamp_millis(number))
     text = c.cast("string")
     number = text.try_cast("bigint")
     # Digits alone are never a date; a date has year, month and day.

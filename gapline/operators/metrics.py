@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.operators.ordered import MAX_GROUP_ROWS, arrange
+from gapline.runtime import cut_lineage
 
 
 def _by(df: DataFrame, by):
@@ -26,14 +27,17 @@ def f1_scores(df: DataFrame, label: str, score: str, by=(), cut: float = 0.5) ->
 def ranking_scores(df: DataFrame, label: str, score: str, by=(), max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """ROC AUC (ties count half) and average precision (step sum), null for one class.
 
-    Rows collapse to distinct scores first; a run with many distinct scores is
+    A null or NaN score ranks below all others; rows without a label are left out. Rows collapse to distinct scores first; a run with many distinct scores is
     cut by score, so no task has to hold them all.
     """
-    df, keys = _by(df, by)
+    df, keys = _by(df.filter(F.col(label).isNotNull()), by)
+    number = F.col(score).cast("double")
+    df = df.withColumn(score, F.when(number.isNull() | F.isnan(number), F.lit(float("-inf"))).otherwise(number))
     pos = F.col(label).cast("int")
     steps = df.groupBy(*keys, score).agg(
         F.sum(pos).cast("long").alias("_p"), F.sum(1 - pos).cast("long").alias("_n")
     )
+    steps = cut_lineage(steps)  # the group check and the scan read it
     line = arrange(steps, keys, [score], max_rows).scan(
         {"_np": ("sum", "_n"), "_tp": ("rev_sum", "_p"), "_fp": ("rev_sum", "_n")}
     )
@@ -54,8 +58,12 @@ def ranking_scores(df: DataFrame, label: str, score: str, by=(), max_rows: int =
 
 
 def regression_scores(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
-    """MAE, RMSE and R²; with a constant label R² is 1 for a perfect fit, else 0."""
-    df, keys = _by(df, by)
+    """MAE, RMSE and R²; with a constant label R² is 1 for a perfect fit, else 0.
+
+    Rows that lack the label or the score (null or NaN) are left out.
+    """
+    known = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (label, score)]
+    df, keys = _by(df.filter(known[0] & known[1]), by)
     err = F.col(label) - F.col(score)
     n, sse = F.count(F.lit(1)), F.sum(err * err)
     sst = F.var_pop(F.col(label).cast("double")) * n

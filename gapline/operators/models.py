@@ -32,6 +32,16 @@ PRODUCTION_PARAMS = {
 }
 
 
+_TREE_PARAMS = set(PRODUCTION_PARAMS) | {"min_info_gain"}
+# Parameters each kind understands; any other is an error rather than ignored.
+KNOWN_PARAMS = {
+    "xgb_classifier": _TREE_PARAMS,
+    "xgb_regressor": _TREE_PARAMS - {"scale_pos_weight"},
+    "logistic_regression": {"C", "max_iter"},
+    "linear_regression": set(),
+}
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     """Model kind and its parameters, named as in an experiment file."""
@@ -40,8 +50,16 @@ class ModelSpec:
     params: Mapping = field(default_factory=dict)
 
     def estimator(self, label: str, n_rows: int = 1):
-        """The Spark estimator. ``n_rows`` turns a penalty per data set into one per row."""
+        """The Spark estimator. ``n_rows`` turns a penalty per data set into one per row.
+
+        ``gamma`` is the least gain of a split summed over all rows, Spark's
+        ``minInfoGain`` that of a mean row, so it is divided by the rows.
+        """
         p = dict(self.params)
+        if self.kind not in KNOWN_PARAMS:
+            raise ValueError(f"unknown kind of model: {self.kind}")
+        if unknown := sorted(set(p) - KNOWN_PARAMS[self.kind]):
+            raise ValueError(f"{self.kind} takes no {', '.join(unknown)}")
         if self.kind in ("xgb_classifier", "xgb_regressor"):
             cls = GBTClassifier if self.kind == "xgb_classifier" else GBTRegressor
             model = cls(
@@ -52,7 +70,7 @@ class ModelSpec:
                 stepSize=p.get("learning_rate", 0.3),
                 subsamplingRate=p.get("subsample", 1.0),
                 featureSubsetStrategy=str(float(p.get("colsample_bytree", 1.0))),
-                minInfoGain=float(p.get("min_info_gain", 0.0)),
+                minInfoGain=float(p.get("min_info_gain", p.get("gamma", 0.0) / n_rows)),
                 minInstancesPerNode=int(p.get("min_child_weight", 1)),
                 seed=p.get("random_state", 0),
             )
@@ -64,9 +82,7 @@ class ModelSpec:
             return LogisticRegression(
                 labelCol=label, maxIter=p.get("max_iter", 100), regParam=penalty, standardization=False
             )
-        if self.kind == "linear_regression":
-            return LinearRegression(labelCol=label, regParam=0.0)
-        raise ValueError(f"Unsupported model kind: {self.kind}")
+        return LinearRegression(labelCol=label, regParam=0.0)
 
     @property
     def classifies(self) -> bool:
@@ -93,7 +109,7 @@ def assembler(features: list[str]) -> VectorAssembler:
 def fit(df: DataFrame, features: list[str], label: str, spec: ModelSpec) -> PipelineModel:
     weight = float(spec.params.get("scale_pos_weight", 1.0))
     data = model_input(df, features, label, weight).select("_label", "_weight", *[f"_x_{c}" for c in features])
-    n_rows = data.count() if spec.kind == "logistic_regression" else 1
+    n_rows = max(1, data.count()) if spec.kind == "logistic_regression" or "gamma" in spec.params else 1
     return Pipeline(stages=[assembler(features), spec.estimator("_label", n_rows)]).fit(data)
 
 
@@ -145,6 +161,7 @@ def out_of_fold(
         scored = part if scored is None else scored.unionByName(part)
     from gapline.operators.targets import TASKS
 
+    scored = cut_lineage(scored)  # metrics read it several times; each fold is scored once
     return rows.join(scored, key, "left").withColumns(
         {
             "oof_is_validation": F.coalesce("oof_is_validation", F.lit(0)),

@@ -1,7 +1,7 @@
 """Ordered per-group computations that stay balanced when one group is huge.
 
 A plain ``Window.partitionBy(player)`` sends all rows of a player to one task.
-Here every group above ``max_rows`` is cut into parts along its order column.
+Here every group above ``max_rows`` is cut into parts along its order.
 Each part is scanned by its own window, one small summary row per part carries
 the state of the earlier parts, and the two are combined. Groups below the bound
 take the plain window, so data without hot groups keeps the one-shuffle plan.
@@ -10,10 +10,10 @@ take the plain window, so data without hot groups keeps the one-shuffle plan.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gapline.runtime import BROADCAST_ROWS, cut_lineage
 
@@ -21,9 +21,10 @@ MAX_GROUP_ROWS = 2_000_000
 PART = "_part"
 ALL = "_all"
 
-_LEVELS = 3
 _OVERSPLIT = 4
-_LEVEL_SHIFT = 1 << 20
+_TRIES = 4
+# Sampled cuts are not exact; a part may have so many times the bound.
+_SLACK = 2
 # A cut frame is used twice by every scan, as rows and for its carry. Fixing it
 # after this many scans keeps the plan from doubling on and on.
 _SCANS_PER_CUT = 2
@@ -31,16 +32,6 @@ _SCANS_PER_CUT = 2
 Spec = tuple  # (kind, column name) or (kind,)
 
 
-def _numeric_view(df: DataFrame, name: str) -> Column | None:
-    """The order column as a number, or None when it cannot be cut by arithmetic."""
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(dtype, T.NumericType):
-        return F.col(name).cast("double")
-    return None
-
-
 @dataclass(frozen=True)
 class Ordered:
     """A frame with its group columns, its total order and, if needed, its parts."""
@@ -102,7 +93,7 @@ class Ordered:
             if any(spec[0] == ("rev_lag" if way else "lag") for spec in specs.values()):
                 near[f"_rn{int(way)}"] = F.row_number().over(self._local(by, way))
         carry = self._carry(keys, specs)
-        joined = self.df.withColumns(near).join(carry, keys + [PART], "left")
+        joined = self._meet(self.df.withColumns(near), carry, keys)
         out = {name: self._combine(spec, f"_l_{name}", f"_c_{name}") for name, spec in specs.items()}
         drop = list(near) + [f"_c_{name}" for name in specs]
         return self._stepped(joined.withColumns(out).drop(*drop))
@@ -197,6 +188,13 @@ class Ordered:
         )
         return self._small(carry)
 
+    @staticmethod
+    def _meet(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows with the carry of their part; a null key is a key."""
+        names = {key: f"_key{i}" for i, key in enumerate([*keys, PART])}
+        same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(name)) for key, name in names.items()])
+        return df.join(carry.withColumnsRenamed(names), same, "left").drop(*names.values())
+
     def _small(self, carry: DataFrame) -> DataFrame:
         return F.broadcast(carry) if self.parts * 2 <= BROADCAST_ROWS else carry
 
@@ -224,7 +222,7 @@ class Ordered:
         local = self._local(by, reverse=False)
         frame = local.rowsBetween(-(size - 1), Window.currentRow)
         if not self.split:
-            return self.with_columns({out: F.avg(src).over(frame) for out, src in outs.items()})
+            return self.with_columns({out: F.avg(F.col(src).cast("double")).over(frame) for out, src in outs.items()})
 
         keys = self._keys(by)
         values = F.struct(*[F.col(src).cast("double").alias(out) for out, src in outs.items()])
@@ -244,7 +242,7 @@ class Ordered:
             .filter(F.size("_tail") > 0)
             .select(*keys, PART, "_tail")
         )
-        joined = self.df.withColumn("_near", F.collect_list(values).over(frame)).join(carry, keys + [PART], "left")
+        joined = self._meet(self.df.withColumn("_near", F.collect_list(values).over(frame)), carry, keys)
         joined = joined.withColumn(
             "_last", F.when(F.col("_tail").isNull(), F.col("_near")).otherwise(F.concat("_tail", "_near"))
         ).withColumn(
@@ -268,10 +266,12 @@ def arranged(df, by, order, max_rows: int = MAX_GROUP_ROWS) -> Ordered:
 def arrange(df: DataFrame, by, order, max_rows: int = MAX_GROUP_ROWS, rows_known: int | None = None) -> Ordered:
     """Prepare ordered computations over groups ``by`` in the order ``order``.
 
-    One light aggregate over the key and order columns tells whether any group is
-    above ``max_rows``. If none is, the frame stays as it is. Otherwise a hot group
-    is cut by equal widths of the first order column that varies in it, again for
-    parts which are still too big, up to three levels. The order must be total.
+    One count per group tells whether any group is above ``max_rows``. If none is, the
+    frame stays as it is. Otherwise the rows of hot groups alone are range partitioned
+    by group and order, so that the cuts are sampled quantiles of the whole order, of any
+    type and spread, nulls and NaN included; a row's part is its partition. The other
+    rows have no part. The order must be total: a part that stays too big because its
+    rows cannot be told apart is an error.
     ``rows_known`` is a row count the caller already has; within the bound it saves
     the check.
     """
@@ -279,77 +279,29 @@ def arrange(df: DataFrame, by, order, max_rows: int = MAX_GROUP_ROWS, rows_known
     if not by:
         df = df.withColumn(ALL, F.lit(1))
         by = (ALL,)
-
-    split, total_parts = False, 0
     if rows_known is not None and rows_known <= max_rows:
-        return Ordered(df, by, order, split, total_parts)
-    for _ in range(_LEVELS):
-        keys = list(by) + ([PART] if split else [])
-        stats, n_groups, n_parts = _hot_groups(df, keys, order, max_rows)
-        if n_groups == 0:
-            break
-        df = _cut(df, keys, stats, n_groups, order, split)
-        split = True
-        total_parts += n_parts
-    return Ordered(df, by, order, split, total_parts)
-
-
-def _cuttable(df: DataFrame, order) -> list[tuple[str, Column, Column]]:
-    """Leading order columns that are numbers: (name, value without NaN, is NaN)."""
-    found = []
-    for name in order:
-        view = _numeric_view(df, name)
-        if view is None:
-            break
-        is_nan = F.coalesce(F.isnan(view), F.lit(False))
-        found.append((name, F.when(~is_nan, view), is_nan))
-    return found
-
-
-def _hot_groups(df: DataFrame, keys: list[str], order, max_rows: int):
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    varies = {}
-    for i, (name, view, is_nan) in enumerate(_cuttable(df, order)):
-        aggs += [
-            F.min(view).alias(f"_lo{i}"),
-            F.max(view).alias(f"_hi{i}"),
-            (
-                F.max(F.col(name).isNull().cast("int"))
-                + F.max(is_nan.cast("int"))
-                + F.max(view.isNotNull().cast("int"))
-            ).alias(f"_sorts{i}"),
-        ]
-        varies[f"_var{i}"] = (F.col(f"_sorts{i}") > 1) | F.coalesce(F.col(f"_hi{i}") > F.col(f"_lo{i}"), F.lit(False))
-    stats = (
-        df.groupBy(*keys)
-        .agg(*aggs)
-        .filter(F.col("_n") > max_rows)
-        .withColumns(varies)
-        .withColumn("_parts", F.least(F.ceil(F.col("_n") / max_rows) * _OVERSPLIT, F.lit(_LEVEL_SHIFT - 4)))
-        .drop("_n", *[f"_sorts{i}" for i in range(len(varies))])
-    )
-    if PART in keys:
-        stats = stats.filter(F.col(PART).isNotNull())
-    found = stats.agg(F.count(F.lit(1)), F.coalesce(F.sum("_parts"), F.lit(0))).first()
-    return stats, int(found[0]), int(found[1])
-
-
-def _cut(df, keys, stats, n_groups, order, split) -> DataFrame:
-    hint = F.broadcast(stats) if n_groups <= BROADCAST_ROWS else stats
-    joined = df.join(hint, keys, "left")
-    columns = _cuttable(df, order)
-    parts = F.col("_parts")
-    slot: Column = F.lit(0).cast("long")
-    for i, (name, view, is_nan) in reversed(list(enumerate(columns))):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        step = F.coalesce(F.floor(F.try_divide(view - lo, hi - lo) * parts), F.lit(0))
-        # Ascending order in Spark: nulls, numbers, NaN.
-        place = (
-            F.when(F.col(name).isNull(), F.lit(0)).when(is_nan, parts + 1).otherwise(F.least(step, parts - 1) + 1)
-        )
-        slot = F.when(F.col(f"_var{i}"), place.cast("long")).otherwise(slot)
-    fresh = F.when(parts.isNotNull(), slot)
-    if split:
-        fresh = F.col(PART) * F.lit(_LEVEL_SHIFT) + F.coalesce(fresh, F.lit(0))
-    drop = ["_parts"] + [f"_{end}{i}" for i in range(len(columns)) for end in ("lo", "hi", "var")]
-    return joined.withColumn(PART, fresh.cast("long")).drop(*drop)
+        return Ordered(df, by, order, False)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    n_groups, n_rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if n_groups == 0:
+        return Ordered(df, by, order, False)
+
+    keys = cut_lineage(counts.select(*[F.col(c).alias(f"_hot{i}") for i, c in enumerate(by)]))
+    keys = F.broadcast(keys) if n_groups <= BROADCAST_ROWS else keys
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_hot{i}")) for i, c in enumerate(by)])
+    hot, parts = _cut(df.join(keys, same, "left_semi"), by, order, max_rows, n_rows)
+    cold = df.join(keys, same, "left_anti").withColumn(PART, F.lit(None).cast("long"))
+    return Ordered(cold.unionByName(hot), by, order, True, parts + n_groups)
+
+
+def _cut(hot: DataFrame, by, order, max_rows: int, n_rows: int) -> tuple[DataFrame, int]:
+    """Rows with their part, written once, and the number of parts."""
+    parts = -(-n_rows // max_rows) * _OVERSPLIT
+    for _ in range(_TRIES):
+        cut = hot.repartitionByRange(parts, *[F.col(c).asc() for c in (*by, *order)])
+        cut = cut_lineage(cut.withColumn(PART, F.spark_partition_id().cast("long")))
+        sizes = cut.groupBy(*by, PART).agg(F.count(F.lit(1)).alias("_n"))
+        if sizes.agg(F.max("_n")).first()[0] <= _SLACK * max_rows:
+            return cut, parts
+        parts *= 2
+    raise ValueError(f"a group cannot be cut by {', '.join(order)}: the order is not total")

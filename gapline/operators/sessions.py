@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapline.functions import scalars as S
 from gapline.operators.ordered import MAX_GROUP_ROWS, Ordered, arrange
@@ -62,10 +63,13 @@ def gap_sessions(
 ) -> DataFrame:
     """Labelled sessions, ``session_00001`` on: new when the gap is strictly longer.
 
-    Text times are parsed as UTC. A time that cannot be parsed becomes null, sorts
-    last, and each such row starts its own session.
+    Text times are parsed as UTC, numbers are epoch milliseconds. A time that cannot be
+    parsed becomes null, sorts last, and each such row starts its own session.
     """
-    parsed = F.col(time_col).cast("string").try_cast("timestamp")
+    if isinstance(df.schema[time_col].dataType, T.NumericType):
+        parsed = F.timestamp_millis(F.col(time_col).try_cast("bigint"))
+    else:
+        parsed = F.col(time_col).cast("string").try_cast("timestamp")
     work = df.withColumn(time_col, parsed).withColumn("_late", F.col(time_col).isNull().cast("int"))
     line = arrange(work, by, ["_late", time_col, *tie], max_rows).scan({"_prev": ("lag", time_col)})
     gap = (F.unix_micros(F.col(time_col)) - F.unix_micros(F.col("_prev"))) / 60_000_000

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapline.operators import backtest as B
 from gapline.operators import metrics as K
 from gapline.operators import models as ML
 from gapline.operators import policy as P
+from gapline.operators import reports as R
 from gapline.operators import splits as SP
 from gapline.operators.targets import TASKS
 from gapline.runtime import cut_lineage
@@ -71,9 +72,12 @@ def write_run(
     features: list[str],
     group: str,
     time: str,
+    spec: ML.ModelSpec | None = None,
 ) -> DataFrame:
-    """Run folder: out-of-fold parquet, metrics, leakage report and manifest."""
+    """Run folder: out-of-fold parquet, final model, metrics, leakage report and manifest."""
     spark = rows.sparkSession
+    model = ML.fit(rows, features, f"target__{kind}", spec or default_spec(kind))
+    model.write().overwrite().save(f"{out}/model")
     sinks.write_parquet(oof, f"{out}/oof_predictions")
     sinks.write_manifest(per_fold, f"{out}/fold_metrics")
     sinks.write_manifest(summary, f"{out}/metrics")
@@ -83,6 +87,7 @@ def write_run(
         {
             "run_dir": out,
             "oof_predictions_path": f"{out}/oof_predictions",
+            "model_path": f"{out}/model",
             "feature_order": features,
             "task_type": TASKS[kind],
             "target_col": f"target__{kind}",
@@ -94,10 +99,22 @@ def write_run(
 
 
 def evaluate_policy(
-    oof: DataFrame, kind: str, policy: Mapping, group, order, pl: str, threshold: float | None = None
+    oof: DataFrame | None,
+    kind: str,
+    policy: Mapping,
+    group,
+    order,
+    pl: str,
+    threshold: float | None = None,
+    fallback: Callable[[], DataFrame] | None = None,
+    out: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Session records and summary of a policy on validated rows."""
-    rows = ML.validation_rows(oof)
+    """Session records and summary of a policy.
+
+    Scores are those of validated rows; without an out-of-fold frame those that
+    ``fallback`` gives, such as ``saved_scores`` of a run. ``out`` is a folder to write both to.
+    """
+    rows, source = ML.scoring_frame(oof, fallback)
     limit = P.resolve_threshold(policy, kind) if threshold is None else threshold
     act = P.action_from_objective(F.col("policy_score"), kind, policy, limit)
     records = B.backtest_sessions(rows.withColumn("policy_action", act), group, order, pl, "policy_action")
@@ -107,11 +124,39 @@ def evaluate_policy(
         F.lit(P.threshold_name(kind)).alias("threshold_name"),
         F.lit(float(limit)).alias("threshold_value"),
         "*",
-        F.lit("oof_validation").alias("score_source"),
+        F.lit(source).alias("score_source"),
     )
+    if out:
+        sinks.write_csv(records, f"{out}/session_policy_summary")
+        sinks.write_manifest(summary, f"{out}/policy_summary")
     return records, summary
 
 
+def saved_scores(run: str, rows: DataFrame, features: list[str], spec: ML.ModelSpec) -> DataFrame:
+    """The rows scored by the model of a run folder."""
+    model = ML.PipelineModel.load(f"{run}/model")
+    return ML.score(model, rows, features, spec, "policy_score")
+
+
+def write_sweep(sweep: DataFrame, out: str) -> DataFrame:
+    """The table of a threshold sweep and its best row; the latter is returned."""
+    fixed = cut_lineage(sweep)
+    best = B.best_threshold(fixed)
+    sinks.write_csv(fixed, f"{out}/threshold_sweep")
+    sinks.write_manifest(best, f"{out}/threshold_sweep_summary")
+    return best
+
+
+def read_runs(spark: SparkSession, runs: Mapping[str, str]) -> DataFrame:
+    """Mean metrics of run folders, one row per name."""
+    rows = {}
+    for name, folder in runs.items():
+        means = spark.read.json(f"{folder}/metrics").select("metric", "mean")
+        found = [r["metric"] for r in means.select("metric").distinct().orderBy("metric").collect()]
+        rows[name] = means.groupBy().pivot("metric", found).agg(F.first("mean"))
+    return R.compare_runs(rows)
+
+
 def production_run(
     df: DataFrame,
     features: list[str],
@@ -123,9 +168,12 @@ def production_run(
     spec: ML.ModelSpec = ML.ModelSpec("xgb_classifier", ML.PRODUCTION_PARAMS),
     n_splits: int = 5,
     seed: int = 42,
+    out: str | None = None,
 ) -> tuple[DataFrame, DataFrame, ML.PipelineModel]:
     """Stratified group check, final fit on all rows, threshold search: summary, AUCs, model.
 
+    ``out`` is a folder for the model and the summary.
+
     The threshold is chosen on the rows the model was fitted on, as in the original
     recipe, so its gain is an optimistic figure.
     """
@@ -150,4 +198,9 @@ def production_run(
     # Two one-row frames side by side.
     one = F.lit(1)
     summary = cv.withColumn("_one", one).join(choice.withColumn("_one", one), "_one").drop("_one")
+    summary = summary.withColumns({"rows": F.lit(rows.count()), "features": F.array(*[F.lit(c) for c in features])})
+    if out:
+        summary = cut_lineage(summary)
+        model.write().overwrite().save(f"{out}/model")
+        sinks.write_manifest(summary, f"{out}/training_summary")
     return summary, aucs, model

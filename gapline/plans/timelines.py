@@ -17,7 +17,8 @@ from gapline.operators import targets as TG
 from gapline.plans import fixtures as X
 from gapline.plans.fixtures import r6, table
 from gapline.plans.population import q
-from gapline.schemas import CORE_FEATURES, EXPERIMENT_DROPS
+from gapline.runtime import cut_lineage
+from gapline.schemas import CORE_FEATURES, EXPERIMENT_DROPS, OPTIONAL_FEATURES
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -601,13 +602,19 @@ def k11(spark, sf) -> DataFrame:
 
 
 # -------------------------------------------------------------------- models
-MODEL_FEATURES = ["my_acpl", "my_avg_secs_per_move", "games_played", "session_pl", "loss_streak", "log_break_time"]
-# Few trees, so a check stays short; the parameters are those of a real run otherwise.
-SHORT_FIT = {
-    "classification": ML.ModelSpec("logistic_regression", {"max_iter": 15}),
+MODEL_FEATURES = [*CORE_FEATURES, *OPTIONAL_FEATURES]
+FITS = {
+    "classification": ML.ModelSpec("logistic_regression"),
     "regression": ML.ModelSpec("linear_regression"),
 }
-SMALL_TREES = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3, "random_state": 42, "scale_pos_weight": 5}
+TREES = {k: v for k, v in ML.PRODUCTION_PARAMS.items() if k != "scale_pos_weight"}
+
+
+def _full_training(spark, sf, kinds) -> DataFrame:
+    """Rows with every feature of the contract, from documents; written once for fit and score."""
+    line = SE.feature_line(_feature_rows(spark, sf), X.GAP_MINUTES)
+    df = TG.add_targets(line, kinds, SESSION, ORDER, "session_pl", position="games_played")
+    return cut_lineage(df.withColumn("sid", F.concat_ws("/", "player", "session_id")))
 
 
 def _training(spark, sf) -> DataFrame:
@@ -636,27 +643,27 @@ def _model_query(name: str, kind: str, params: dict, target: str) -> None:
     @query(name)
     def run(spark, sf) -> DataFrame:
         spec = ML.ModelSpec(kind, params)
-        df = _training(spark, sf)
+        df = _full_training(spark, sf, [target.removeprefix("target__")])
         _, out = ML.final_scores(df, MODEL_FEATURES, target, spec)
         return out.select("game_id", F.col(target).alias("label"), r6(F.col("policy_score")).alias("policy_score"))
 
 
-_model_query("K2_boosted_classifier", "xgb_classifier", SMALL_TREES, "target__peak_binary")
-_model_query("K3_boosted_regressor", "xgb_regressor", SMALL_TREES, "target__future_upside_regression")
-_model_query("K4_logistic_regression", "logistic_regression", {"max_iter": 15}, "target__peak_binary")
+_model_query("K2_boosted_classifier", "xgb_classifier", ML.PRODUCTION_PARAMS, "target__peak_binary")
+_model_query("K3_boosted_regressor", "xgb_regressor", TREES, "target__future_upside_regression")
+_model_query("K4_logistic_regression", "logistic_regression", {}, "target__peak_binary")
 _model_query("K4_linear_regression", "linear_regression", {}, "target__future_upside_regression")
 
 
-def _oof(spark, sf, kind: str = "peak_binary") -> DataFrame:
-    target = f"target__{kind}"
-    spec = SHORT_FIT[TG.TASKS[kind]]
-    rows, folds = ML.fix_folds(_training(spark, sf), "sid", "created_at_ms", 5, 1)
-    return ML.out_of_fold(rows, folds, MODEL_FEATURES, target, kind, spec, "sid", ["game_id"])
+def _oof(df: DataFrame, kind: str) -> DataFrame:
+    rows, folds = ML.fix_folds(df, "sid", "created_at_ms", 5, 1)
+    features = [c for c in MODEL_FEATURES if c in df.columns]
+    return ML.out_of_fold(rows, folds, features, f"target__{kind}", kind, FITS[TG.TASKS[kind]], "sid", ["game_id"])
 
 
 @query("K5_out_of_fold_scores")
 def k5(spark, sf) -> DataFrame:
-    return _oof(spark, sf).select("game_id", "sid", "oof_score", "oof_fold", "oof_is_validation", "objective_kind")
+    out = _oof(_full_training(spark, sf, ["peak_binary"]), "peak_binary")
+    return out.select("game_id", "sid", "oof_score", "oof_fold", "oof_is_validation", "objective_kind")
 
 
 @query(
@@ -667,7 +674,7 @@ def k5(spark, sf) -> DataFrame:
     ),
 )
 def k5_coverage(spark, sf) -> DataFrame:
-    return _oof(spark, sf, "future_upside_regression").select("game_id", "oof_fold", "oof_is_validation", "task_type")
+    return _oof(_training(spark, sf), "future_upside_regression").select("game_id", "oof_fold", "oof_is_validation", "task_type")
 
 
 @query(
@@ -687,8 +694,8 @@ def k4_one(spark, sf) -> DataFrame:
 
 @query("K6_final_fit_fallback")
 def k6(spark, sf) -> DataFrame:
-    spec = SHORT_FIT["classification"]
-    df = _training(spark, sf)
+    spec = FITS["classification"]
+    df = _full_training(spark, sf, ["peak_binary"])
 
     def in_sample() -> DataFrame:
         model = ML.save_and_reload(ML.fit(df, MODEL_FEATURES, "target__peak_binary", spec), spark)
@@ -967,9 +974,9 @@ def j8_run(spark, sf) -> DataFrame:
     """Group-checked classifier and its threshold, from features to summary."""
     from gapline.plans.lab import production_run
 
-    spec = ML.ModelSpec("xgb_classifier", SMALL_TREES)
+    spec = ML.ModelSpec("xgb_classifier", ML.PRODUCTION_PARAMS)
     summary, _, _ = production_run(
-        _training(spark, sf), MODEL_FEATURES, "target__peak_binary", "sid", ORDER, "rating_diff", ["game_id"], spec
+        _full_training(spark, sf, ["peak_binary"]), MODEL_FEATURES, "target__peak_binary", "sid", ORDER, "rating_diff", ["game_id"], spec
     )
     return summary
 
@@ -1150,6 +1157,6 @@ def l6(spark, sf) -> DataFrame:
     from gapline.plans.lab import objective_matrix
 
     kinds = _ALL_KINDS[:4]
-    df = _targets(spark, sf, kinds).withColumn("sid", F.concat_ws("/", "player", "session_id"))
-    specs = {k: SHORT_FIT[TG.TASKS[k]] for k in kinds}
+    df = _full_training(spark, sf, kinds)
+    specs = {k: FITS[TG.TASKS[k]] for k in kinds}
     return objective_matrix(df, kinds, MODEL_FEATURES, "sid", "created_at_ms", ["game_id"], specs)

