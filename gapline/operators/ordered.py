@@ -21,7 +21,7 @@ MAX_GROUP_ROWS = 2_000_000
 PART = "_part"
 ALL = "_all"
 
-_OVERSPLIT = 4
+_OVERSPLIT = 2
 _TRIES = 4
 # Sampled cuts are not exact; a part may have so many times the bound.
 _SLACK = 2

@@ -602,6 +602,56 @@ def _ingested(spark, sf, fixed: bool) -> DataFrame:
     return spark.read.parquet(f"{base}/table").select("id", "player", "createdAt", "delta")
 
 
+@query(
+    "B4_event_time_number_types",
+    """SELECT event_id, (epoch_us(ts) // 1000) + CASE WHEN event_id % 4 = 0 THEN 1000 ELSE 0 END AS ms FROM events""",
+)
+def b4_numbers(spark, sf) -> DataFrame:
+    """Epochs as doubles (as a column with gaps often comes) and as decimals."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = table(spark, sf, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 4 != 0, ms).cast("double").alias("last"),
+        (ms + 1000).cast("decimal(20,3)").alias("created"),
+        F.lit(None).cast("date").alias("day"),
+    )
+    return e.select("event_id", F.unix_millis(S.event_time(e, "last", "created", "day")).alias("ms"))
+
+
+@query(
+    "F3_labelled_gap_sessions_number_times",
+    """WITH g AS (SELECT event_id, user_id, CASE WHEN epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w <= 43200000 THEN 0 ELSE 1 END AS opens,
+        epoch_us(ts) // 1000 AS ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id))
+      SELECT event_id, printf('session_%05d', CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT)) AS session_id FROM g""",
+)
+def f3_numbers(spark, sf) -> DataFrame:
+    from gapline.operators.sessions import gap_sessions
+
+    e = table(spark, sf, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return gap_sessions(e, "at", 720, by=["user_id"], tie=["event_id"]).select("event_id", "session_id")
+
+
+@query(
+    "K_metrics_without_values",
+    """WITH s AS (SELECT event_id % 2 AS y, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CAST('-inf' AS DOUBLE) ELSE event_id % 97 / 97.0 END AS p FROM events),
+      r AS (SELECT y, coalesce(p, CAST('-inf' AS DOUBLE)) AS p FROM s),
+      c AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM r GROUP BY p),
+      b AS (SELECT *, sum(neg) OVER (ORDER BY p) - neg AS below FROM c),
+      m AS (SELECT avg(abs(y - v)) AS mae FROM (SELECT event_id % 2 AS y, event_id % 97 / 97.0 AS v FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0))
+      SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(max(mae), 6) AS mae FROM b, m""",
+)
+def k_gaps(spark, sf) -> DataFrame:
+    """Scores that are null or NaN rank last, and are left out of errors."""
+    from gapline.operators import metrics as K
+
+    i = F.col("event_id")
+    p = F.when(i % 7 == 0, None).when(i % 11 == 0, float("nan")).otherwise(i % 97 / 97.0)
+    e = table(spark, sf, "events").select((i % 2).cast("int").alias("y"), p.alias("p"))
+    auc = K.ranking_scores(e, "y", "p").select(F.round("roc_auc", 6).alias("roc_auc"), F.lit(1).alias("k"))
+    mae = K.regression_scores(e, "y", "p").select(F.round("mae", 6).alias("mae"), F.lit(1).alias("k"))
+    return auc.join(mae, "k").drop("k")
+
+
 @query("M1_incremental_ingest", _INGEST_SQL)
 def m1(spark, sf) -> DataFrame:
     return _ingested(spark, sf, True)

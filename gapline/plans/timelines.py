@@ -14,6 +14,7 @@ from gapline.operators import reports as R
 from gapline.operators import sessions as SE
 from gapline.operators import splits as SP
 from gapline.operators import targets as TG
+from gapline.operators.ordered import arrange
 from gapline.plans import fixtures as X
 from gapline.plans.fixtures import r6, table
 from gapline.plans.population import q
@@ -242,6 +243,42 @@ def f3_global(spark, sf) -> DataFrame:
     return out.select("event_id", "session_id")
 
 
+# Orders that equal widths could not cut: growing, text, with infinities, with NaN.
+_ORDERS = {
+    "geometric": (lambda i: F.pow(F.lit(1.001), i), "pow(1.001, event_id)"),
+    "text": (lambda i: F.concat(F.lit("event "), i.cast("string")), "'event ' || event_id"),
+    "infinite": (
+        lambda i: F.when(i % 500 == 7, float("inf")).when(i % 500 == 8, float("-inf")).otherwise(-i.cast("double")),
+        "CASE WHEN event_id % 500 = 7 THEN CAST('inf' AS DOUBLE) WHEN event_id % 500 = 8 THEN CAST('-inf' AS DOUBLE) ELSE -event_id END",
+    ),
+    "nan": (
+        lambda i: F.when(i % 3 == 0, float("nan")).when(i % 3 == 1, i.cast("double")),
+        "CASE WHEN event_id % 3 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 3 = 1 THEN event_id END",
+    ),
+}
+
+
+def _order_query(kind: str) -> None:
+    view, sql = _ORDERS[kind]
+
+    @query(
+        f"F_any_order_hot_split_{kind}",
+        f"""WITH e AS (SELECT event_id, event_type, {sql} AS pos FROM events)
+          SELECT event_id, row_number() OVER w AS n, lag(event_id) OVER w AS before,
+            CAST(sum(event_id % 13) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+          FROM e WINDOW w AS (PARTITION BY event_type ORDER BY pos NULLS FIRST, event_id)""",
+    )
+    def run(spark, sf) -> DataFrame:
+        e = table(spark, sf, "events").select("event_id", "event_type", view(F.col("event_id")).alias("at"))
+        line = arrange(e.withColumn("v", F.col("event_id") % 13), ["event_type"], ["at", "event_id"], max_rows=500)
+        line = line.scan({"n": ("count",), "before": ("lag", "event_id"), "upto": ("sum", "v")})
+        return line.result().select("event_id", "n", "before", "upto")
+
+
+for _kind in _ORDERS:
+    _order_query(_kind)
+
+
 def _hist_query(name: str, plain: str, doubles: str = "") -> None:
     """A plain and a cut form of a session feature against one oracle."""
     sql = X.with_history(f"SELECT game_id, {sqlsel(plain, doubles)} FROM feat")
@@ -692,6 +729,67 @@ def k4_one(spark, sf) -> DataFrame:
     return out.select("game_id", r6(F.col("policy_score")).alias("policy_score"))
 
 
+_SIDE = F.when(F.col("session_pl") > 0, 1.0).otherwise(0.0)
+
+
+def _two_groups(spark, sf, kind: str, model: str, params: dict) -> DataFrame:
+    """Scores of a model that sees one 0/1 feature, whether the session is ahead."""
+    df = _targets(spark, sf, [kind]).withColumn("ahead", _SIDE)
+    _, out = ML.final_scores(df, ["ahead"], f"target__{kind}", ML.ModelSpec(model, params))
+    return out.select("game_id", F.col("policy_score").alias("policy_score"))
+
+
+_ONE_SPLIT = {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0}
+_GROUP = "OVER (PARTITION BY session_pl > 0)"
+
+
+@query(
+    "K2_boosted_classifier_one_split",
+    X.with_history(f"SELECT game_id, round(1 / (1 + exp(-2 * (2 * avg(CAST(target AS DOUBLE)) {_GROUP} - 1))), 6) + 0.0 AS policy_score FROM feat"),
+)
+def k2_one(spark, sf) -> DataFrame:
+    """A tree of one split on a 0/1 feature gives the log-odds form of two class means."""
+    return sel(_two_groups(spark, sf, "peak_binary", "xgb_classifier", _ONE_SPLIT), "game_id", "policy_score")
+
+
+@query(
+    "K3_boosted_regressor_one_split",
+    X.with_history(f"SELECT game_id, round(avg(suffix_max - session_pl) {_GROUP}, 6) + 0.0 AS policy_score FROM feat"),
+)
+def k3_one(spark, sf) -> DataFrame:
+    return sel(_two_groups(spark, sf, "future_upside_regression", "xgb_regressor", _ONE_SPLIT), "game_id", "policy_score")
+
+
+@query(
+    "K4_logistic_regression_two_rates",
+    X.with_history(f"SELECT game_id, round(avg(CAST(target AS DOUBLE)) {_GROUP}, 3) AS policy_score FROM feat"),
+)
+def k4_rates(spark, sf) -> DataFrame:
+    """Without a penalty and with one 0/1 feature, the scores are two class rates."""
+    out = _two_groups(spark, sf, "peak_binary", "logistic_regression", {"C": 1e9})
+    return out.select("game_id", F.round("policy_score", 3).alias("policy_score"))
+
+
+@query(
+    "K6_final_fit_saved_and_reloaded",
+    X.with_history(
+        f"""SELECT game_id, {q('a + b * session_pl AS policy_score')}, 'in_sample_fallback' AS score_source FROM feat,
+            (SELECT regr_intercept(suffix_max - session_pl, session_pl) AS a,
+              regr_slope(suffix_max - session_pl, session_pl) AS b FROM feat) f"""
+    ),
+)
+def k6_closed(spark, sf) -> DataFrame:
+    df = _targets(spark, sf, ["future_upside_regression"])
+    spec = ML.ModelSpec("linear_regression")
+
+    def in_sample() -> DataFrame:
+        model = ML.save_and_reload(ML.fit(df, ["session_pl"], "target__future_upside_regression", spec), spark)
+        return ML.score(model, df, ["session_pl"], spec, "policy_score")
+
+    rows, source = ML.scoring_frame(None, in_sample)
+    return sel(rows, "game_id", "policy_score").withColumn("score_source", F.lit(source))
+
+
 @query("K6_final_fit_fallback")
 def k6(spark, sf) -> DataFrame:
     spec = FITS["classification"]
