@@ -729,12 +729,9 @@ def k4_one(spark, sf) -> DataFrame:
     return out.select("game_id", r6(F.col("policy_score")).alias("policy_score"))
 
 
-_SIDE = F.when(F.col("session_pl") > 0, 1.0).otherwise(0.0)
-
-
 def _two_groups(spark, sf, kind: str, model: str, params: dict) -> DataFrame:
     """Scores of a model that sees one 0/1 feature, whether the session is ahead."""
-    df = _targets(spark, sf, [kind]).withColumn("ahead", _SIDE)
+    df = _targets(spark, sf, [kind]).withColumn("ahead", F.when(F.col("session_pl") > 0, 1.0).otherwise(0.0))
     _, out = ML.final_scores(df, ["ahead"], f"target__{kind}", ML.ModelSpec(model, params))
     return out.select("game_id", F.col("policy_score").alias("policy_score"))
 
