@@ -108,10 +108,11 @@ def votes(words: Words, hashes: np.ndarray, lines: np.ndarray) -> np.ndarray:
     ).astype(np.int8)
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior_weight: float = 0.1) -> tuple[np.ndarray, np.ndarray, float]:
     """Probability of good per pattern; accuracy per labeller on its votes; share of good.
 
-    Given the class, labellers are taken as independent. Rates start at the prior.
+    Given the class, labellers are taken as independent. Rates start at the prior, which
+    counts as ``prior_weight`` of the rows.
     """
     kinds = np.stack([patterns == v for v in (-1, 1)], axis=2)  # pattern x labeller x vote; no vote tells nothing
     prior = np.array([PRIOR["good"], PRIOR["bad"]])[:, None, :]
@@ -121,7 +122,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     for _ in range(rounds):
         mass = np.stack([counts * good, counts * (1 - good)])
         share = float(np.clip(mass[0].sum() / counts.sum(), 1e-4, 1 - 1e-4))
-        rate = np.einsum("cp,plv->clv", mass, kinds) + prior * (1 + 0.1 * counts.sum())
+        rate = np.einsum("cp,plv->clv", mass, kinds) + prior * (1 + prior_weight * counts.sum())
         rate /= rate.sum(axis=2, keepdims=True)
         odds = np.log(share / (1 - share)) + np.einsum("plv,lv->p", kinds, np.log(rate[0]) - np.log(rate[1]))
         new = 0.5 * (1 + np.tanh(0.5 * odds))
