@@ -93,3 +93,13 @@ def test_json_to_features(spark, tmp_path):
     assert [r.user_color for r in got] == ["white", "black", "black"] and [r.result for r in got] == [1.0, 0.0, 0.5]
     assert [r.target for r in got] == [1, 0, 1] and got[0].my_avg_secs_per_move == 30.0
     assert got[0].tod_label == "night" and "player" not in out.columns
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
