@@ -1,12 +1,13 @@
 """Near-duplicate classes by ProbMinHash sketches, banding and exact verification.
 
-A text is a weighted set of five-word shingles (weight 1 + ln of the count). In a sketch
+A text is the set of its distinct five-word shingles, all of one weight. In a sketch
 every shingle is a Poisson process whose rate is its weight; each arrival picks a
 register at random, a register keeps the shingle of its earliest arrival, and a process
 ends as soon as its next arrival is later than all registers. Two sketches agree in a
-register with the probability Jaccard similarity of the sets. Sketches are banded, and
-what meets in a band is verified on the whole texts: the Jaccard similarity of the
-distinct shingles is at least the threshold.
+register with the probability Jaccard similarity of the sets, which at equal weights is
+the Jaccard similarity, however often a text repeats a passage. Sketches are banded, and
+what meets in a band is verified on the whole texts by the same measure: the Jaccard
+similarity of the distinct shingles is at least the threshold.
 
 Texts of one word sequence are one node before banding. A band's nodes are not paired
 with each other: all are compared with one centre, the node that shares most bands with
@@ -87,10 +88,9 @@ def _sketch(width: int, bands: int, rows: int):
                 n = batch.num_rows
                 packed = np.sort(owner.astype(np.uint64) << np.uint64(40) | item >> np.uint64(24))
                 edge = np.flatnonzero(np.diff(packed, prepend=packed[:1] + np.uint64(1)))
-                count = np.diff(edge, append=len(packed))
                 packed = packed[edge]
                 who = (packed >> np.uint64(40)).astype(np.int64)
-                sketch = prob_minhash(mix(packed & np.uint64((1 << 40) - 1)), 1 + np.log(count), who, n, bands * rows)
+                sketch = prob_minhash(mix(packed & np.uint64((1 << 40) - 1)), np.ones(len(packed)), who, n, bands * rows)
                 band = sketch.reshape(n, bands, rows)
                 code = np.zeros((n, bands), np.uint64)
                 for r in range(rows):

@@ -129,6 +129,16 @@ def test_near_dedup_groups(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_dedup_repeated_passages(spark):
+    """Pairs of one distinct shingle set but for the seams, a passage once and 1000 times."""
+    rows = []
+    for i in range(60):
+        words = prose(1000 + i, 40)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:20] * 1000 + words[20:]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     import numpy as np
 
