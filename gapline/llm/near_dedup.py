@@ -79,6 +79,12 @@ def prob_minhash(item: np.ndarray, weight: np.ndarray, owner: np.ndarray, owners
     return who.reshape(owners, size)
 
 
+def words_keys(words, hashes: np.ndarray) -> pa.Array:
+    """A 128-bit hash of every text's word sequence."""
+    raw, cuts = hashes.tobytes(), words.first * 8
+    return pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+
+
 def _sketch(width: int, bands: int, rows: int):
     def run(stream):
         hasher = Hasher()
@@ -98,10 +104,19 @@ def _sketch(width: int, bands: int, rows: int):
                 code = mix(code + np.arange(bands, dtype=np.uint64)[None, :])
                 some = np.zeros(n, bool)
                 some[who] = True
-                raw, cuts = hashes.tobytes(), words.first * 8
-                keys = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:])]
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32), pa.array(code[some].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), lists], ["id", "words_key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), words_keys(words, hashes), lists], ["id", "words_key", "bands"])
+
+    return run
+
+
+def _keyed():
+    def run(stream):
+        hasher = Hasher()
+        for whole in stream:
+            for batch in slices(whole, "text", BATCH_BYTES):
+                words = hasher.split(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), words_keys(words, words.hashes()), batch.column("text")], ["id", "words_key", "text"])
 
     return run
 
@@ -188,24 +203,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: its id, class_id (the smallest id of its class), class_size, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("id").isNotNull())
     sketches = cut_lineage(texts.mapInArrow(_sketch(width, bands, rows), "id long, words_key binary, bands array<long>"))
-    nodes = cut_lineage(sketches.groupBy("words_key").agg(F.min("id").alias("node")))
-    labels = cut_lineage(_linked(texts, sketches, nodes, width, threshold))
-
-    named = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("words_key", F.coalesce("label", "node").alias("class_id"))
+    nodes = sketches.groupBy("words_key").agg(F.min("id").alias("id"))
+    several = cut_lineage(sketches.groupBy("id").agg((F.min("words_key") < F.max("words_key")).alias("several")).where("several").select("id"))
+    if several.isEmpty():  # then an id has one text, and names its node
+        nodes, ties = cut_lineage(nodes.withColumn("node", F.col("id"))), None
+        owned = texts
+    else:  # an id may be the first of several texts; nodes get numbers, and those of an id are tied
+        nodes = cut_lineage(cut_lineage(nodes).withColumn("node", F.monotonically_increasing_id()))
+        held = _meet(sketches.select("id", "words_key"), several, "id").select("id", "words_key").distinct()
+        held = cut_lineage(_meet(held, nodes.select("words_key", "node"), "words_key").select("id", "node"))
+        lowest = held.groupBy("id").agg(F.min("node").alias("a"))
+        ties = cut_lineage(_meet(held, lowest, "id").where("a < node").select("a", F.col("node").alias("b")).distinct())
+        keyed = texts.mapInArrow(_keyed(), "id long, words_key binary, text string")
+        owned = _meet(keyed, nodes, ["words_key", "id"]).select(F.col("node").alias("id"), "text")
+    labels = cut_lineage(_linked(owned, sketches, nodes, ties, width, threshold))
+
+    named = nodes.select("words_key", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("words_key", F.coalesce("label", "node").alias("label"))
     named = cut_lineage(named)
-    placed = cut_lineage(_meet(sketches.select("id", "words_key"), named, "words_key").select("id", "class_id"))
-    sizes = cut_lineage(placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
-    out = _meet(placed, sizes, "class_id").select("id", "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
+    placed = cut_lineage(_meet(sketches.select("id", "words_key"), named, "words_key").select("id", "label"))
+    sizes = cut_lineage(placed.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
+    out = _meet(placed, sizes, "label").select("id", "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
     loose = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")
     )
     return out.unionByName(loose).withColumnRenamed("id", id_col)
 
 
-def _linked(texts: DataFrame, sketches: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
-    """id, label of the nodes that have a verified link."""
-    firsts = nodes.select("words_key", F.col("node").alias("id"))
-    spread = _meet(sketches, firsts, ["words_key", "id"]).select("id", F.explode("bands").alias("band"))
+def _linked(texts: DataFrame, sketches: DataFrame, nodes: DataFrame, ties: DataFrame | None, width: int, threshold: float) -> DataFrame:
+    """id, label of the nodes that have a verified link or are tied; texts and results are by node."""
+    spread = _meet(sketches, nodes, ["words_key", "id"]).select(F.col("node").alias("id"), F.explode("bands").alias("band"))
     buckets = cut_lineage(spread.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("band", "size"))
     met = cut_lineage(_meet(spread, buckets, "band").select("band", "size", "id"))
     central = met.groupBy("id").agg(F.sum("size").alias("central"))
@@ -225,7 +251,8 @@ def _linked(texts: DataFrame, sketches: DataFrame, nodes: DataFrame, width: int,
     labels = components(edges)
     here = _mixed(members.where("size > 2").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label")))
     rest = cut_lineage(_rare_pairs(here, held, width, threshold).join(star, ["a", "b"], "left_anti"))
-    return components(edges.unionByName(verified(rest)))
+    links = edges.unionByName(verified(rest))
+    return components(links if ties is None else links.unionByName(ties))
 
 
 def _mixed(named: DataFrame) -> DataFrame:

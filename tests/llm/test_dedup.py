@@ -139,6 +139,16 @@ def test_near_dedup_repeated_passages(spark):
     assert got == {i: i - i % 2 for i in range(120)}
 
 
+def test_near_dedup_ids_of_several_texts(spark):
+    """An id links the texts of its rows, whichever id is the first of each."""
+    a, b, c, d = (" ".join(prose(i, 80)) for i in range(2000, 2004))
+    rows = [(7, a), (7, b), (3, b), (20, c), (20, d), (20, d), (21, c + " more"), (22, d + " more"), (30, a + " more"), (40, "alone it is"), (41, None), (42, "one two"), (42, "")]
+    got = near_dedup.near_classes(docs_of(spark, rows)).collect()
+    want = brute_classes(rows)
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == sorted((i, want[i]) for i, _ in rows)
+    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     import numpy as np
 
