@@ -8,7 +8,8 @@ the writer's line end is that byte: zero, the top byte of the size that ends a m
 Reading: the text reader splits files into byte ranges and cuts them at the gzip
 magic, so a row is a candidate member and belongs to the range it starts in. A task
 validates candidates by decoding their headers: one that does not start a WARC record
-is a piece of the member before it. A member that runs on into the next range leaves
+is a piece of the member before it, and one too short to tell is decoded with the pieces
+after it (the magic may be in the head of a member). A member that runs on into the next range leaves
 its pieces as loose rows; they are few and are joined per file.
 
 Hadoop's reader inflates files whose name ends in .gz as one stream, so archives need
@@ -135,13 +136,17 @@ def _whole(buffer: bytes) -> bytes | None:
     return data + unpack.flush() if unpack.eof else None
 
 
-def _starts_record(piece: bytes) -> bool:
-    """Decode enough of a candidate to see the head of a WARC record."""
-    unpack = zlib.decompressobj(31)
-    try:
-        return unpack.decompress(piece[:4096], 5) == b"WARC/"
-    except zlib.error:
-        return False
+def _starts_record(piece: bytes) -> bool | None:
+    """Decode enough of a candidate to see the head of a WARC record; None if it ends before that."""
+    for part in (piece[:4096], piece):
+        unpack = zlib.decompressobj(31)
+        try:
+            head = unpack.decompress(part, 5)
+        except zlib.error:
+            return False
+        if len(head) == 5 or unpack.eof or not b"WARC/".startswith(head):
+            return head == b"WARC/"
+    return None
 
 
 def _empty(piece: bytes) -> bool:
@@ -158,23 +163,39 @@ def _members(pieces):
     Loose are the pieces before the first record, and those of a last member that goes on.
     """
     held: list[bytes] | None = None
+    open_: list[bytes] = []  # pieces that together are too short to tell
     for piece in pieces:
-        if _starts_record(piece):
-            if held is not None:
+        starts = _starts_record(piece)
+        if held is not None:
+            if starts:
                 raise ValueError("a WARC member has no end")
-            held = [piece]
-        elif held is not None:
             held.append(piece)
-        elif _empty(piece):
-            continue
         else:
-            yield False, piece
-            continue
+            while open_:
+                both = _starts_record(b"".join([*open_, piece]))
+                if both:
+                    held, open_ = [*open_, piece], []
+                elif both is None and not starts:
+                    break
+                else:  # the first of them starts no record; the next one may
+                    yield False, open_.pop(0)
+            if held is not None:
+                pass
+            elif open_ or starts is None:
+                open_.append(piece)
+                continue
+            elif starts:
+                held = [piece]
+            elif _empty(piece):
+                continue
+            else:
+                yield False, piece
+                continue
         data = _whole(b"".join(held))
         if data is not None:
             yield True, data
             held = None
-    for piece in held or []:
+    for piece in held or open_:
         yield False, piece
 
 

@@ -87,6 +87,31 @@ def test_warc_small_splits_and_false_magic(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_warc_magic_in_the_head_of_a_member():
+    """The magic before the first decoded bytes of a record, cut by ranges at every piece."""
+    import struct
+    import zlib
+
+    records = [warc.build_record(f"r{i}", "response", "u", None, "", 40, bytes(range(i, i + 40))) for i in range(6)]
+
+    def headed(data, flag, extra):  # gzip member with the magic in its time and its extra field
+        raw = zlib.compress(data, 6, -15)
+        return warc.MAGIC + flag + warc.MAGIC + b"\x00\x00\x03" + extra + raw + struct.pack("<II", zlib.crc32(data), len(data))
+
+    field = b"ab" + warc.MAGIC + b"c" + warc.MAGIC * 2 + bytes(20)
+    long = bytes(5000) + warc.MAGIC + bytes(10)
+    extras = [(b"\x00", b""), (b"\x04", struct.pack("<H", len(field)) + field), (b"\x04", struct.pack("<H", len(long)) + long)]
+    members = [warc.member(r) if i % 4 == 3 else headed(r, *extras[i % 4 % 3]) for i, r in enumerate(records)]
+    archive = b"".join(m + (warc.EMPTY_MEMBER if i == 2 else b"") for i, m in enumerate(members))
+    pieces = [warc.MAGIC + x for x in archive.split(warc.MAGIC)[1:]]
+    assert len(pieces) > 2 * len(records)
+    for cut in range(len(pieces) + 1):
+        scanned = [*warc._members(pieces[:cut]), *warc._members(pieces[cut:])]
+        joined = [*warc._members(x for whole, x in scanned if not whole)]
+        assert all(whole for whole, _ in joined), cut
+        assert sorted(x for whole, x in scanned + joined if whole) == sorted(records), cut
+
+
 def test_warc_refuses_names_it_cannot_split(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(warc.member(warc.build_record("a", "response", "u", None, "", 1, b"x")))
     with pytest.raises(Exception, match="another ending"):
