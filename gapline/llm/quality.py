@@ -164,8 +164,11 @@ def vote_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def train_scorer(docs: DataFrame, voted: DataFrame, posterior: dict[str, float], sample: int, id_col: str, text_col: str) -> Model:
-    picked = voted.orderBy("place").limit(sample).select("place", "votes").dropDuplicates(["place"])  # bounded
+    # Rows that repeat are one row of the sample, with their number as weight.
+    single = voted.groupBy("place").agg(F.min("votes").alias("votes"), F.count(F.lit(1)).alias("copies"))
+    picked = single.orderBy("place").limit(sample)  # bounded
     texts = docs.select(F.xxhash64(id_col, text_col).alias("place"), F.col(text_col).alias("text")).join(F.broadcast(picked), "place")
+    texts = texts.groupBy("place", "votes", "copies").agg(F.min("text").alias("text"))
 
     def extract(batches):
         hasher = Hasher()
@@ -174,9 +177,11 @@ def train_scorer(docs: DataFrame, voted: DataFrame, posterior: dict[str, float],
                 words = hasher.split(batch.column("text"))
                 cut, index, value = token_features(hasher, words, words.hashes())
                 pack = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("votes"), pack(index, np.int32), pack(value, np.float32)], ["place", "votes", "index", "value"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("place"), batch.column("votes"), batch.column("copies"), pack(index, np.int32), pack(value, np.float32)], ["place", "votes", "copies", "index", "value"]
+                )
 
-    got = texts.select("place", "votes", "text").mapInArrow(extract, "place long, votes string, index binary, value binary").collect()
+    got = texts.select("place", "votes", "copies", "text").mapInArrow(extract, "place long, votes string, copies long, index binary, value binary").collect()
     got = sorted(got, key=lambda r: r["place"])
     index = [np.frombuffer(r["index"], np.int32) for r in got]
     value = [np.frombuffer(r["value"], np.float32) for r in got]
@@ -184,7 +189,7 @@ def train_scorer(docs: DataFrame, voted: DataFrame, posterior: dict[str, float],
     flat = np.concatenate([np.zeros(0, np.int32), *index])
     rows = Rows(cut, flat, np.concatenate([np.zeros(0, np.float32), *value]), np.zeros((len(got), 0)))
     target = np.array([posterior[r["votes"]] for r in got])
-    return fit(rows, target, np.ones(len(got)), penalty=0.02)
+    return fit(rows, target, np.array([r["copies"] for r in got], np.float64), penalty=0.02)
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:

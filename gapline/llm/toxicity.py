@@ -6,6 +6,7 @@ probabilities are out of fold, so a later model sees them as noisy as they will
 
 Training uses a bounded sample: of the labelled rows with a text at most
 ``sample`` for each value of the label, chosen by a hash; weights restore their shares.
+Documents that repeat an id are one row (the smallest text) with their number as weight.
 Everything else, the scoring, reads all documents.
 
 Categories of the default chain: insult and contempt (labelled toxic, with a word of the
@@ -58,7 +59,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, lab
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("label_id"), "label_id").limit(sample) for v in (0, 1)]
     few = parts[0].unionByName(parts[1])  # at most two samples of rows
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(few), "label_id").select("label_id", "label", "text"), totals
+    single = texts.join(F.broadcast(few), "label_id").groupBy("label_id", "label").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return single.select("label_id", "label", "text", "copies"), totals
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, folds: int = FOLDS) -> tuple[list[Model], float, dict]:
@@ -79,20 +81,20 @@ def train_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                     one = np.zeros(batch.num_rows, bool)
                     one[doc[np.isin(hashes, words)]] = True
                     has.append(pa.array(one))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), *has], ["label_id", "label", "features", *LEXICON])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column("copies"), pa.array(packed, pa.binary()), *has], ["label_id", "label", "copies", "features", *LEXICON])
 
-    schema = "label_id long, label int, features binary, " + ", ".join(f"{c} boolean" for c in LEXICON)
+    schema = "label_id long, label int, copies long, features binary, " + ", ".join(f"{c} boolean" for c in LEXICON)
     got = sorted(texts.mapInArrow(extract, schema).collect(), key=lambda r: (r["label_id"], r["label"], r["features"]))
     index = [np.frombuffer(r["features"], np.int32) for r in got]
     cut = np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int64)
     flat = np.concatenate(index) if index else np.zeros(0, np.int32)
     rows = Rows(cut, flat, np.ones(len(flat), np.float32), np.zeros((len(got), 0)))
     label = np.array([r["label"] for r in got], np.float64)
-    weight = np.ones(len(got))
+    weight = np.array([r["copies"] for r in got], np.float64)
     for v in (0, 1):
         mine = label == v
         if mine.any():
-            weight[mine] = max(1.0, totals[v] / mine.sum())
+            weight[mine] *= max(1.0, totals[v] / weight[mine].sum())
     fold = np.arange(len(got)) % folds
     models, held = [], []
     for category in CHAIN:

@@ -56,6 +56,27 @@ def test_toxicity_chain_on_held_out_documents(spark, edge_docs):
     assert edges.count() == edge_docs.count() and not edges.where("toxic_flag").count()
 
 
+def test_training_samples_with_repeated_rows(spark, monkeypatch):
+    """A hot repeated row is one row of a sample, with its copies as weight."""
+    seen = []
+
+    def fit(rows, target, weight, **how):
+        seen.append(sorted(weight))
+        return real(rows, target, weight, **how)
+
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", fit)
+    rows = [(i, " ".join(prose(3000 + i, 30))) for i in range(50)] + [(50, "the hot row")] * 200
+    docs = docs_of(spark, rows)
+    quality.score_quality(docs, sample=51).count()
+    assert seen == [[1.0] * 50 + [200.0]]
+    labels = spark.createDataFrame([(i, int(i > 40)) for i in range(51)], "doc_id long, toxic int")
+    texts, totals = toxicity._sampled(docs, labels, "text", "doc_id", "toxic", 100)
+    got = texts.collect()
+    assert sorted(r["label_id"] for r in got) == list(range(51)) and totals == {0: 41, 1: 10}
+    assert {r["copies"] for r in got if r["label_id"] == 50} == {200}
+
+
 def test_toxicity_without_labels(spark, edge_docs, no_docs):
     for labels in ([], [(1, 1), (2, 1)], [(1, 0)]):
         frame = spark.createDataFrame(labels, "doc_id long, toxic int")
