@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import chat_format, exact_dedup, length_packing, near_dedup, quality, source_mixing, substring_dedup, toxicity, vector_topk, warc
+from gapline.llm import ball_simhash, chat_format, exact_dedup, length_packing, near_dedup, quality, source_mixing, substring_dedup, toxicity, vector_topk, warc
 from gapline.llm.tables import table
 from gapline.runtime import scratch_path
 
@@ -76,6 +76,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_length_packing": op1_length_packing,
     "op2_vector_topk": op2_vector_topk,
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_quality_labels": op8_quality_labels,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
+    "op13_ball_simhash": op13_ball_simhash,
 }
 
 SQL = {
