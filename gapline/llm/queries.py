@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import ball_simhash, chat_format, exact_dedup, length_packing, near_dedup, quality, source_mixing, substring_dedup, toxicity, vector_topk, warc
+from gapline.llm import ball_simhash, chat_format, exact_dedup, length_packing, merkle, near_dedup, quality, source_mixing, substring_dedup, toxicity, vector_topk, warc
 from gapline.llm.tables import table
-from gapline.runtime import scratch_path
+from gapline.runtime import cut_lineage, scratch_path
 
 
 def op1_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    tampered = [F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in fields]
+    # Only leaves that tampering changes are carried twice.
+    leaves = cut_lineage(docs.select("doc_id", "source", merkle.leaf_hash(map(F.col, fields)).alias("leaf"), F.when(changed, merkle.leaf_hash(tampered)).alias("tampered")))
+    out = merkle.manifest(leaves, "source", "doc_id").withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256)
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -91,6 +103,7 @@ QUERIES = {
     "op8_quality_labels": op8_quality_labels,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_ball_simhash": op13_ball_simhash,
 }
 
