@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import ball_simhash, chat_format, exact_dedup, length_packing, merkle, near_dedup, quality, source_mixing, substring_dedup, toxicity, vector_topk, warc
+from gapline.llm import ball_simhash, chat_format, conversation_repair, exact_dedup, length_packing, merkle, near_dedup, quality, source_mixing, substring_dedup, toxicity, vector_topk, warc
 from gapline.llm.tables import table
 from gapline.runtime import cut_lineage, scratch_path
 
@@ -76,6 +76,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults put in by a checksum of their place."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    fault = F.crc32(F.concat(said[0], F.lit(":"), said[1]).cast("binary")) % 20
+    text = F.when(fault == 1, F.lit("")).when(fault == 2, F.translate(said[3], ".!?", "")).otherwise(said[3])
+    left = rows.select("conv_id", "turn", F.when(fault == 4, F.lit("user")).otherwise(said[2]).alias("role"), text.alias("text"), fault.alias("fault")).where("fault <> 0")
+    return left.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.audits(damaged(rows), all_ids=rows)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -103,6 +117,7 @@ QUERIES = {
     "op8_quality_labels": op8_quality_labels,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_ball_simhash": op13_ball_simhash,
 }
