@@ -122,6 +122,17 @@ QUERIES = {
     "op13_ball_simhash": op13_ball_simhash,
 }
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string in DuckDB, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) FOR x IN string_split({text}, '')]), lambda c, b: {bits}))"
+
+
+def _hashed(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value} END"
+
+
 SQL = {
     "op2_vector_topk": """
 WITH v AS (
@@ -178,4 +189,81 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN size >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN size >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM m""",
+    "op11_conversation_repair": f"""
+WITH RECURSIVE c AS (
+  SELECT coalesce('s' || conv_id, 'n') AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault
+  FROM conversations),
+d AS (
+  SELECT k, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core
+  FROM d),
+f AS (
+  SELECT *, CASE WHEN core = '' THEN 'b' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) || left(role, 1) AS pair
+  FROM o),
+n AS (
+  SELECT k, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY k),
+ins(s, t, edits, price, said) AS (
+  VALUES (0, 0, '', 0, []::VARCHAR[]), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []),
+    (0, 2, 'I', 2, ['user:']), (1, 2, 'I', 2, ['user:']), (2, 3, 'I', 2, ['assistant:']), (3, 2, 'I', 2, ['user:']),
+    (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 3, 'II', 4, ['user:', 'assistant:'])),
+m(s, t, edit, price, needs, said) AS (
+  VALUES (0, 0, 'D', 3, NULL, NULL), (1, 1, 'D', 3, NULL, NULL), (2, 2, 'D', 3, NULL, NULL), (3, 3, 'D', 3, NULL, NULL),
+    (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL), (3, 2, 'K', 0, 'u', NULL),
+    (0, 2, 'R', 2, NULL, 'user'), (1, 2, 'R', 2, NULL, 'user'), (2, 3, 'R', 2, NULL, 'assistant'), (3, 2, 'R', 2, NULL, 'user')),
+w AS (
+  SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'said': []::VARCHAR[]}} AS best FROM c
+  UNION ALL
+  SELECT w.k, f.i, m.t, min({{'cost': w.best.cost + ins.price + m.price + CAST(m.edit <> 'D' AND f.fault = 't' AS BIGINT),
+    'audit': w.best.audit || ins.edits || m.edit,
+    'said': list_concat(w.best.said, ins.said, CASE WHEN m.edit = 'D' THEN [] ELSE [coalesce(m.said, f.role) || ':' || f.text] END)}})
+  FROM w JOIN ins ON ins.s = w.s JOIN f ON f.k = w.k AND f.i = w.i + 1 JOIN m ON m.s = ins.t
+    AND (m.edit = 'D' OR f.fault NOT IN ('b', 'd') AND (m.edit = 'R' OR m.needs = left(f.role, 1)))
+  GROUP BY w.k, f.i, m.t),
+z AS (
+  SELECT w.k, min({{'cost': w.best.cost + ins.price, 'audit': w.best.audit || ins.edits, 'said': list_concat(w.best.said, ins.said)}}) AS best
+  FROM w LEFT JOIN n USING (k) JOIN ins ON ins.s = w.s WHERE w.i = coalesce(n.rows, 0) AND ins.t IN (0, 3) GROUP BY w.k)
+SELECT a.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated,
+  coalesce(n.illegal, 0) AS illegal, z.best.cost AS cost, z.best.audit AS audit, sha256(coalesce(array_to_string(z.best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT k, conv_id FROM c) a JOIN z USING (k) LEFT JOIN n USING (k)""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS tree,
+    sha256({" || ".join(_hashed(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    sha256({" || ".join(_hashed(c) for c in ("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')"))}) AS other,
+    {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 AS tampered
+  FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+e(tree, up, d) AS (
+  SELECT tree, 0, list(leaf ORDER BY i) FROM r GROUP BY tree
+  UNION ALL
+  SELECT tree, up + 1, [sha256(array_to_string(d[3 * j + 1:3 * j + 3], '')) FOR j IN range((len(d) + 2) // 3)] FROM e WHERE len(d) > 1),
+t AS (SELECT tree, d[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i FROM e WHERE len(d) = 1),
+g(up, d) AS (
+  SELECT 0, list(subroot ORDER BY i) FROM t
+  UNION ALL
+  SELECT up + 1, [sha256(array_to_string(d[3 * j + 1:3 * j + 3], '')) FOR j IN range((len(d) + 2) // 3)] FROM g WHERE len(d) > 1),
+a AS (
+  SELECT r.tree, r.i, 0 AS top, e.up, e.d, CAST(floor(r.i / power(3, e.up)) AS BIGINT) AS j FROM r JOIN e USING (tree) WHERE len(e.d) > 1
+  UNION ALL
+  SELECT r.tree, r.i, 1, g.up, g.d, CAST(floor(t.i / power(3, g.up)) AS BIGINT) FROM r JOIN t USING (tree) JOIN g ON len(g.d) > 1),
+b AS (
+  SELECT tree, i, top, up, coalesce(array_to_string(d[j - j % 3 + 1:j], ''), '') AS x, coalesce(array_to_string(d[j + 2:j - j % 3 + 3], ''), '') AS y FROM a),
+p AS (SELECT tree, i, list(x || '|' || y ORDER BY top, up) AS path, string_agg(x || y, '' ORDER BY top, up) AS proof FROM b GROUP BY tree, i),
+v AS (
+  SELECT r.doc_id, r.leaf, t.subroot, (SELECT d[1] FROM g WHERE len(d) = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+    list_reduce(list_concat([CASE WHEN tampered THEN other ELSE leaf END], coalesce(p.path, [])),
+      lambda n, x: sha256(split_part(x, '|', 1) || n || split_part(x, '|', 2))) AS folded_root
+  FROM r JOIN t USING (tree) LEFT JOIN p ON p.tree = r.tree AND p.i = r.i)
+SELECT *, folded_root = root AS verified FROM v""",
 }
