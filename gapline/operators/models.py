@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +19,10 @@ from pyspark.sql import functions as F
 from gapline.functions import scalars as S
 from gapline.operators import metrics as M
 from gapline.operators import splits as SP
-from gapline.runtime import BROADCAST_ROWS, cut_lineage, scratch_path
+from gapline.runtime import broadcast_if_small, cut_lineage, scratch_path
+
+# Models fitted at a time.
+PARALLEL_FITS = 5
 
 # Parameters of the production classifier.
 PRODUCTION_PARAMS = {
@@ -129,6 +135,22 @@ def fix_folds(
     return rows, cut_lineage(SP.chronological_folds(rows, group, time, n_splits, group_gap))
 
 
+def fold_data(rows: DataFrame, folds: DataFrame, features: list[str], target: str, spec: ModelSpec, group: str, key: list[str]) -> DataFrame:
+    """Key, label, weight and vector of every row of a fold, with the folds it trains and validates.
+
+    Assembled and written once for all fits. A group has one row of fold numbers, so the
+    join adds no rows.
+    """
+    if missing := [c for c in features if c not in rows.columns]:
+        raise ValueError(f"features that the rows lack: {', '.join(missing)}")
+    roles = folds.groupBy(group).agg(*[F.collect_set(F.when(F.col("role") == r, F.col("fold"))).alias(f"_{r}") for r in ("train", "valid")])
+    data = model_input(rows, features, target, float(spec.params.get("scale_pos_weight", 1.0)))
+    data = data.join(broadcast_if_small(roles), group)
+    values = F.array(*[F.col(f"_x_{c}") for c in features]).alias("_x")
+    stored = cut_lineage(data.select(*key, "_label", "_weight", values, "_train", "_valid"))
+    return stored.withColumn("features", array_to_vector("_x")).drop("_x")
+
+
 def out_of_fold(
     rows: DataFrame,
     folds: DataFrame,
@@ -138,30 +160,30 @@ def out_of_fold(
     spec: ModelSpec,
     group: str,
     key: list[str],
+    parallel: int = PARALLEL_FITS,
 ) -> DataFrame:
     """Every row with its out-of-fold score, fold and validity flag.
 
-    The driver loops over the folds only; each fit and scoring is distributed. Rows
-    a fold never validates keep a null score and flag 0. Takes the frames that
-    ``fix_folds`` made.
+    Folds are fitted side by side, ``parallel`` at a time, as most of a fit's jobs are too
+    short to keep a cluster busy; each fit and scoring is distributed. Rows a fold never
+    validates keep a null score and flag 0. Takes the frames that ``fix_folds`` made.
     """
-    numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
-    small = folds.count() <= BROADCAST_ROWS
-    scored = None
-    for fold in numbers:
-        mine = folds.filter(F.col("fold") == fold)
-        side = lambda role: mine.filter(F.col("role") == role).select(group)
-        hint = F.broadcast if small else (lambda x: x)
-        train = rows.join(hint(side("train")), group, "left_semi")
-        valid = rows.join(hint(side("valid")), group, "left_semi")
-        model = fit(train, features, target, spec)
-        part = score(model, valid, features, spec, "oof_score").select(
-            *key, "oof_score", F.lit(float(fold)).alias("oof_fold"), F.lit(1).alias("oof_is_validation")
-        )
-        scored = part if scored is None else scored.unionByName(part)
     from gapline.operators.targets import TASKS
 
-    scored = cut_lineage(scored)  # metrics read it several times; each fold is scored once
+    data = fold_data(rows, folds, features, target, spec, group, key)
+    sizes = data.select(F.explode("_train").alias("fold")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["fold"]: r["n"] for r in sizes.collect()}  # a row per fold
+    numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
+
+    def one(fold: int) -> DataFrame:
+        train = data.filter(F.array_contains("_train", F.lit(fold)))
+        model = spec.estimator("_label", max(1, sizes.get(fold, 0))).fit(train)
+        scored = model.transform(data.filter(F.array_contains("_valid", F.lit(fold))))
+        value = vector_to_array("probability")[1] if spec.classifies else F.col("prediction")
+        return scored.select(*key, value.alias("oof_score"), F.lit(float(fold)).alias("oof_fold"), F.lit(1).alias("oof_is_validation"))
+
+    parts = side_by_side(rows.sparkSession, one, numbers, parallel)
+    scored = cut_lineage(reduce(DataFrame.unionByName, parts))  # metrics read it several times; each fold is scored once
     return rows.join(scored, key, "left").withColumns(
         {
             "oof_is_validation": F.coalesce("oof_is_validation", F.lit(0)),
@@ -171,6 +193,14 @@ def out_of_fold(
     )
 
 
+def side_by_side(spark, work, items: list, parallel: int) -> list:
+    """``work`` of each item in threads that keep the session's job properties, in the order of the items."""
+    if not items:
+        raise ValueError("no folds to fit")
+    with ThreadPoolExecutor(max(1, min(parallel, len(items)))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
 def validation_rows(oof: DataFrame) -> DataFrame:
     """Rows a fold validated, scores as numbers; an error when there are none."""
     rows = oof.filter(F.col("oof_is_validation") == 1).withColumn("policy_score", S.as_number(oof, "oof_score"))

@@ -51,14 +51,18 @@ def objective_matrix(
     n_splits: int = 5,
     group_gap: int = 1,
 ) -> DataFrame:
-    """Fold summaries of several objectives side by side, over the same rows and folds."""
+    """Fold summaries of several objectives side by side, over the same rows and folds.
+
+    Objectives are fitted two at a time, the folds of each at once.
+    """
     rows, folds = ML.fix_folds(df, group, time, n_splits, group_gap)
-    parts = []
-    for kind in kinds:
+
+    def one(kind: str) -> DataFrame:
         spec = (specs or {}).get(kind) or default_spec(kind)
         summary = experiment(rows, folds, kind, features, spec, group, key)[2]
-        parts.append(summary.select(F.lit(kind).alias("objective_kind"), "metric", "mean", "std"))
-    return reduce(DataFrame.unionByName, parts)
+        return summary.select(F.lit(kind).alias("objective_kind"), "metric", "mean", "std")
+
+    return reduce(DataFrame.unionByName, ML.side_by_side(df.sparkSession, one, list(kinds), 2))
 
 
 def write_run(

@@ -693,8 +693,7 @@ _model_query("K4_linear_regression", "linear_regression", {}, "target__future_up
 
 def _oof(df: DataFrame, kind: str) -> DataFrame:
     rows, folds = ML.fix_folds(df, "sid", "created_at_ms", 5, 1)
-    features = [c for c in MODEL_FEATURES if c in df.columns]
-    return ML.out_of_fold(rows, folds, features, f"target__{kind}", kind, FITS[TG.TASKS[kind]], "sid", ["game_id"])
+    return ML.out_of_fold(rows, folds, MODEL_FEATURES, f"target__{kind}", kind, FITS[TG.TASKS[kind]], "sid", ["game_id"])
 
 
 @query("K5_out_of_fold_scores")
@@ -703,15 +702,20 @@ def k5(spark, sf) -> DataFrame:
     return out.select("game_id", "sid", "oof_score", "oof_fold", "oof_is_validation", "objective_kind")
 
 
+def _with_document_groups(body: str) -> str:
+    return X.with_documents(", " + _GROUP_SQL.replace("{gap}", "1") + "\n" + body)
+
+
 @query(
     "K5_out_of_fold_coverage",
-    _with_groups(
+    _with_document_groups(
         """SELECT game_id, CAST(fold AS DOUBLE) AS oof_fold, CASE WHEN fold IS NULL THEN 0 ELSE 1 END AS oof_is_validation,
            'regression' AS task_type FROM grouped LEFT JOIN (SELECT * FROM folds WHERE role = 'valid') v USING (sid)"""
     ),
 )
 def k5_coverage(spark, sf) -> DataFrame:
-    return _oof(_training(spark, sf), "future_upside_regression").select("game_id", "oof_fold", "oof_is_validation", "task_type")
+    kind = "future_upside_regression"
+    return _oof(_full_training(spark, sf, [kind]), kind).select("game_id", "oof_fold", "oof_is_validation", "task_type")
 
 
 @query(
@@ -1255,3 +1259,34 @@ def l6(spark, sf) -> DataFrame:
     df = _full_training(spark, sf, kinds)
     specs = {k: FITS[TG.TASKS[k]] for k in kinds}
     return objective_matrix(df, kinds, MODEL_FEATURES, "sid", "created_at_ms", ["game_id"], specs)
+
+
+_LINEAR_SQL = """long AS (
+  SELECT kind, player || '/' || session_id AS sid, session_pl AS x,
+    CASE kind WHEN 'future_upside_regression' THEN suffix_max - session_pl ELSE session_pl - suffix_min END AS y
+  FROM feat, (SELECT unnest(['future_upside_regression', 'future_drawdown_regression']) AS kind)),
+fits AS (
+  SELECT kind, fold, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM long JOIN folds USING (sid) WHERE role = 'train' GROUP BY kind, fold),
+errors AS (
+  SELECT kind, fold, avg(abs(y - a - b * x)) AS mae, avg((y - a - b * x) * (y - a - b * x)) AS mse, var_pop(y) AS spread
+  FROM long JOIN folds USING (sid) JOIN fits USING (kind, fold) WHERE role = 'valid' GROUP BY kind, fold),
+scores AS (
+  SELECT kind, fold, 'mae' AS metric, mae AS v FROM errors UNION ALL SELECT kind, fold, 'rmse', sqrt(mse) FROM errors
+  UNION ALL SELECT kind, fold, 'r2', 1 - mse / spread FROM errors)"""
+
+
+@query(
+    "L6_objective_matrix_one_feature",
+    X.with_history(
+        ", " + _GROUP_SQL.replace("{gap}", "1") + ", " + _LINEAR_SQL
+        + f" SELECT kind AS objective_kind, metric, {q('avg(v) AS mean', 'stddev_pop(v) AS std')} FROM scores GROUP BY kind, metric"
+    ),
+)
+def l6_one(spark, sf) -> DataFrame:
+    """Two linear objectives of one feature, whose fits and fold metrics have closed forms."""
+    from gapline.plans.lab import objective_matrix
+
+    kinds = ["future_upside_regression", "future_drawdown_regression"]
+    df = _targets(spark, sf, kinds).withColumn("sid", F.concat_ws("/", "player", "session_id"))
+    out = objective_matrix(df, kinds, ["session_pl"], "sid", "created_at_ms", ["game_id"])
+    return sel(out, "objective_kind metric", "mean std")
