@@ -133,3 +133,36 @@ def test_validation_rows_must_exist(spark):
         ML.validation_rows(df)
     frame, source = ML.scoring_frame(None, lambda: df)
     assert source == "in_sample_fallback" and frame is df
+
+
+@pytest.mark.parametrize("bracket", [None, -0.2])
+def test_quartiles_of_many_values(spark, monkeypatch, bracket):
+    """Far more values than a sketch holds; a bracket that misses its rank falls back to the whole range."""
+    if bracket is not None:
+        monkeypatch.setattr(R, "BRACKET", bracket)
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": rng.normal(size=60_000), "b": rng.integers(0, 3, 60_000) * 1.0, "c": np.arange(60_000) ** 2.0})
+    pdf.loc[::7, "a"] = np.nan
+    got = {r["column"]: r for r in R.describe(spark.createDataFrame(pdf), ["a", "b", "c"]).collect()}
+    for c in pdf:
+        for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+            assert got[c][name] == pytest.approx(pdf[c].quantile(q), rel=1e-12)
+
+
+def test_correlations_of_many_columns_with_gaps(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3_000, 1))
+    pdf = pd.DataFrame(1e6 + base * rng.normal(size=(1, 29)) + rng.normal(size=(3_000, 29)), columns=[f"x{i}" for i in range(29)])
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.2)
+    want = pdf.corr()
+    got = R.correlations(spark.createDataFrame(pdf), list(pdf)).collect()
+    assert len(got) == 29 * 29
+    for r in got:
+        assert r["corr"] == pytest.approx(want.loc[r["x"], r["y"]], abs=1e-9)
+
+
+def test_histogram_class_limit(spark):
+    df = spark.createDataFrame([(float(i % 12), float(i)) for i in range(120)] + [(None, 1.0), (3.0, float("inf"))], "k double, v double")
+    assert {r["class"] for r in R.histograms(df, ["v"], "k").collect()} == {"all"}
+    by_class = R.histograms(df, ["v"], "k", class_limit=12).groupBy("class").agg({"n": "sum"}).collect()
+    assert len(by_class) == 12 and {r[1] for r in by_class} == {10}
