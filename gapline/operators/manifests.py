@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.operators.ordered import MAX_GROUP_ROWS, arrange
@@ -48,7 +48,7 @@ def unique_names(df: DataFrame, name: str, url: str) -> DataFrame:
 def assert_unique(df: DataFrame, name: str = "local_filename") -> DataFrame:
     clash = name_counts(df, name).filter("n_same_name > 1").orderBy(name).first()
     if clash:
-        raise RuntimeError(f"Local filename collision remained after disambiguation: {clash[0]}")
+        raise RuntimeError(f"two files would have the name {clash[0]}")
     return df
 
 
@@ -60,67 +60,45 @@ def pick_under_budget(
     max_bytes: int,
     max_items: int | None = None,
     max_group: int = MAX_GROUP_ROWS,
-    in_task: int = 5_000,
 ) -> DataFrame:
     """Greedy pick per group from the newest row back: take what fits, skip what does not.
 
-    Skipping makes the choice sequential, so each round takes the longest run that
-    fits as a whole with a running sum, then drops every candidate larger than what
-    is left. Groups that are down to ``in_task`` candidates finish in one step over
-    their short list. Rounds stop when no candidate remains. ``seq`` is unique in a
-    group.
+    A round goes on while the room left has the same highest power of two. In that span
+    every smaller file fits, so running sums of the small ones tell the room at each
+    place; a file at or above the power fits at most once, and then the room is below it.
+    The first such file, or the small one that takes the room below the power, ends the
+    round, and all up to there are decided. So there are no more rounds than the budget
+    has bits, whatever the sizes and their order. ``seq`` is unique in a group.
     """
     by = list(by)
     rest = df.withColumns(
         {"_left": F.lit(max_bytes).cast("long"), "_room": F.lit(max_items).cast("long"), "_back": -F.col(seq)}
-    ).filter(F.col(size) <= F.col("_left"))
+    ).filter((F.col(size) <= F.col("_left")) & (F.col("_room").isNull() | (F.col("_room") > 0)))
+    line = arrange(cut_lineage(rest), by, ["_back"], max_group)  # cut once; what is left keeps its parts
+    left, own, room = F.col("_left"), F.col(size), F.col("_room")
+    power = F.when(left > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(left)) - 1)).otherwise(F.lit(1))
+    small = own < power
+    full = room.isNotNull() & (F.col("_n") >= room)  # with the small ones so far
+    fits = ~small & ~full & (own <= left - F.col("_total"))
+    last = small & (full | ((left > 0) & (left - F.col("_total") < power)))
+    within = F.col("_end").isNull() | (F.col("_back") <= F.col("_end"))
     taken: DataFrame | None = None
     while True:
-        biggest = rest.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= in_task:
-            done = _finish_short(rest, by, seq, size)
-            picked = done if taken is None else taken.unionByName(done)
-            return picked.orderBy(*by, seq)
-        line = arrange(rest, by, ["_back"], max_group)
-        line = line.scan({"_total": ("sum", size), "_n": ("count",)})
-        fits = (F.col("_total") <= F.col("_left")) & (F.col("_room").isNull() | (F.col("_n") <= F.col("_room")))
-        marked = cut_lineage(line.result().withColumn("_fits", fits))
-        now = marked.filter("_fits").select(*df.columns)
+        line = line.with_columns({"_small": F.when(small, own).otherwise(0), "_one": small.cast("int")})
+        line = line.scan({"_total": ("sum", "_small"), "_n": ("sum", "_one")})
+        line = line.with_columns({"_stop": F.when(fits | last, F.col("_back"))}).scan({"_end": ("total_min", "_stop")})
+        marked = cut_lineage(line.df.withColumn("_take", within & (small | fits)))
+        now = marked.filter("_take").select(*df.columns)
         taken = now if taken is None else taken.unionByName(now)
-        used = marked.filter("_fits").groupBy(*by).agg(F.sum(size).alias("_used"), F.count(F.lit(1)).alias("_got"))
+        used = marked.filter("_take").groupBy(*by).agg(F.sum(size).alias("_used"), F.count(F.lit(1)).alias("_got"))
         rest = (
-            marked.filter("NOT _fits")
+            marked.filter(~within)
             .join(used, by, "left")
-            .withColumns(
-                {
-                    "_left": F.col("_left") - F.coalesce("_used", F.lit(0)),
-                    "_room": F.col("_room") - F.coalesce("_got", F.lit(0)),
-                }
-            )
-            .filter((F.col(size) <= F.col("_left")) & (F.col("_room").isNull() | (F.col("_room") > 0)))
-            .drop("_used", "_got", "_fits", "_total", "_n")
+            .withColumns({"_left": left - F.coalesce("_used", F.lit(0)), "_room": room - F.coalesce("_got", F.lit(0))})
+            .filter((own <= left) & (room.isNull() | (room > 0)))
+            .drop("_used", "_got", "_small", "_one", "_total", "_n", "_stop", "_end", "_take")
         )
         rest = cut_lineage(rest)
-
-
-def _finish_short(rest: DataFrame, by: list[str], seq: str, size: str) -> DataFrame:
-    """Walk a short candidate list with an array aggregate, then select the picked rows."""
-    item = F.struct(F.col("_back").alias("back"), F.col(size).cast("long").alias("size"))
-    state = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("picked"))
-
-    def step(acc: Column, x: Column) -> Column:
-        room = F.col("_room").isNull() | (F.size(acc["picked"]) < F.col("_room"))
-        take = room & (acc["total"] + x["size"] <= F.col("_left"))
-        return F.when(
-            take,
-            F.struct(
-                (acc["total"] + x["size"]).alias("total"), F.array_append(acc["picked"], -x["back"]).alias("picked")
-            ),
-        ).otherwise(acc)
-
-    lists = rest.groupBy(*by).agg(
-        F.sort_array(F.collect_list(item)).alias("_items"), F.max("_left").alias("_left"), F.max("_room").alias("_room")
-    )
-    chosen = lists.select(*by, F.explode(F.aggregate("_items", state, step)["picked"]).alias(seq))
-    columns = [c for c in rest.columns if c not in ("_left", "_room", "_back")]
-    return rest.select(*columns).join(chosen, [*by, seq], "left_semi").select(*columns)
+        if rest.isEmpty():
+            return taken.orderBy(*by, seq)
+        line = line.with_df(rest)

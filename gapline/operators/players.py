@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,13 @@ from pyspark.sql import functions as F
 
 from gapline.functions import scalars as S
 from gapline.operators.ordered import MAX_GROUP_ROWS, Ordered, arrange
-from gapline.runtime import broadcast_if_small
+from gapline.runtime import broadcast_if_small, cut_lineage
+
+BIN = ["elo_bin_lo", "elo_bin_hi"]
+# Rows a group may keep for Spark to prune before the shuffle, its own default.
+PRUNED_ROWS = 1000
+# Size of a quantile sketch, and a few of its errors in ranks.
+SKETCH_K, SKETCH_SLACK, HALVINGS = 2048, 0.005, 9
 
 CATALOG_SHARED = [
     "result",
@@ -130,22 +137,22 @@ def with_sessions(games: DataFrame, gap_hours: int = 24, max_rows: int = MAX_GRO
 def player_profiles(sessions: Ordered) -> DataFrame:
     """One row per player, 20 columns.
 
-    Sessions are numbered without gaps, so their count is the sum of the start
-    flags and needs no distinct set. Months are bounded by the calendar. Speeds
-    and openings are collected into a set only where the group-size check has
-    proved every player small; with hot players they are counted by a distinct
-    aggregate, which spreads a player over many tasks.
+    Sessions are numbered without gaps, so their count is the sum of the start flags and
+    needs no distinct set. Months are bounded by the calendar. Speeds and openings are
+    counted in two levels: distinct pairs of player and value, combined in each task
+    before the shuffle, then their count. So no set of a player is ever held.
     """
 
-    def distinct(name: str) -> Column:
-        return F.count_distinct(name) if sessions.split else F.size(F.collect_set(name))
+    def distinct(name: str) -> DataFrame:
+        pairs = sessions.df.filter(F.col(name).isNotNull()).select("player_name", name).distinct()
+        return pairs.groupBy("player_name").agg(F.count(F.lit(1)).alias(f"_{name}"))
 
     def tally(cond: Column) -> Column:
         return F.sum(F.when(cond, 1).otherwise(0))
 
     outcome = F.col("outcome")
     has = lambda value: F.max((outcome == value).cast("int"))
-    return (
+    found = (
         sessions.df.groupBy("player_name")
         .agg(
             F.count(F.lit(1)).alias("n_games"),
@@ -159,8 +166,6 @@ def player_profiles(sessions: Ordered) -> DataFrame:
             F.max("player_elo").alias("max_elo_obs"),
             F.stddev_samp("player_elo").alias("rating_stddev"),
             F.stddev_samp("opponent_elo").alias("opponent_elo_stddev"),
-            distinct("speed").cast("long").alias("speed_diversity"),
-            distinct("opening").cast("long").alias("opening_diversity"),
             (has("win") + has("loss") + has("draw_or_other")).cast("long").alias("outcome_diversity"),
             tally(outcome == "win").alias("wins"),
             tally(outcome == "loss").alias("losses"),
@@ -169,6 +174,15 @@ def player_profiles(sessions: Ordered) -> DataFrame:
             tally(F.col("elo_delta") > 0).alias("elo_up_steps"),
         )
     )
+    for name in ("speed", "opening"):
+        found = found.join(distinct(name), "player_name", "left")
+    columns = found.columns[: found.columns.index("outcome_diversity")]
+    return found.select(
+        *columns,
+        F.coalesce("_speed", F.lit(0)).alias("speed_diversity"),
+        F.coalesce("_opening", F.lit(0)).alias("opening_diversity"),
+        *found.columns[len(columns) : -2],
+    )
 
 
 def eligible_players(profiles: DataFrame, f: SelectionFilters = SelectionFilters()) -> DataFrame:
@@ -189,30 +203,45 @@ def eligible_players(profiles: DataFrame, f: SelectionFilters = SelectionFilters
 
 
 def rank_in_bins(eligible: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Rank by score, sessions, games, all descending, name as the last key.
+    """Rank by score (null last), sessions, games, all descending, name as the last key.
 
     The full ranking of a hot bin is cut by score like any other ordered group.
     """
     keyed = eligible.withColumns(
-        {"_s": -F.col("selection_score"), "_n": -F.col("n_sessions"), "_g": -F.col("n_games")}
+        {"_s": F.coalesce(-F.col("selection_score"), F.lit(math.inf)), "_n": -F.col("n_sessions"), "_g": -F.col("n_games")}
     )
     ranked = arrange(keyed, ["elo_bin_lo", "elo_bin_hi"], ["_s", "_n", "_g", "player_name"], max_rows)
     return ranked.scan({"bin_rank": ("count",)}).result().drop("_s", "_n", "_g")
 
 
-def select_players(eligible: DataFrame, per_bin: int = 20) -> DataFrame:
+def select_players(eligible: DataFrame, per_bin: int = 20, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Best ``per_bin`` players of each bin.
 
-    Spark prunes to the best ``per_bin`` rows per bin before the shuffle, so a hot
-    bin sends only ``per_bin`` rows per input task.
+    Up to ``PRUNED_ROWS`` Spark prunes to the best ``per_bin`` rows per bin before the
+    shuffle, so a hot bin sends only those of each input task. For a larger ``per_bin`` a
+    mergeable sketch of each bin's scores gives a bound that at least ``per_bin`` players
+    reach, which a count confirms (else the bin has no bound). Only those at or above it
+    are ranked, and a bin that is still hot is cut by score.
     """
-    order = [F.desc("selection_score"), F.desc("n_sessions"), F.desc("n_games"), F.asc("player_name")]
-    rank = F.row_number().over(Window.partitionBy("elo_bin_lo", "elo_bin_hi").orderBy(*order))
-    return (
-        eligible.withColumn("bin_rank", rank)
-        .filter(F.col("bin_rank") <= per_bin)
-        .orderBy("elo_bin_lo", "bin_rank", "player_name")
-    )
+    if per_bin <= PRUNED_ROWS:
+        order = [F.desc("selection_score"), F.desc("n_sessions"), F.desc("n_games"), F.asc("player_name")]
+        rank = F.row_number().over(Window.partitionBy(*BIN).orderBy(*order))
+        ranked = eligible.withColumn("bin_rank", rank)
+    else:
+        fixed = cut_lineage(eligible)
+        sketch = F.kll_sketch_agg_double("selection_score", SKETCH_K)
+        # Quantiles at shares of 1/2, 1/4 ... from above, and the smallest share that holds enough.
+        at = F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(1 - 0.5**k)) for k in range(HALVINGS)])
+        share = F.greatest(F.lit(float(per_bin)) / F.count(F.lit(1)) + SKETCH_SLACK, F.lit(0.5 ** (HALVINGS - 1)))
+        bound = F.when(F.count("selection_score") > 0, F.get(at, F.greatest(F.lit(0), F.floor(-F.log2(share))).cast("int")))
+        bounds = broadcast_if_small(fixed.groupBy(*BIN).agg(bound.alias("_bound")))
+        bounded = cut_lineage(fixed.join(bounds, BIN).withColumn("_high", F.coalesce(F.col("selection_score") >= F.col("_bound"), F.lit(False))))
+        few = bounded.groupBy(*BIN).agg((F.count_if("_high") < per_bin).alias("_few"))
+        # A bin whose bound proved too high, or that has fewer players, is ranked as a whole.
+        near = bounded.join(broadcast_if_small(few), BIN).filter("_high OR _few")
+        whole = near.select(*eligible.columns)
+        ranked = rank_in_bins(whole, max_rows)
+    return ranked.filter(F.col("bin_rank") <= per_bin).orderBy("elo_bin_lo", "bin_rank", "player_name")
 
 
 def selected_games(games: DataFrame, selected: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def test_unique_names(spark):
         "u4": f"y.tar__{tag('u4')}.gz",
         "u5": "z",
     }
-    with pytest.raises(RuntimeError, match="collision"):
+    with pytest.raises(RuntimeError, match="two files"):
         M.assert_unique(M.unique_names(df.union(df), "f", "u"))
 
 
@@ -170,14 +170,49 @@ def greedy(items, budget, cap):
 
 
 @pytest.mark.parametrize("cap", [None, 4])
-@pytest.mark.parametrize("in_task", [1000, 3])
-def test_budget_pick_equals_the_walk(spark, cap, in_task):
+@pytest.mark.parametrize("max_group", [10, 1000])
+def test_budget_pick_equals_the_walk(spark, cap, max_group):
     rng = random.Random(11)
     groups = {g: [(i, rng.choice([1, 5, 20, 60, 200])) for i in range(n)] for g, n in [("hot", 40), ("small", 5), ("tiny", 1)]}
     df = spark.createDataFrame([(g, i, s) for g, items in groups.items() for i, s in items], "g string, seq long, size long")
-    out = M.pick_under_budget(df, ["g"], "seq", "size", 150, cap, max_group=10, in_task=in_task)
+    out = M.pick_under_budget(df, ["g"], "seq", "size", 150, cap, max_group=max_group)
     got = {}
     for r in out.collect():
         got.setdefault(r.g, []).append(r.seq)
     for g, items in groups.items():
         assert sorted(got.get(g, [])) == greedy(items, 150, cap), g
+
+
+def test_budget_pick_rounds_are_bounded_by_bits(spark, monkeypatch):
+    """Sizes that each just miss the room left: a round per taken file would be 60 rounds."""
+    sizes = [x for i in range(60) for x in (1, 200 - i)] + [0, 0, 64, 30, 1]
+    df = spark.createDataFrame([("g", len(sizes) - i, s) for i, s in enumerate(sizes)], "g string, seq long, size long")
+    writes = []
+    cut = M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda frame: writes.append(1) or cut(frame))
+    for budget in (199, 130):
+        writes.clear()
+        got = sorted(r.seq for r in M.pick_under_budget(df, ["g"], "seq", "size", budget).collect())
+        assert got == greedy([(len(sizes) - i, s) for i, s in enumerate(sizes)], budget, None)
+        assert len(writes) <= 1 + 2 * (budget.bit_length() + 1)
+
+
+@pytest.mark.parametrize("slack", [None, -0.1])
+def test_large_top_k_of_a_hot_bin(spark, monkeypatch, slack):
+    """Above Spark's pruning limit: by a sketched bound, also where the bound is too high."""
+    if slack is not None:
+        monkeypatch.setattr(P, "SKETCH_SLACK", slack)
+    rng = random.Random(2)
+    rows = [(f"p{i:05}", 1000 if i % 8 else 1200, 0, rng.choice([rng.random(), 0.5, None]), 1, i % 3) for i in range(9_000)]
+    df = spark.createDataFrame(rows, "player_name string, elo_bin_lo int, elo_bin_hi int, selection_score double, n_sessions int, n_games int")
+    want = {}
+    for r in sorted(rows, key=lambda r: (-(r[3] if r[3] is not None else -1), -r[5], r[0])):
+        mine = want.setdefault(r[1], [])
+        if len(mine) < 1_500:
+            mine.append(r[0])
+    got = P.select_players(df, 1_500, max_rows=700)
+    assert got.columns == [*df.columns, "bin_rank"]
+    ranked = {}
+    for r in sorted(got.collect(), key=lambda r: r.bin_rank):
+        ranked.setdefault(r.elo_bin_lo, []).append(r.player_name)
+    assert ranked == want
