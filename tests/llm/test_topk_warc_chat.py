@@ -39,6 +39,55 @@ def test_topk(spark, monkeypatch, rows):
     assert sorted(map(tuple, got.collect())) == brute_topk(rows, 10)
 
 
+def wide_rows():
+    """Repeated ids with one and several vectors, components of 1e10 and 1e300, a zero query, ties everywhere."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1), rng.gauss(0, 1), 0.25]) for i in range(1, 300)]
+    rows += [(7, [1.0, 2.0, 3.0]), (7, [3.0, 2.0, 1.0]), (8, [1.0, 2.0, 3.0])] + [(9, [1.0, 2.0, 3.0])] * 30
+    rows += [(400, [0.0, 0.0, 0.0]), (500, [1.0, 2.0, 3.0]), (600, [-1e10, 1e10, 0.0])]
+    return rows + [(301, [1e10, -1e10, 1.0]), (302, [1e10, 1e10, 1e10]), (303, [-2.5e9, 0.0, 1.0])]
+
+
+@pytest.mark.parametrize("rows", [wide_rows(), [(i, [1e300 * (i % 3 - 1), 1.0, float(i)]) for i in range(150)]], ids=["wide", "beyond"])
+def test_topk_of_any_numbers(spark, monkeypatch, rows):
+    monkeypatch.setattr(vector_topk, "FIRST_ROUND", 1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    vectors = df.select("vec_id", vector_topk.scaled("embedding").alias("vec"))
+    got = vector_topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+    fits = lambda s: s if -(1 << 63) <= s < 1 << 63 else None
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((q, n, i, fits(s)) for q, n, i, s in brute_topk(rows, 10)), key=repr)
+
+
+def scanned_pairs(spark, monkeypatch, rows):
+    """Pairs that pass the scan of the cells, and pairs whose vectors are read exactly."""
+    seen = {"scan": 0, "read": 0}
+    cut = vector_topk.cut_lineage
+
+    def counted(frame):
+        out = cut(frame)
+        seen["scan"] += out.count() if "lower" in out.columns else 0
+        seen["read"] += out.where("n > 0").count() if "upper" in out.columns and "n" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(vector_topk, "cut_lineage", counted)
+    vectors = spark.createDataFrame(rows, "vec_id long, vec array<double>").repartition(4)
+    vector_topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10).collect()
+    return seen
+
+
+def test_topk_outliers_and_zero_queries_stay_cheap(spark, monkeypatch):
+    """One large component must not double the pairs; a zero query must not read all vectors."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(-2000, 2000)) for _ in range(16)]) for i in range(4_000)]
+    plain = scanned_pairs(spark, monkeypatch, rows)
+    monkeypatch.undo()
+    outlier = scanned_pairs(spark, monkeypatch, rows + [(4_001, [1e6] + [0.0] * 15)])
+    assert outlier["scan"] < 2 * plain["scan"] < 0.25 * 40 * 4_000
+    monkeypatch.undo()
+    zero = scanned_pairs(spark, monkeypatch, [(i, v if i % 100 else [0.0] * 16) for i, v in rows])
+    assert zero["read"] < 0.05 * 40 * 4_000
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(3)
     html = {i: "".join(rng.choice("ab<>é\r\n") for _ in range(rng.randrange(0, 400))) for i in range(200)}
