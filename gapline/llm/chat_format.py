@@ -4,17 +4,21 @@ Template: a block of adjacent turns of one role opens with ``### role: ``; each
 the block is its text and ``</turn>``. Inside texts and roles a backslash becomes
 ``\s``, ``###`` becomes ``\h`` and ``</turn>`` becomes ``\t`` (in roles also ``:``
 becomes ``\c``), so no control string survives in them and ``parse`` gives back every
-turn. ``loss_spans`` marks the texts of the assistant, in code points.
+turn. ``loss_spans`` marks the texts of the assistant, in code points and in bytes. Work is
+linear in the turns of a conversation, but for their sort.
 
 Defined results: null texts and roles are empty; turns are ordered by turn (null first),
 then role, then text; repeated rows are turns of their own; rows without a conversation
-id form one conversation. A conversation is one output row, so its text has to fit one.
+id form one conversation; other columns take no part, whatever their names; an empty table
+gives an empty result. A conversation is one output row, so its text, however long its turns,
+has to fit one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 HEAD, MID, END = "### ", ": ", "</turn>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -31,7 +35,7 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: str = "assistant") -> DataFrame:
-    """One row per conversation: its id, formatted string, loss_spans array of (start, length)."""
+    """One row per conversation: its id, formatted string, loss_spans array of (start, length, first_byte, bytes)."""
     turns = rows.select(
         F.col(conv).alias(conv),
         F.struct(
@@ -50,15 +54,31 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
             (x["role"] == trained).alias("trained"),
         ),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    # Offsets are running sums over the pieces' rows: a fold that gathers spans would copy
+    # them at each turn. The rows keep their partitioning, so they are not shuffled again.
+    rows_of = said.select(conv, F.posexplode(pieces).alias("place", "piece")).select(conv, "place", "piece.*")
+    line = Window.partitionBy(conv).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin, size = acc["at"] + F.length(x["head"]), F.length(x["text"])
-        span = F.struct(begin.alias("start"), size.alias("length"))
-        return F.struct((begin + size + len(END)).alias("at"), F.when(x["trained"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def before(size) -> Column:
+        whole = F.sum(size("head") + size("text") + len(END)).over(line)
+        return F.coalesce(whole, F.lit(0)) + size("head")
 
-    joined = F.array_join(F.transform("pieces", lambda x: F.concat(x["head"], x["text"], F.lit(END))), "")
-    return said.select(conv, pieces.alias("pieces")).select(conv, joined.alias("formatted"), F.aggregate("pieces", start, step)["spans"].alias("loss_spans"))
+    placed = rows_of.select(
+        conv,
+        F.struct(
+            "place",
+            F.concat("head", "text", F.lit(END)).alias("piece"),
+            "trained",
+            F.struct(
+                before(F.length).cast("int").alias("start"),
+                F.length("text").alias("length"),
+                before(F.octet_length).cast("int").alias("first_byte"),
+                F.octet_length("text").alias("bytes"),
+            ).alias("span"),
+        ).alias("turn"),
+    )
+    whole = placed.groupBy(conv).agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    return whole.select(conv, F.array_join("turns.piece", "").alias("formatted"), F.filter("turns", lambda t: t["trained"])["span"].alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:
@@ -75,5 +95,9 @@ def parse(formatted: Column) -> Column:
 
 
 def loss_texts(formatted: Column, spans: Column) -> Column:
-    """The texts under the mask, unescaped, in order."""
-    return F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"])))
+    """The texts under the mask, unescaped, in order.
+
+    Cut by bytes: a cut by code points walks from the start of the string each time.
+    """
+    cut = F.transform(F.array(formatted.cast("binary")), lambda b: F.transform(spans, lambda s: unescape(F.substr(b, s["first_byte"] + 1, s["bytes"]).cast("string"))))
+    return F.get(cut, F.lit(0))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,18 @@ def test_chat_round_trip(spark):
         blocks = 1 + sum(a[0] != b[0] for a, b in zip(turns, turns[1:]))
         assert got[c]["formatted"].count("### ") == blocks and got[c]["formatted"].count("</turn>") == len(turns)
     assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_of_many_turns_is_linear(spark):
+    """32,000 turns in one conversation; a quadratic fold takes minutes here."""
+    n = 32_000
+    text = F.concat(F.lit("té </turn> "), F.col("id").cast("string"), F.repeat(F.lit("x"), 90))
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    out = chat_format.format_chats(spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text")))
+    began = time.monotonic()
+    r = out.select("formatted", "loss_spans", F.size(chat_format.parse(F.col("formatted"))).alias("n"), chat_format.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert time.monotonic() - began < 40
+    assert r["n"] == n and r["loss"] == [f"té </turn> {i}" + "x" * 90 for i in range(1, n, 2)]
+    for span in (r["loss_spans"][0], r["loss_spans"][-1]):
+        by_point = r["formatted"][span["start"] : span["start"] + span["length"]]
+        assert by_point == r["formatted"].encode()[span["first_byte"] : span["first_byte"] + span["bytes"]].decode()
