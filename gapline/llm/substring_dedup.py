@@ -8,8 +8,8 @@ which are dealt out by document once:
 1. Anchors. Each task hashes all rolling block-sized windows of its texts, flags those
    that are reference blocks, and deals them to partitions by hash. A hash with a block
    and a second place is a hit.
-2. Extension. Around each hit the full windows that contain it are looked up by 128-bit
-   hash for the smallest document in which they start: adjacent windows with a smaller
+2. Extension. Around each hit the full windows that contain it are looked up by two
+   hashes for the smallest document in which they start: adjacent windows with a smaller
    document are the maximal exact repeats.
 3. The words under such windows leave their text.
 
@@ -20,7 +20,9 @@ No pairs of documents are made.
 
 Defined results: null texts are empty; documents without an id keep all their words and
 remove none elsewhere; rows that repeat an id are judged each for itself, against
-smaller ids only; texts shorter than a window stay whole.
+smaller ids only; texts shorter than a window stay whole, and texts of any length are taken
+whole, in slices; other columns take no part, whatever their names; an empty table gives an
+empty result. Windows are equal when two 64-bit hashes of their words' hashes are.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ from gapline.llm.words import Hasher, slices
 
 WINDOW = 50
 BATCH_BYTES = 16 << 20
-NO_ID = -(1 << 63)
+KEYS = ["id0", "text_key", "source_part"]
 PACKED = "part int, batch string, kind int, places binary, keys binary, docs binary"
 FOUND = "batch string, kind int, places binary, keys binary, docs binary"
-PLACES = "id0 long, text_key long, places binary"
+PLACES = "id0 long, text_key long, source_part long, places binary"
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -94,7 +96,7 @@ def _deal(batch_id: str, part: np.ndarray, n_parts: int, places: np.ndarray, key
 def _directory(batch_id: str, n_parts: int, table: pa.Table, first: np.ndarray, settled: np.ndarray) -> tuple:
     """The row that tells a batch's places apart by document, with the places already settled."""
     part = int(hashlib.blake2b(batch_id.encode(), digest_size=4).hexdigest(), 16) % n_parts
-    ids = np.stack([table["id0"].to_numpy(), table["text_key"].to_numpy(), first[:-1]])
+    ids = np.stack([*(table[k].to_numpy() for k in KEYS), first[:-1]])
     return (part, batch_id, 0, _pack(settled), first[-1:].astype(np.int64).tobytes(), pa.compress(ids.tobytes(), codec="zstd", asbytes=True) + np.int64(ids.nbytes).tobytes())
 
 
@@ -105,11 +107,10 @@ def _batches(stream):
     task, number, before = TaskContext.get().partitionId(), 0, None
     for whole in stream:
         for batch in slices(whole, "text", BATCH_BYTES):
-            ids, keys = batch.column("id0").to_pylist(), batch.column("text_key").to_pylist()
             keep = []
-            for pair in zip(ids, keys):
-                keep.append(pair != before and pair[0] != NO_ID)
-                before = pair
+            for row in zip(*(batch.column(k).to_pylist() for k in KEYS)):
+                keep.append(row != before)
+                before = row
             number += 1
             yield f"{task}-{number}", batch.filter(pa.array(keep, pa.bool_()))
 
@@ -187,10 +188,10 @@ def _by_document(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     told = next(r for r in rows if r["kind"] == 0)
     raw = told["docs"]
-    id0, text_key, first = np.frombuffer(pa.decompress(raw[:-8], decompressed_size=int(np.frombuffer(raw[-8:], np.int64)[0]), codec="zstd", asbytes=True), np.int64).reshape(3, -1)
+    *keys, first = np.frombuffer(pa.decompress(raw[:-8], decompressed_size=int(np.frombuffer(raw[-8:], np.int64)[0]), codec="zstd", asbytes=True), np.int64).reshape(4, -1)
     found = np.unique(np.concatenate([_unpack(r["places"]) for r in rows]))
     cuts = np.searchsorted(found, [*first, np.frombuffer(told["keys"], np.int64)[0]])
-    out = [(int(id0[d]), int(text_key[d]), _pack(found[cuts[d] : cuts[d + 1]] - first[d])) for d in np.flatnonzero(np.diff(cuts))]
+    out = [(*(int(k[d]) for k in keys), _pack(found[cuts[d] : cuts[d + 1]] - first[d])) for d in np.flatnonzero(np.diff(cuts))]
     return pa.Table.from_batches([_rows(out, PLACES)])
 
 
@@ -247,9 +248,9 @@ def _repeats(stream):
 
 
 def repeated_windows(texts: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per document with repeats: id0, text_key, places (packed starts of repeated windows).
+    """Per document with repeats: its keys, places (packed starts of repeated windows).
 
-    texts: id0, text_key, text, dealt by the first two and sorted by them in partitions.
+    texts: the keys and text, dealt by the keys and sorted by them in partitions.
     """
     n = partitions(texts.sparkSession)
 
@@ -258,7 +259,7 @@ def repeated_windows(texts: DataFrame, width: int = WINDOW) -> DataFrame:
         return dealt.mapInArrow(match, FOUND).groupBy("batch").applyInArrow(_by_document, PLACES)
 
     hits = found(texts, _anchors(width, n), _hits)
-    near = texts.join(hits, ["id0", "text_key"]).sortWithinPartitions("id0", "text_key")
+    near = texts.join(hits, KEYS).sortWithinPartitions(*KEYS)
     return found(near, _extensions(width, n), _repeats)
 
 
@@ -280,7 +281,7 @@ def _cut(width: int):
                     edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
                     runs = zip([0, *edge[1::2]], [*edge[::2], int(b - a)])
                     kept = b" ".join([b" ".join(raw[words.start[a + i] : words.stop[a + j - 1]].split()) for i, j in runs if j > i])
-                    out.append((None if ids[d] == NO_ID else ids[d], int(b - a), int(gone.sum()), kept, edge))
+                    out.append((ids[d], int(b - a), int(gone.sum()), kept, edge))
                 columns = list(zip(*out))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_words", "n_removed", "kept", "spans"])
@@ -288,6 +289,17 @@ def _cut(width: int):
     return run
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Keys and text of every row. The input partition is a key, so that a row that repeats often is not dealt to one task."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id0"), F.xxhash64(text).alias("text_key"), F.spark_partition_id().cast("long").alias("source_part"), text.alias("text"))
+
+
+def dealt(every: DataFrame) -> DataFrame:
+    n = partitions(every.sparkSession)
+    return every.where(F.col("id0").isNotNull()).repartition(n, *KEYS).sortWithinPartitions(*KEYS)
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text, spans.
 
@@ -296,11 +308,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if width < 2 or width % 2:
         raise ValueError("the window needs an even number of words")
-    n = partitions(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id0"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    texts = texts.repartition(n, "id0", "text_key").sortWithinPartitions("id0", "text_key")
+    every = keyed(docs, id_col, text_col)
+    texts = dealt(every)
     places = repeated_windows(texts, width)
-    cut = texts.join(places, ["id0", "text_key"], "left").select("id0", "text", "places")
+    cut = texts.join(places, KEYS, "left").select("id0", "text", "places")
+    loose = every.where(F.col("id0").isNull()).select("id0", "text", F.lit(None).cast("binary").alias("places"))
+    cut = cut.unionByName(loose)
     out = cut.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept binary, spans array<long>")
     return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "spans")

@@ -74,6 +74,20 @@ def test_substring_dedup_dense(spark, monkeypatch, width, letters, seed):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted(brute_repeats(rows, width))
 
 
+def test_substring_dedup_extreme_ids_and_hot_rows(spark):
+    """The smallest long is an id as any other; half of all rows alike are spread over the tasks."""
+    passage = " ".join(prose(21, 80))
+    rows = [(-(1 << 63), passage), (1, passage), ((1 << 63) - 1, passage), (None, passage)]
+    got = substring_dedup.drop_repeats(docs_of(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got), key=key) == sorted(brute_repeats(rows, 50), key=key)
+    rows = [(5, passage)] * 1_600 + [(i, " ".join(prose(i, 60) + prose(21, 80)[:55])) for i in range(10, 1_610)]
+    docs = docs_of(spark, rows).repartition(64)
+    got = substring_dedup.drop_repeats(docs).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted(brute_repeats(rows, 50))
+    sizes = [r["count"] for r in substring_dedup.dealt(substring_dedup.keyed(docs, "doc_id", "text")).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
