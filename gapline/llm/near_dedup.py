@@ -1,19 +1,25 @@
 """Near-duplicate classes by ProbMinHash sketches, banding and exact verification.
 
-A text is the set of its distinct five-word shingles, all of one weight. In a sketch
-every shingle is a Poisson process whose rate is its weight; each arrival picks a
+A text is its distinct five-word shingles, weighted by how often it repeats them. In a
+sketch every shingle is a Poisson process whose rate is its weight; each arrival picks a
 register at random, a register keeps the shingle of its earliest arrival, and a process
 ends as soon as its next arrival is later than all registers. Two sketches agree in a
-register with the probability Jaccard similarity of the sets, which at equal weights is
-the Jaccard similarity, however often a text repeats a passage. Sketches are banded, and
-what meets in a band is verified on the whole texts by the same measure: the Jaccard
-similarity of the distinct shingles is at least the threshold.
+register with the probability Jaccard similarity of the weighted shingles, J_P. Sketches
+are banded, and what meets in a band is verified on the whole texts: J_P, or the plain
+Jaccard similarity of the distinct shingles, is at least the threshold.
+
+Where a text repeats a passage much more often than another, J_P is far below the plain
+similarity, and weighted bands alone would lose the pair. So a text that repeats shingles
+is also sketched with equal weights, where J_P is the plain one; without repeats the two
+sketches are the same.
 
 Texts of one word sequence are one node before banding. A band's nodes are not paired
 with each other: all are compared with one centre, the node that shares most bands with
 others. Where a band then still holds nodes of different classes, an exact filter finds
 what is left: two texts reach the threshold only if they share some of their rarest
-shingles, as in any order that both use the first few have to hold a shared one.
+shingles, as in any order that both use the first few have to hold a shared one. J_P is at
+most what two texts share of their normalised weights, so for it the first few are those
+that hold the weight which need not be shared.
 Nodes that are not of their band's main class meet the others in such rare shingles
 and are verified. So no link of two nodes that meet in a band is lost to the class,
 and a large group of near copies takes about a linear number of comparisons.
@@ -21,7 +27,8 @@ and a large group of near copies takes about a linear number of comparisons.
 Defined results: null texts are empty; texts without words are copies of each other and
 near to nothing else; texts of fewer words than a shingle are one shingle; rows without an id
 take no part (null class, kept); rows that repeat an id are one document, linked with what
-any of its texts is linked with.
+any of its texts is linked with. Texts are taken whole, in slices of bounded size. Other
+columns take no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,6 +86,31 @@ def prob_minhash(item: np.ndarray, weight: np.ndarray, owner: np.ndarray, owners
     return who.reshape(owners, size)
 
 
+def band_codes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A hash of each band of each sketch."""
+    band = sketch.reshape(len(sketch), bands, rows)
+    code = np.zeros((len(sketch), bands), np.uint64)
+    for r in range(rows):
+        code = mix(code + band[:, :, r] + np.uint64(r + 1))
+    return mix(code + np.arange(bands, dtype=np.uint64)[None, :])
+
+
+def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """J_P of two aligned vectors of weights: the sum over shared i of 1 / sum_j max(a_j / a_i, b_j / b_i).
+
+    Sorted by the ratio of a to b, the larger of the two is that of a from i on, else of b.
+    """
+    with np.errstate(divide="ignore"):
+        ratio = a / b
+    order = np.argsort(ratio, kind="stable")
+    a, b, ratio = a[order], b[order], ratio[order]
+    from_here = np.concatenate([np.cumsum(a[::-1])[::-1], [0.0]])
+    until = np.concatenate([[0.0], np.cumsum(b)])
+    first = np.searchsorted(ratio, ratio, "left")
+    both = (a > 0) & (b > 0)
+    return float(np.sum(1 / (from_here[first[both]] / a[both] + until[first[both]] / b[both])))
+
+
 def words_keys(words, hashes: np.ndarray) -> pa.Array:
     """A 128-bit hash of every text's word sequence."""
     raw, cuts = hashes.tobytes(), words.first * 8
@@ -94,17 +126,21 @@ def _sketch(width: int, bands: int, rows: int):
                 n = batch.num_rows
                 packed = np.sort(owner.astype(np.uint64) << np.uint64(40) | item >> np.uint64(24))
                 edge = np.flatnonzero(np.diff(packed, prepend=packed[:1] + np.uint64(1)))
+                weight = np.diff(edge, append=len(packed)).astype(np.float64)
                 packed = packed[edge]
                 who = (packed >> np.uint64(40)).astype(np.int64)
-                sketch = prob_minhash(mix(packed & np.uint64((1 << 40) - 1)), np.ones(len(packed)), who, n, bands * rows)
-                band = sketch.reshape(n, bands, rows)
-                code = np.zeros((n, bands), np.uint64)
-                for r in range(rows):
-                    code = mix(code + band[:, :, r] + np.uint64(r + 1))
-                code = mix(code + np.arange(bands, dtype=np.uint64)[None, :])
-                some = np.zeros(n, bool)
+                item = mix(packed & np.uint64((1 << 40) - 1))
+                code = band_codes(prob_minhash(item, np.ones(len(item)), who, n, bands * rows), bands, rows)
+                some, again = np.zeros(n, bool), np.zeros(n, bool)
                 some[who] = True
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32), pa.array(code[some].view(np.int64).ravel()))
+                again[who[weight > 1]] = True
+                # Without repeats the weighted sketch is the one with equal weights.
+                mine = again[who]
+                weighted = band_codes(prob_minhash(item[mine], weight[mine], (np.cumsum(again) - 1)[who[mine]], int(again.sum()), bands * rows), bands, rows)
+                owner = np.concatenate([np.repeat(np.flatnonzero(some), bands), np.repeat(np.flatnonzero(again), bands)])
+                found = np.unique(np.stack([owner.astype(np.uint64), np.concatenate([code[some].ravel(), weighted.ravel()])], axis=1), axis=0)
+                cuts = np.searchsorted(found[:, 0], np.arange(n + 1).astype(np.uint64)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(found[:, 1]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), words_keys(words, hashes), lists], ["id", "words_key", "bands"])
 
     return run
@@ -134,9 +170,16 @@ def _verify(width: int, threshold: float):
                 (one, cut1), (two, cut2) = sides
                 good = np.zeros(batch.num_rows, bool)
                 for i in range(batch.num_rows):
-                    a, b = np.unique(one[cut1[i] : cut1[i + 1]]), np.unique(two[cut2[i] : cut2[i + 1]])
-                    same = len(np.intersect1d(a, b, assume_unique=True))
+                    (a, n), (b, m) = (np.unique(x, return_counts=True) for x in (one[cut1[i] : cut1[i + 1]], two[cut2[i] : cut2[i + 1]]))
+                    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                    same = len(at)
                     good[i] = same > 0 and same >= threshold * (len(a) + len(b) - same) - 1e-9
+                    if same and not good[i] and (n.max() > 1 or m.max() > 1):
+                        rest, other = np.ones(len(a), bool), np.ones(len(b), bool)
+                        rest[at], other[to] = False, False
+                        x = np.concatenate([n[at], n[rest], np.zeros(other.sum())]).astype(np.float64)
+                        y = np.concatenate([m[to], np.zeros(rest.sum()), m[other]]).astype(np.float64)
+                        good[i] = probability_jaccard(x, y) >= threshold - 1e-9
                 keep = pa.array(good)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -153,8 +196,8 @@ def _items(width: int):
                 item, owner = item[order], owner[order]
                 new = np.ones(len(item), bool)
                 new[1:] = (item[1:] != item[:-1]) | (owner[1:] != owner[:-1])
-                ids = batch.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner[new]]), pa.array(item[new].view(np.int64))], ["id", "item"])
+                ids, times = batch.column("id").to_numpy(), np.diff(np.flatnonzero(new), append=len(item))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner[new]]), pa.array(item[new].view(np.int64)), pa.array(times)], ["id", "item", "times"])
 
     return run
 
@@ -170,33 +213,44 @@ def _rare_pairs(here: DataFrame, texts: DataFrame, width: int, threshold: float)
     Shingles are ordered by how many nodes have them. Texts of n and m shingles at the
     threshold t share at least t / (1 + t) * (n + m) of them, so all but that many, and
     one more, make a start in which they meet. m is the smallest text of a node's bands.
+    For J_P the start is what holds 1 - t of the weight, and the shingle after it. Both
+    are first parts of the order, and a node's start is the longer one.
     """
-    items = cut_lineage(_meet(texts, here.select("id").distinct(), "id").mapInArrow(_items(width), "id long, item long").dropDuplicates())
+    items = cut_lineage(_meet(texts, here.select("id").distinct(), "id").mapInArrow(_items(width), "id long, item long, times long").dropDuplicates())
     common = cut_lineage(items.groupBy("item").agg(F.count(F.lit(1)).alias("nodes")))
     items = cut_lineage(_meet(items, common, "item"))
-    counts = cut_lineage(items.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("nodes") > 1, 1)).alias("s")))
-    here = cut_lineage(_meet(here, counts, "id"))
+    among = F.col("nodes") > 1
+    counts = items.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(among, 1)).alias("s"), F.sum("times").alias("weight"), (F.sum(F.when(among, F.col("times")).otherwise(0)) / F.sum("times")).alias("held")
+    )
+    here = cut_lineage(_meet(here, cut_lineage(counts), "id"))
     # A node with s shingles in other nodes has at most this similarity to a text of m shingles or more.
     most = F.col("s") / (F.col("n") + F.greatest(F.col("m") - F.col("s"), F.lit(0)))
     smallest = cut_lineage(here.groupBy("band").agg(F.min("n").alias("m")))
-    here = _mixed(here.join(smallest, "band").where(most >= threshold - 1e-9).select("band", "id", "label", "n", "m"))
+    here = here.join(smallest, "band").where((most >= threshold - 1e-9) | (F.col("held") >= threshold - 1e-9))
+    here = _mixed(here.select("band", "id", "label", "n", "m", "weight"))
     sizes = here.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
     main = cut_lineage(sizes.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main")))
     minor = cut_lineage(here.join(main, "band").where("label <> main").select("id").distinct())
-    nodes = cut_lineage(here.groupBy("id").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("m").alias("m")))
-    ranked = _meet(items, nodes, "id").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("nodes", "item")))
+    nodes = cut_lineage(here.groupBy("id").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("m").alias("m"), F.first("weight").alias("weight")))
+    order = Window.partitionBy("id").orderBy("nodes", "item")
+    upto = F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.col("weight")
+    ranked = _meet(items, nodes, "id").withColumns({"place": F.row_number().over(order), "upto": upto, "part": F.col("times") / F.col("weight")})
     other = F.greatest(F.col("m"), F.col("n") * threshold)
     needed = F.ceil((F.col("n") + other) * (threshold / (1 + threshold)) - 1e-9)
-    start = F.col("n") - needed + 1
+    start = (F.col("place") <= F.col("n") - needed + 1) | (F.col("upto") - F.col("part") <= 1 - threshold + 1e-9)
     # What only one node has meets nobody.
-    starts = cut_lineage(ranked.where(F.col("place") <= start).where("nodes > 1").select("id", "item", "place", "n", "label"))
-    one = _meet(starts, minor, "id").select("item", F.col("id").alias("one"), F.col("place").alias("its_place"), F.col("n").alias("its_n"), F.col("label").alias("its_label"))
-    met = _meet(starts, one, "item").where("label <> its_label").where(F.least("n", "its_n") >= F.greatest("n", "its_n") * threshold - 1e-9)
-    shared = met.groupBy("one", "id", "n", "its_n").agg(F.count(F.lit(1)).alias("shared"), F.max("place").alias("last"), F.max("its_place").alias("its_last"))
+    starts = cut_lineage(ranked.where(start & among).select("id", "item", "place", "n", "label", "part", "upto"))
+    one = _meet(starts, minor, "id").select("item", F.col("id").alias("one"), *[F.col(c).alias(f"its_{c}") for c in ("place", "n", "label", "part", "upto")])
+    met = _meet(starts, one, "item").where("label <> its_label")
+    shared = met.groupBy("one", "id", "n", "its_n").agg(
+        F.count(F.lit(1)).alias("shared"), F.sum(F.least("part", "its_part")).alias("both"), *[F.max(c).alias(c) for c in ("place", "its_place", "upto", "its_upto")]
+    )
     # What they share up to the last place they meet in, and at most all that is after it.
-    best = F.col("shared") + F.least(F.col("n") - F.col("last"), F.col("its_n") - F.col("its_last"))
-    shared = shared.where(best >= (F.col("n") + F.col("its_n")) * (threshold / (1 + threshold)) - 1e-9)
-    return shared.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
+    best = F.col("shared") + F.least(F.col("n") - F.col("place"), F.col("its_n") - F.col("its_place"))
+    plain = (F.least("n", "its_n") >= F.greatest("n", "its_n") * threshold - 1e-9) & (best >= (F.col("n") + F.col("its_n")) * (threshold / (1 + threshold)) - 1e-9)
+    weighted = F.col("both") + F.least(1 - F.col("upto"), 1 - F.col("its_upto")) >= threshold - 1e-9
+    return shared.where(plain | weighted).select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

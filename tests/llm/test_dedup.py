@@ -3,8 +3,9 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest_llm import docs_of, prose
 from pyspark.sql import functions as F
@@ -88,9 +89,20 @@ def test_substring_dedup_extreme_ids_and_hot_rows(spark):
     assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
 
 
-def shingle_set(text):
+def shingle_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else Counter([tuple(w)] if w else [])
+
+
+def brute_jp(a, b):
+    every = a.keys() | b.keys()
+    return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in every) for i in a.keys() & b.keys())
+
+
+def near(a, b):
+    if not a or not b:
+        return not a and not b
+    return len(a.keys() & b.keys()) >= 0.8 * len(a.keys() | b.keys()) - 1e-9 or (max(*a.values(), *b.values()) > 1 and brute_jp(a, b) >= 0.8 - 1e-9)
 
 
 def brute_classes(rows):
@@ -102,15 +114,48 @@ def brute_classes(rows):
             a = up[a]
         return a
 
-    sets = [(i, shingle_set(t)) for i, t in rows if i is not None]
-    for n, (i, a) in enumerate(sets):
-        for j, b in sets[:n]:
-            if (not a and not b) or (a and len(a & b) >= 0.8 * len(a | b) - 1e-9):
+    texts = list({(i, t): (i, shingle_counts(t)) for i, t in rows if i is not None}.values())
+    for n, (i, a) in enumerate(texts):
+        for j, b in texts[:n]:
+            if find(i) != find(j) and near(a, b):
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
 
 
+def test_probability_jaccard():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = (Counter({k: rng.randrange(1, 9) for k in rng.sample(range(12), rng.randrange(1, 10))}) for _ in range(2))
+        every = sorted(a.keys() | b.keys())
+        x, y = (np.array([c[k] for k in every], float) for c in (a, b))
+        assert near_dedup.probability_jaccard(x, y) == pytest.approx(brute_jp(a, b), abs=1e-12)
+        assert near_dedup.probability_jaccard(x * 3, y) == pytest.approx(brute_jp(a, b), abs=1e-12)
+
+
+def test_sketch_agrees_as_often_as_the_measure():
+    rng = np.random.default_rng(1)
+    item = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+    a, b = np.where(np.arange(40) < 30, rng.integers(1, 20, 40), 0.0), np.where(np.arange(40) > 8, rng.integers(1, 20, 40), 0.0)
+    owner = np.concatenate([np.zeros((a > 0).sum(), int), np.ones((b > 0).sum(), int)])
+    sketch = near_dedup.prob_minhash(np.concatenate([item[a > 0], item[b > 0]]), np.concatenate([a[a > 0], b[b > 0]]), owner, 2, 1 << 14)
+    assert (sketch[0] == sketch[1]).mean() == pytest.approx(near_dedup.probability_jaccard(a, b), abs=0.02)
+
+
+def test_near_dedup_by_weights(spark):
+    """Texts that share a passage told many times and differ in as many single words: near by J_P alone."""
+    rows = []
+    for k in range(6):
+        passage = " ".join(prose(100 + k, 12))
+        for v in range(4):
+            rows.append((10 * k + v, " ".join([passage] * 60 + prose(1_000 + 10 * k + v, 25))))
+    a, b = shingle_counts(rows[0][1]), shingle_counts(rows[1][1])
+    assert len(a.keys() & b.keys()) < 0.5 * len(a.keys() | b.keys()) and brute_jp(a, b) >= 0.8
+    rows += [(100 + i, " ".join(prose(300 + i, 40))) for i in range(20)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs_of(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_dedup_edges(edge_docs, edge_rows):
     want = brute_classes(edge_rows)
     got = near_dedup.near_classes(edge_docs).collect()
@@ -194,3 +239,10 @@ def test_empty_tables(no_docs):
     assert substring_dedup.drop_repeats(no_docs).count() == 0
     assert near_dedup.near_classes(no_docs).count() == 0
     assert near_dedup.drop_near_copies(no_docs).count() == 0
+
+
+def test_near_dedup_finds_all_pairs_of_the_given_table(spark):
+    """Recall against all pairs of the smallest documents table: every link is inside one class."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    assert got == brute_classes(rows)
