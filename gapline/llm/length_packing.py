@@ -10,7 +10,9 @@ Numbering is by shard: the hash deals pieces to shards, a window numbers a shard
 the shard's offset comes from counts per (bucket, shard). No bucket meets in one task.
 
 Defined results: null and empty texts are one piece of length 0, padded to the smallest
-bound; equal rows are pieces of their own; rows without an id are packed like others.
+bound; equal rows are pieces of their own, spread by a number; rows without an id are packed
+like others; texts of any length are cut whole into pieces; other columns take no part,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapline.llm.tables import WORDS, partitions
+from gapline.llm.tables import WORDS, partitions, spread_repeats
 from gapline.runtime import cut_lineage
 
 MAX_LEN, BUCKETS, BUDGET, SEED = 2048, 16, 65_536, 17
@@ -78,8 +80,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_le
     bounds = optimal_bounds(np.array([n for n, _ in histogram], np.int64), np.array([c for _, c in histogram], np.int64), buckets) or [max_len]
     bucket = F.element_at(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b >= F.col("n_tokens")), 1)
     shards = 4 * partitions(spark)
-    order = F.xxhash64(F.lit(seed), "row_key", "piece")
-    dealt = all_pieces.select("*", bucket.alias("bucket"), order.alias("place")).withColumn("shard", F.pmod(F.shiftrightunsigned("place", 17), F.lit(shards)))
+    # Rows alike in id and text differ by a number, or they would all have one place.
+    order = F.xxhash64(F.lit(seed), "row_key", "piece", "spread")
+    dealt = spread_repeats(all_pieces.withColumn("key", F.xxhash64("row_key", "piece")), "key").drop("key").select("*", bucket.alias("bucket"), order.alias("place")).withColumn("shard", F.pmod(F.shiftrightunsigned("place", 17), F.lit(shards)))
     counts = dealt.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))  # buckets x shards rows
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", "shard", F.coalesce(before, F.lit(0)).alias("before"))

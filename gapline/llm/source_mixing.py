@@ -14,7 +14,8 @@ is overrun by less than one document, and nothing sorts a whole source by docume
 
 Defined results: a null source is a source of its own; null and empty texts count as one
 token so that they keep a place; equal rows are drawn each for itself; one source alone has
-weight 1; an empty table gives an empty table.
+weight 1; words of a text of any length are counted whole; other columns keep their names and
+values, whatever the names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapline.llm.tables import WORDS
+from gapline.llm.tables import WORDS, partitions, spread_repeats
 from gapline.runtime import cut_lineage
 
 BLOCK_TOKENS, SEED, MAX_EPOCHS = 250_000, 29, 2.0
@@ -77,40 +78,62 @@ def find_alpha(totals: DataFrame, budget: float | None = None, entropy: float |
     return high
 
 
-def draw(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", budget: int | None = None, entropy: float | None = None, max_epochs: float | None = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """One row per drawn document and epoch: doc_id, source, tokens, row_key, epoch, block_place, place.
+def counted(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, source, row_key, tokens."""
+    return cut_lineage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), tokens_of(text_col).alias("tokens")))
+
+
+def draw(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row per drawn document and epoch: doc_id, source, tokens, row_key, epoch, block_place, place. See ``draw_counted``."""
+    return draw_counted(counted(docs, source_col, id_col, text_col), **how)
+
+
+def draw_counted(rows: DataFrame, budget: int | None = None, entropy: float | None = None, max_epochs: float | None = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+    """``draw`` from the rows of ``counted``.
 
     budget: tokens of the mix; by default the fewest with which every document is drawn.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), tokens_of(text_col).alias("tokens"))
-    rows = cut_lineage(rows)
-    totals = source_totals(rows)
+    spark, totals = rows.sparkSession, source_totals(rows)
     whole = totals.agg(F.sum("tokens")).first()[0]
     if not whole:
         return rows.select("*", F.lit(0).alias("epoch"), F.lit(0).alias("block_place"), F.lit(0).alias("place"))
     alpha = find_alpha(totals, budget, entropy, max_epochs)
-    one = docs.sparkSession.range(1).select(F.lit(alpha).alias("alpha"))
+    one = spark.range(1).select(F.lit(alpha).alias("alpha"))
     at = _measured(totals, one, budget).first()
     quota = F.round(F.lit(float(at["cover"] if budget is None else budget)) * F.pow("share", F.lit(alpha)) / F.lit(at["z"]))
     plan = cut_lineage(totals.select(F.col("source").alias("of"), quota.alias("quota"), F.ceil(F.col("tokens") / block_tokens).alias("blocks"), F.col("tokens").alias("total")))
 
     # The plan has a row per source; Spark broadcasts it only if its written size is small.
-    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row_key"), F.col("blocks"))).drop("of")
-    dealt = cut_lineage(dealt.select("doc_id", "source", "row_key", "tokens", "block"))
+    # Rows alike in id and text differ by a number, or they would all be in one block.
+    dealt = spread_repeats(rows, "row_key").join(plan, F.col("source").eqNullSafe(F.col("of")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row_key", "spread"), F.col("blocks"))).drop("of")
+    dealt = cut_lineage(dealt.select("doc_id", "source", "row_key", "spread", "tokens", "block"))
     sizes = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
     sizes = sizes.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     epochs = F.ceil(F.col("quota") / F.col("total"))
     turns = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(epochs, F.lit(1)) - 1)))
-    order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block")
-    before = F.coalesce(F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("epoch") * F.col("total")
-    turns = turns.select("source", "block", "epoch", "block_tokens", before.alias("before"), "quota", F.row_number().over(order).alias("block_place")).where("before < quota")
+    # A source's blocks are ordered by hash in shards, which are numbered from the shards before them.
+    turns = turns.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "block"))
+    turns = cut_lineage(turns.withColumn("shard", F.pmod(F.shiftrightunsigned("h", 17), F.lit(4 * partitions(spark)))))
+    shards = turns.groupBy("source", "epoch", "shard").agg(F.sum("block_tokens").alias("shard_tokens"), F.count(F.lit(1)).alias("shard_blocks"))
+    earlier = Window.partitionBy("source", "epoch").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shards.select(
+        F.col("source").alias("of"), F.col("epoch").alias("in_epoch"), F.col("shard").alias("in_shard"),
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("shard_tokens", "shard_blocks")],
+    )
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("epoch") == F.col("in_epoch")) & (F.col("shard") == F.col("in_shard"))
+    order = Window.partitionBy("source", "epoch", "shard").orderBy("h", "block")
+    inside = F.coalesce(F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turns = turns.withColumns({"inside": inside, "nth": F.row_number().over(order)}).join(offsets, same)
+    before = F.col("shard_tokens") + F.col("inside") + F.col("epoch") * F.col("total")
+    turns = turns.select("source", "block", "epoch", "block_tokens", before.alias("before"), "quota", (F.col("shard_blocks") + F.col("nth")).alias("block_place")).where("before < quota")
     turns = cut_lineage(turns)
     keys = [F.col("source").eqNullSafe(F.col("of")), F.col("block") == F.col("in_block")]
     taken = dealt.join(turns.withColumnRenamed("source", "of").withColumnRenamed("block", "in_block"), keys[0] & keys[1])
     whole_blocks = F.col("before") + F.col("block_tokens") <= F.col("quota")
-    inside = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed + 1), "epoch", "row_key"), "row_key", "doc_id")
+    inside = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed + 1), "epoch", "row_key", "spread"), "row_key", "spread", "doc_id")
     sofar = F.coalesce(F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = taken.select("doc_id", "source", "tokens", "row_key", "epoch", "block", "block_place", F.row_number().over(inside).alias("place"), (whole_blocks | (F.col("before") + sofar < F.col("quota"))).alias("in"))
+    placed = taken.select("doc_id", "spread", "source", "tokens", "row_key", "epoch", "block", "block_place", F.row_number().over(inside).alias("place"), (whole_blocks | (F.col("before") + sofar < F.col("quota"))).alias("in"))
     return placed.where("in").select("doc_id", "source", "tokens", "row_key", "epoch", "block_place", "place")
 
 
@@ -119,10 +142,21 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
 
     Rows alike in id and text share their draws evenly.
     """
-    drawn = draw(docs, source_col, id_col, text_col, **how)
-    times = cut_lineage(drawn.groupBy("row_key").agg(F.count(F.lit(1)).alias("times")))
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
-    alike = Window.partitionBy("row_key")
-    shared = rows.join(times, "row_key").select("row", "times", F.count(F.lit(1)).over(alike).alias("rows"), F.row_number().over(alike.orderBy("row_key")).alias("nth"))
+    known = counted(docs, source_col, id_col, text_col)
+    drawn = draw_counted(known, **how)
+    times = drawn.groupBy("row_key").agg(F.count(F.lit(1)).alias("times"))
+    times = cut_lineage(known.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows")).join(times, "row_key"))
+    every = docs.select(
+        F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")
+    )
+    single = every.join(times.where("rows = 1"), "row_key").select("row", F.col("times").alias("own"))
+    # Rows alike are numbered by the partition they come from, so that a hot row is not dealt to one task.
+    alike = cut_lineage(every.join(times.where("rows > 1"), "row_key"))
+    parts = alike.groupBy("row_key", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("row_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("row_key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("row_key", "part").orderBy("at"))
+    shared = alike.join(parts, ["row_key", "part"]).select("row", "times", "rows", nth.alias("nth"))
     own = F.floor(F.col("times") / F.col("rows")) + (F.col("nth") <= F.col("times") % F.col("rows")).cast("long")
-    return shared.select("row", F.explode(F.sequence(F.lit(0).cast("long"), own)).alias("turn")).where("turn > 0").select("row.*")
+    shared = single.unionByName(shared.select("row", own.alias("own")))
+    return shared.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("turn")).where("turn > 0").select("row.*")

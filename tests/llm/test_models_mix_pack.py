@@ -8,8 +8,10 @@ import re
 import numpy as np
 import pytest
 from conftest_llm import docs_of, prose
+from pyspark.sql import functions as F
 
 from gapline.llm import length_packing, quality, source_mixing, toxicity
+from gapline.llm.tables import spread_repeats
 from gapline.llm.linear import Rows, fit, sigmoid
 
 
@@ -222,3 +224,19 @@ def test_pipeline_stages(spark, tmp_path, edge_docs, edge_rows):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_half_of_all_rows_alike(spark, monkeypatch):
+    """Packing and mixing spread rows alike: the fullest shard and block have under twice the median."""
+    rows = [(1, "same words here", "s")] * 4_000 + [(i, f"w{i} some other words", "s") for i in range(10, 4_010)]
+    docs = docs_of(spark, rows).repartition(16)
+    cells = length_packing.pack(docs, max_len=8, buckets=1, budget=8)
+    assert cells.count() == 8_000 and cells.select("batch", "slot").distinct().count() == 8_000
+    spread = spread_repeats(source_mixing.counted(docs), "row_key")
+    sizes = sorted(r["count"] for r in spread.groupBy(F.pmod(F.xxhash64("row_key", "spread"), F.lit(32))).count().collect())
+    assert len(sizes) == 32 and sizes[-1] < 2 * sizes[16]
+    drawn = source_mixing.draw(docs, block_tokens=500)
+    per_block = sorted(r["count"] for r in drawn.groupBy("source", "epoch", "block_place").count().collect())
+    assert per_block[-1] < 2 * per_block[len(per_block) // 2]
+    assert [r["block_place"] for r in drawn.select("block_place").distinct().orderBy("block_place").collect()] == list(range(1, len(per_block) + 1))
+    assert source_mixing.mix(docs).count() == drawn.count() == 8_000
