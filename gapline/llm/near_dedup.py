@@ -213,8 +213,8 @@ def _rare_pairs(here: DataFrame, texts: DataFrame, width: int, threshold: float)
     Shingles are ordered by how many nodes have them. Texts of n and m shingles at the
     threshold t share at least t / (1 + t) * (n + m) of them, so all but that many, and
     one more, make a start in which they meet. m is the smallest text of a node's bands.
-    For J_P the start is what holds 1 - t of the weight, and the shingle after it. Both
-    are first parts of the order, and a node's start is the longer one.
+    For J_P the start is what holds 1 - t of the weight, and the shingle after it; only
+    pairs of which one repeats shingles need it.
     """
     items = cut_lineage(_meet(texts, here.select("id").distinct(), "id").mapInArrow(_items(width), "id long, item long, times long").dropDuplicates())
     common = cut_lineage(items.groupBy("item").agg(F.count(F.lit(1)).alias("nodes")))
@@ -238,19 +238,27 @@ def _rare_pairs(here: DataFrame, texts: DataFrame, width: int, threshold: float)
     ranked = _meet(items, nodes, "id").withColumns({"place": F.row_number().over(order), "upto": upto, "part": F.col("times") / F.col("weight")})
     other = F.greatest(F.col("m"), F.col("n") * threshold)
     needed = F.ceil((F.col("n") + other) * (threshold / (1 + threshold)) - 1e-9)
-    start = (F.col("place") <= F.col("n") - needed + 1) | (F.col("upto") - F.col("part") <= 1 - threshold + 1e-9)
-    # What only one node has meets nobody.
-    starts = cut_lineage(ranked.where(start & among).select("id", "item", "place", "n", "label", "part", "upto"))
-    one = _meet(starts, minor, "id").select("item", F.col("id").alias("one"), *[F.col(c).alias(f"its_{c}") for c in ("place", "n", "label", "part", "upto")])
-    met = _meet(starts, one, "item").where("label <> its_label")
-    shared = met.groupBy("one", "id", "n", "its_n").agg(
-        F.count(F.lit(1)).alias("shared"), F.sum(F.least("part", "its_part")).alias("both"), *[F.max(c).alias(c) for c in ("place", "its_place", "upto", "its_upto")]
-    )
+    first = F.col("place") <= F.col("n") - needed + 1
+    heavy = F.col("upto") - F.col("part") <= 1 - threshold + 1e-9
+    # What only one node has meets nobody. Without repeats on either side J_P is the plain similarity.
+    starts = ranked.where(among & (first | heavy)).withColumns({"first": first, "heavy": heavy, "repeats": F.col("weight") > F.col("n")})
+    starts = cut_lineage(starts.select("id", "item", "place", "n", "label", "part", "upto", "first", "heavy", "repeats"))
+    one = _meet(starts, minor, "id").select("item", F.col("id").alias("one"), *[F.col(c).alias(f"its_{c}") for c in ("place", "n", "label", "part", "upto", "first", "heavy", "repeats")])
+    one = cut_lineage(one)
+
+    def met(part: str, alike) -> DataFrame:
+        return _meet(starts.where(part), one.where(f"its_{part}"), "item").where("label <> its_label").where(alike)
+
     # What they share up to the last place they meet in, and at most all that is after it.
-    best = F.col("shared") + F.least(F.col("n") - F.col("place"), F.col("its_n") - F.col("its_place"))
-    plain = (F.least("n", "its_n") >= F.greatest("n", "its_n") * threshold - 1e-9) & (best >= (F.col("n") + F.col("its_n")) * (threshold / (1 + threshold)) - 1e-9)
-    weighted = F.col("both") + F.least(1 - F.col("upto"), 1 - F.col("its_upto")) >= threshold - 1e-9
-    return shared.where(plain | weighted).select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
+    plain = met("first", F.least("n", "its_n") >= F.greatest("n", "its_n") * threshold - 1e-9)
+    plain = plain.groupBy("one", "id", "n", "its_n").agg(F.count(F.lit(1)).alias("shared"), F.max("place").alias("last"), F.max("its_place").alias("its_last"))
+    best = F.col("shared") + F.least(F.col("n") - F.col("last"), F.col("its_n") - F.col("its_last"))
+    plain = plain.where(best >= (F.col("n") + F.col("its_n")) * (threshold / (1 + threshold)) - 1e-9)
+    weighted = met("heavy", F.col("repeats") | F.col("its_repeats"))
+    weighted = weighted.groupBy("one", "id").agg(F.sum(F.least("part", "its_part")).alias("both"), F.max("upto").alias("last"), F.max("its_upto").alias("its_last"))
+    weighted = weighted.where(F.col("both") + F.least(1 - F.col("last"), 1 - F.col("its_last")) >= threshold - 1e-9)
+    shared = plain.select("one", "id").unionByName(weighted.select("one", "id"))
+    return shared.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
