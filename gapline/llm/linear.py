@@ -98,7 +98,11 @@ def lbfgs(fun, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
 
 
 def fit(rows: Rows, target: np.ndarray, weight: np.ndarray, keep: int = 4096, least_rows: int = 5, penalty: float = 1.0, steps: int = 60) -> Model:
-    """Logistic regression on targets in [0, 1], over the features most unlike the base rate."""
+    """Logistic regression on targets in [0, 1].
+
+    It has weights for at most ``keep`` features, those of at least ``least_rows`` rows that
+    are most unlike the base rate; the others weigh 0.
+    """
     owner = rows.owner()
     total_weight = weight.sum()
     base = float(np.clip((weight @ target) / total_weight, 1e-6, 1 - 1e-6)) if total_weight else 0.5

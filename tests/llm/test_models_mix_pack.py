@@ -58,6 +58,63 @@ def test_toxicity_chain_on_held_out_documents(spark, edge_docs):
     assert edges.count() == edge_docs.count() and not edges.where("toxic_flag").count()
 
 
+def test_chain_feed_is_out_of_fold(spark, monkeypatch):
+    """Every later model sees, for each row, the score of a model that row did not train."""
+    calls, real = [], toxicity.fit
+
+    def spy(rows, target, weight, **how):
+        model = real(rows, target, weight, **how)
+        calls.append((rows, target, weight, model))
+        return model
+
+    monkeypatch.setattr(toxicity, "fit", spy)
+    rows = toxic_docs(120, seed=9)
+    docs = docs_of(spark, [r[:2] for r in rows])
+    labels = spark.createDataFrame([(i, int(b)) for i, _, b in rows], "doc_id long, toxic int")
+    toxicity.train_chain(docs, labels, folds=3)
+    assert len(calls) == 3 * 4
+    everything = calls[3][0]
+    fold = np.arange(len(everything)) % 3
+    want = []
+    for stage in range(3):
+        parts, (seen, target, weight, _) = calls[4 * stage : 4 * stage + 3], calls[4 * stage + 3]
+        assert seen.dense.shape[1] == stage
+        assert all(np.array_equal(seen.dense[:, k], want[k]) for k in range(stage))
+        out = np.zeros(len(everything))
+        for f, (train, *_) in enumerate(parts):
+            mine = np.flatnonzero(fold != f)
+            assert len(train) == len(mine) and np.array_equal(train.dense, seen.dense[mine])
+            held = np.flatnonzero(fold == f)
+            out[held] = real(seen.pick(mine), target[mine], weight[mine]).predict(seen.pick(held))
+        want.append(out)
+    # The kinds share out the toxic rows.
+    assert np.array_equal(calls[3][1] + calls[7][1], calls[11][1])
+
+
+def test_kinds_follow_what_toxic_rows_share():
+    rng, label, kind, cut, index = random.Random(4), [], [], [0], []
+    for i in range(300):
+        bad = i % 3 == 0
+        kind.append((0 if i % 5 else 1) if bad else -1)
+        own = {1000 + rng.randrange(400) for _ in range(20)}
+        own |= {10 + kind[-1] * 10 + rng.randrange(6) for _ in range(4)} if bad else set()
+        index += sorted(own)
+        cut.append(len(index))
+        label.append(int(bad))
+    rows = Rows(np.array(cut), np.array(index), np.ones(len(index)), np.zeros((300, 0)))
+    got = toxicity.toxic_kinds(rows, np.array(label, float), np.ones(300))
+    assert np.array_equal(got, kind)
+    assert set(toxicity.toxic_kinds(rows, np.zeros(300), np.ones(300))) == {-1}
+    assert set(toxicity.toxic_kinds(rows, np.ones(300), np.ones(300))) == {0}
+
+
+def test_features_of_a_training_row_are_bounded():
+    index = np.arange(0, 5000, 5)
+    few = toxicity._fewer(index, 100)
+    assert len(few) == 100 and set(few) <= set(index) and np.array_equal(few, np.sort(few))
+    assert np.array_equal(toxicity._fewer(index, 1000), index)
+
+
 def test_training_samples_with_repeated_rows(spark, monkeypatch):
     """A hot repeated row is one row of a sample, with its copies as weight."""
     seen = []
