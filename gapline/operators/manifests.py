@@ -48,7 +48,7 @@ def unique_names(df: DataFrame, name: str, url: str) -> DataFrame:
 def assert_unique(df: DataFrame, name: str = "local_filename") -> DataFrame:
     clash = name_counts(df, name).filter("n_same_name > 1").orderBy(name).first()
     if clash:
-        raise RuntimeError(f"two files would have the name {clash[0]}")
+        raise RuntimeError(f"the local name {clash[0]} stands for two files or more")
     return df
 
 

@@ -43,7 +43,7 @@ _TREE_PARAMS = set(PRODUCTION_PARAMS) | {"min_info_gain"}
 KNOWN_PARAMS = {
     "xgb_classifier": _TREE_PARAMS,
     "xgb_regressor": _TREE_PARAMS - {"scale_pos_weight"},
-    "logistic_regression": {"C", "max_iter"},
+    "logistic_regression": {"C", "max_iter", "tol"},
     "linear_regression": set(),
 }
 
@@ -86,7 +86,7 @@ class ModelSpec:
             # loss, on raw features; Spark's is the mean loss plus the penalty.
             penalty = 1.0 / (float(p.get("C", 1.0)) * n_rows)
             return LogisticRegression(
-                labelCol=label, maxIter=p.get("max_iter", 100), regParam=penalty, standardization=False
+                labelCol=label, maxIter=p.get("max_iter", 100), tol=p.get("tol", 1e-6), regParam=penalty, standardization=False
             )
         return LinearRegression(labelCol=label, regParam=0.0)
 
@@ -205,7 +205,7 @@ def validation_rows(oof: DataFrame) -> DataFrame:
     """Rows a fold validated, scores as numbers; an error when there are none."""
     rows = oof.filter(F.col("oof_is_validation") == 1).withColumn("policy_score", S.as_number(oof, "oof_score"))
     if rows.isEmpty():
-        raise ValueError("OOF predictions contain no validation rows")
+        raise ValueError("no row was validated, so there is no score to use")
     return rows
 
 

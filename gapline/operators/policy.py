@@ -62,7 +62,7 @@ POLICIES = {
 
 def _objective(kind: str):
     if kind not in OBJECTIVES:
-        raise ValueError(f"Unsupported objective_kind: {kind}")
+        raise ValueError(f"no objective has the name {kind}")
     return OBJECTIVES[kind]
 
 

@@ -13,7 +13,7 @@ from gapline.operators import manifests as M
 from gapline.operators import players as P
 from gapline.plans import fixtures as X
 from gapline.plans.fixtures import micros, r6, table
-from gapline.runtime import scratch_path
+from gapline.runtime import cut_lineage, scratch_path
 from gapline.sources import catalog as C
 from gapline.sources import scan, sinks
 
@@ -140,14 +140,17 @@ def a5(spark, sf) -> DataFrame:
     "A6_alias_catalog",
     """SELECT 'events.parquet' AS source_file, event_id AS game_id, 'u' || user_id AS white_player,
        event_type AS black_player, value AS white_elo, CAST(NULL AS DOUBLE) AS black_elo, event_type AS winner,
-       CAST(NULL AS VARCHAR) AS victory_status, CAST(NULL AS VARCHAR) AS speed, props AS opening,
+       CAST(NULL AS VARCHAR) AS victory_status, event_id % 2 = 0 AS rated, strftime(ts, '%Y.%m.%d') AS utc_date,
+       CAST(NULL AS VARCHAR) AS speed, props AS opening,
        event_type || props AS moves, CAST(length(event_type || props) AS BIGINT) AS moves_text_len,
        (epoch_us(ts) // 1000) AS created_at, CAST(NULL AS BIGINT) AS last_move_at FROM events""",
 )
 def a6(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events")
+    e = table(X.use_utc(spark), sf, "events")
     raw = e.select(
         F.col("event_id").alias("gameId"),
+        (F.col("event_id") % 2 == 0).alias("rated"),
+        F.date_format("ts", "yyyy.MM.dd").alias("UTCDate"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("whiteName"),
         F.col("event_type").alias("black_name"),
         F.col("value").alias("white_rating"),
@@ -157,7 +160,7 @@ def a6(spark, sf) -> DataFrame:
         F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at_ms"),
         scan.file_name(F.col("_metadata.file_path")).alias("filename"),
     )
-    return C.resolve_aliases(raw).drop("rated", "utc_date")
+    return C.resolve_aliases(raw)
 
 
 @query(
@@ -673,16 +676,23 @@ _STREAM_SESSIONS_SQL = """WITH e AS (SELECT 'u' || user_id AS player, (epoch_us(
 
 @query("M2_stream_session_totals", _STREAM_SESSIONS_SQL)
 def m2_stream(spark, sf) -> DataFrame:
-    """Sessions that the stream closed, and from the batch form those open at its end."""
+    """Sessions that the stream closed, and those still open in its state at the end.
+
+    The feed comes in slices of time, a slice a batch; every 17th row comes a slice late.
+    """
     from gapline.streaming import games as G
 
     base = scratch_path(spark, "sessions")
-    # Files in time order, as a feed delivers them.
-    e = _event_games(spark, sf).withColumn("at", F.timestamp_millis("createdAt"))
-    e.repartitionByRange("at").sortWithinPartitions("at").drop("at").write.json(f"{base}/in")
-    stream = G.game_stream(spark, f"{base}/in", EVENT_SCHEMA, files_per_batch=1000)
+    e = cut_lineage(_event_games(X.use_utc(spark), sf))
+    low, high = e.agg(F.min("createdAt"), F.max("createdAt")).first()
+    step = (high - low) // 4 + 1
+    late = (F.col("id").cast("long") % 17 == 0).cast("long")
+    for turn in range(5):
+        arrived = F.floor((F.col("createdAt") - low) / step) + late == turn
+        e.filter(arrived).repartition(2).write.mode("append").json(f"{base}/in")
+    stream = G.game_stream(spark, f"{base}/in", EVENT_SCHEMA, files_per_batch=2)
     stream = stream.withColumn("at", F.timestamp_millis("createdAt"))
-    totals = G.session_totals(stream, "player", "at", "delta", "12 hours", delay="1 minute")
+    totals = G.session_totals(stream, "player", "at", "delta", "12 hours", delay=f"{2 * step // 1000 + 1} seconds")
     (
         totals.writeStream.format("parquet")
         .option("path", f"{base}/out")
@@ -693,9 +703,7 @@ def m2_stream(spark, sf) -> DataFrame:
         .awaitTermination()
     )
     closed = spark.read.schema(totals.schema).parquet(f"{base}/out")
-    every = G.session_totals(e, "player", "at", "delta", "12 hours")
-    mark = e.agg((F.max("at") - F.expr("INTERVAL 1 MINUTE")).alias("mark"))
-    still = every.join(F.broadcast(mark), F.col("last_start") + F.expr("INTERVAL 12 HOURS") > F.col("mark")).drop("mark")
+    still = G.open_sessions(spark, f"{base}/checkpoint", "player")
     return closed.unionByName(still).select(
         "player",
         F.unix_millis("session_start").alias("session_start_ms"),

@@ -763,12 +763,12 @@ def k3_one(spark, sf) -> DataFrame:
 
 @query(
     "K4_logistic_regression_two_rates",
-    X.with_history(f"SELECT game_id, round(avg(CAST(target AS DOUBLE)) {_GROUP}, 3) AS policy_score FROM feat"),
+    X.with_history(f"SELECT game_id, round(avg(CAST(target AS DOUBLE)) {_GROUP}, 6) + 0.0 AS policy_score FROM feat"),
 )
 def k4_rates(spark, sf) -> DataFrame:
     """Without a penalty and with one 0/1 feature, the scores are two class rates."""
-    out = _two_groups(spark, sf, "peak_binary", "logistic_regression", {"C": 1e9})
-    return out.select("game_id", F.round("policy_score", 3).alias("policy_score"))
+    out = _two_groups(spark, sf, "peak_binary", "logistic_regression", {"C": 1e12, "tol": 1e-10})
+    return sel(out, "game_id", "policy_score")
 
 
 @query(
@@ -1080,6 +1080,28 @@ def j8_run(spark, sf) -> DataFrame:
     return summary
 
 
+@query(
+    "J8_production_run_invariants",
+    X.with_documents(
+        f"""SELECT count(*) AS n_rows, {len(MODEL_FEATURES)} AS n_features, 5 AS n_folds, TRUE AS mean_agrees,
+            TRUE AS std_agrees, TRUE AS aucs_in_range FROM feat"""
+    ),
+)
+def j8_invariants(spark, sf) -> DataFrame:
+    """What holds for the summary whatever the trees: its sizes, and figures that follow from others."""
+    aucs = F.col("cv_auc_scores")
+    mean = F.aggregate(aucs, F.lit(0.0), lambda a, x: a + x) / F.size(aucs)
+    square = F.aggregate(aucs, F.lit(0.0), lambda a, x: a + (x - F.col("cv_auc_mean")) ** 2) / F.size(aucs)
+    return j8_run(spark, sf).select(
+        F.col("rows").alias("n_rows"),
+        F.size("features").alias("n_features"),
+        F.size(aucs).alias("n_folds"),
+        (F.abs(mean - F.col("cv_auc_mean")) < 1e-9).alias("mean_agrees"),
+        (F.abs(F.sqrt(square) - F.col("cv_auc_std")) < 1e-9).alias("std_agrees"),
+        F.forall(aucs, lambda x: x.between(0, 1)).alias("aucs_in_range"),
+    )
+
+
 # ------------------------------------------------------------------- reports
 REPORT_COLUMNS = ["my_acpl", "my_avg_secs_per_move", "result", "rating_diff", "time_gap_ms"]
 
@@ -1225,17 +1247,32 @@ def _run_rows(spark, sf) -> dict[str, DataFrame]:
     }
 
 
-@query(
-    "L4_run_comparison",
-    f"""WITH {X.SCORED_SQL}, m AS (SELECT avg(abs(value * 0.5)) AS mae, sqrt(avg(value * value * 0.25)) AS rmse,
+_RUNS_SQL = f"""WITH {X.SCORED_SQL}, m AS (SELECT avg(abs(value * 0.5)) AS mae, sqrt(avg(value * value * 0.25)) AS rmse,
           1 - sum(value * value * 0.25) / (var_pop(value) * count(*)) AS r2 FROM events),
         a AS (SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*) AS roc_auc
           FROM scored a, scored b WHERE a.label = 1 AND b.label = 0),
         f AS (SELECT 2.0 * count(*) FILTER (score >= 0.5 AND label = 1) / (2 * count(*) FILTER (score >= 0.5 AND label = 1)
           + count(*) FILTER (score >= 0.5 AND label = 0) + count(*) FILTER (score < 0.5 AND label = 1)) AS f1 FROM scored)
         SELECT 'classifier' AS run, {q('roc_auc', 'f1')}, NULL AS mae, NULL AS rmse, NULL AS r2 FROM a, f
-        UNION ALL SELECT 'regressor', NULL, NULL, {q('mae', 'rmse', 'r2')} FROM m""",
-)
+        UNION ALL SELECT 'regressor', NULL, NULL, {q('mae', 'rmse', 'r2')} FROM m"""
+
+
+@query("L4_runs_from_folders", _RUNS_SQL)
+def l4_folders(spark, sf) -> DataFrame:
+    """The metrics of two run folders, written as runs write them, compared from the files."""
+    from gapline.plans.lab import read_runs
+    from gapline.runtime import scratch_path
+    from gapline.sources import sinks
+
+    base = scratch_path(spark, "runs")
+    for name, row in _run_rows(spark, sf).items():
+        metrics = K.fold_summary(row.withColumn("fold", F.lit(1)), [c for c in row.columns if c != "fold"])
+        sinks.write_manifest(metrics, f"{base}/{name}/metrics")
+    runs = {name: f"{base}/{name}" for name in ("classifier", "regressor")}
+    return sel(read_runs(spark, runs), "run", "roc_auc f1 mae rmse r2")
+
+
+@query("L4_run_comparison", _RUNS_SQL)
 def l4(spark, sf) -> DataFrame:
     return sel(R.compare_runs(_run_rows(spark, sf)), "run", "roc_auc f1 mae rmse r2")
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyarrow import fs as arrow_fs
 
 from gapline.schemas import GAME
 
@@ -45,10 +49,22 @@ def list_parquet(spark: SparkSession, dirs: Iterable[str] = (), globs: Iterable[
 
 
 def _widest(types: list[T.DataType]) -> T.DataType:
-    """A type that holds the values of all; text where there is none."""
+    """A type that holds the values of all; text where there is none.
+
+    Structs unite their fields by name, arrays and maps their parts.
+    """
     kinds = {type(t) for t in types}
     if all(t == types[0] for t in types):
         return types[0]
+    if kinds == {T.StructType}:
+        fields: dict[str, list[T.DataType]] = {}
+        for field in (f for t in types for f in t.fields):
+            fields.setdefault(field.name, []).append(field.dataType)
+        return T.StructType([T.StructField(name, _widest(found)) for name, found in fields.items()])
+    if kinds == {T.ArrayType}:
+        return T.ArrayType(_widest([t.elementType for t in types]))
+    if kinds == {T.MapType}:
+        return T.MapType(_widest([t.keyType for t in types]), _widest([t.valueType for t in types]))
     if kinds <= set(_WHOLE):
         return max(types, key=lambda t: _WHOLE.index(type(t)))
     if kinds <= {*_WHOLE, T.DecimalType}:
@@ -63,11 +79,66 @@ def _widest(types: list[T.DataType]) -> T.DataType:
     return T.StringType()
 
 
+def _conform(value: Column, have: T.DataType, want: T.DataType) -> Column:
+    """The value in the wider type; fields that a struct lacks are null."""
+    if have == want:
+        return value
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        mine = {f.name: f.dataType for f in have.fields}
+        fields = [
+            (_conform(value.getField(f.name), mine[f.name], f.dataType) if f.name in mine else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in want.fields
+        ]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return F.transform(value, lambda x: _conform(x, have.elementType, want.elementType))
+    if isinstance(have, T.MapType) and isinstance(want, T.MapType):
+        entry = lambda e: F.struct(
+            _conform(e["key"], have.keyType, want.keyType).alias("key"), _conform(e["value"], have.valueType, want.valueType).alias("value")
+        )
+        return F.map_from_entries(F.transform(F.map_entries(value), entry))
+    return value.cast(want)
+
+
+def _footer_keys(batches):
+    """Task: a hash of each file's schema; null where pyarrow has no way to the file."""
+    for batch in batches:
+        keys = []
+        for path in batch.column(0).to_pylist():
+            try:
+                store, inner = arrow_fs.FileSystem.from_uri(path)
+                with store.open_input_file(inner) as source:
+                    footer = pq.ParquetFile(source)
+                    own = (footer.metadata.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
+                    keys.append(hashlib.md5(str(footer.schema).split("\n", 1)[1].encode() + own).hexdigest())
+            except (OSError, pa.ArrowException):
+                keys.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], ["path", "key"])
+
+
+def _by_schema(spark: SparkSession, files: list[str]) -> list[list[str]]:
+    """Files of one schema together, from one job over the footers; unread ones stand alone."""
+    tasks = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+    paths = spark.createDataFrame([(f,) for f in files], "path string").repartition(tasks)
+    found: dict[str, list[str]] = {}
+    for row in paths.mapInArrow(_footer_keys, "path string, key string").orderBy("path").collect():
+        found.setdefault(row["key"] or row["path"], []).append(row["path"])
+    return list(found.values())
+
+
+def _merged(spark: SparkSession, files: list[str]) -> list[tuple[list[str], T.StructType]]:
+    """Runs of files whose schemas merge: one job where all do, else one file of each schema decides."""
+    try:
+        return [(files, spark.read.option("mergeSchema", True).parquet(*files).schema)]
+    except (PySparkException, Py4JJavaError):
+        alike = {same[0]: same for same in _by_schema(spark, files)}
+    return [([f for first in run for f in alike[first]], schema) for run, schema in _mergeable(spark, list(alike))]
+
+
 def _mergeable(spark: SparkSession, files: list[str]) -> list[tuple[list[str], T.StructType]]:
     """Runs of files whose schemas merge, found by halving where a merge fails.
 
-    Spark merges the footers of a run in one parallel job, so agreeing files cost a
-    single job however many there are.
+    The files differ in schema, so the jobs grow with the schemas, not with the files.
     """
     try:
         return [(files, spark.read.option("mergeSchema", True).parquet(*files).schema)]
@@ -82,10 +153,11 @@ def scan_parquet(spark: SparkSession, dirs: Iterable[str] = (), globs: Iterable[
     """All files as one frame, columns united by name, source path in ``filename``.
 
     Files whose schemas merge share one scan. Where a column's type differs, the
-    narrower one is cast, which a merged-schema read refuses to do.
+    narrower one is cast, which a merged-schema read refuses to do; structs, arrays and
+    maps are united part by part.
     """
     groups: dict[str, tuple[list[str], T.StructType]] = {}
-    for files, schema in _mergeable(spark, list_parquet(spark, dirs, globs)):
+    for files, schema in _merged(spark, list_parquet(spark, dirs, globs)):
         groups.setdefault(schema.json(), ([], schema))[0].extend(files)
     seen: dict[str, list[T.DataType]] = {}
     for _, schema in groups.values():
@@ -94,7 +166,7 @@ def scan_parquet(spark: SparkSession, dirs: Iterable[str] = (), globs: Iterable[
     target = {name: _widest(types) for name, types in seen.items()}
     frames = []
     for files, schema in groups.values():
-        cols = [F.col(f"`{f.name}`").cast(target[f.name]).alias(f.name) for f in schema.fields]
+        cols = [_conform(F.col(f"`{f.name}`"), f.dataType, target[f.name]).alias(f.name) for f in schema.fields]
         rows = spark.read.schema(schema).parquet(*files)
         frames.append(rows.select(*cols, F.col("_metadata.file_path").alias(SOURCE_FILE)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

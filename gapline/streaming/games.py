@@ -67,3 +67,19 @@ def session_totals(
         .agg(F.count(F.lit(1)).alias("n_games"), F.sum(delta).alias("session_pl"), F.max(time).alias("last_start"))
         .select(player, F.col("session.start").alias("session_start"), "last_start", "n_games", "session_pl")
     )
+
+
+def open_sessions(spark: SparkSession, checkpoint: str, player: str) -> DataFrame:
+    """Sessions that a stream of ``session_totals`` still holds, read from its state.
+
+    The state is that of the last finished batch, so with the stream's output it is
+    every session once.
+    """
+    state = spark.read.format("statestore").load(checkpoint).select("value.*")
+    return state.select(
+        player,
+        F.col("session_window.start").alias("session_start"),
+        F.col("max").alias("last_start"),
+        F.col("count").alias("n_games"),
+        F.col("sum").alias("session_pl"),
+    )

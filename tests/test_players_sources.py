@@ -62,6 +62,20 @@ def test_rank_and_top_k_agree(spark):
     assert counts[None] == (80, 14) and counts[1000][1] == 7
 
 
+def test_scan_unites_alternating_schemas_and_nested_columns(spark, tmp_path, monkeypatch):
+    """Files of two schemas in turn: the schemas decide the number of merges, not the files."""
+    one = "named_struct('a', int(id), 'same', 'x') AS s, array(named_struct('n', int(id))) AS l, map('k', int(id)) AS m"
+    two = "named_struct('a', id, 'b', 1.5D) AS s, array(named_struct('n', id, 'o', true)) AS l, map('k', id) AS m"
+    for i in range(8):
+        spark.sql(f"SELECT {one if i % 2 else two} FROM range({i}, {i + 1})").coalesce(1).write.parquet(f"{tmp_path}/deep/{i}")
+    tried, real = [], scan._mergeable
+    monkeypatch.setattr(scan, "_mergeable", lambda s, files: tried.append(len(files)) or real(s, files))
+    df = scan.scan_parquet(spark, dirs=[f"{tmp_path}/deep"])
+    assert tried[0] == 2
+    got = sorted((r.s.a, r.s.b, r.s.same, r.l[0].n, r.l[0].o, r.m["k"]) for r in df.collect())
+    assert got == [(i, None, "x", i, None, i) if i % 2 else (i, 1.5, None, i, True, i) for i in range(8)]
+
+
 def test_scan_widens_and_unites(spark, tmp_path):
     spark.range(3).select(F.col("id").cast("int").alias("k"), F.lit("x").alias("only_a")).write.parquet(f"{tmp_path}/a")
     spark.range(2).select(F.col("id").alias("k"), F.lit(1.5).alias("only_b")).write.parquet(f"{tmp_path}/deep/b")
