@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 DIM = 1 << 18
+# Entries handled at once, so that what a fit holds beside its rows does not grow with them.
+BLOCK = 1 << 19
 
 
 @dataclass
@@ -25,10 +27,12 @@ class Rows:
         return len(self.cut) - 1
 
     def pick(self, rows: np.ndarray) -> "Rows":
-        sizes = np.diff(self.cut)[rows]
-        cut = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.cut[rows] - cut[:-1], sizes) + np.arange(cut[-1])
-        return Rows(cut, self.index[at], self.value[at], self.dense[rows])
+        cut = np.concatenate([[0], np.cumsum(np.diff(self.cut)[rows])]).astype(np.int64)
+        index, value = np.empty(cut[-1], self.index.dtype), np.empty(cut[-1], self.value.dtype)
+        for place, row in enumerate(rows):
+            to, of = slice(cut[place], cut[place + 1]), slice(self.cut[row], self.cut[row + 1])
+            index[to], value[to] = self.index[of], self.value[of]
+        return Rows(cut, index, value, self.dense[rows])
 
     def with_dense(self, *columns: np.ndarray) -> "Rows":
         return Rows(self.cut, self.index, self.value, np.column_stack([self.dense, *columns]) if columns else self.dense)
@@ -36,6 +40,26 @@ class Rows:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.cut))
 
+    def blocks(self):
+        """(first row, row after the last) of runs with about BLOCK entries each."""
+        edges = np.unique(np.append(np.searchsorted(self.cut, np.arange(0, self.cut[-1], BLOCK)), [0, len(self)]))
+        return zip(edges[:-1].tolist(), edges[1:].tolist())
+
+    def totals(self, weight: np.ndarray) -> np.ndarray:
+        """Per feature the sum of its values, each times the weight of its row."""
+        out = np.zeros(DIM)
+        for a, b in self.blocks():
+            part = slice(self.cut[a], self.cut[b])
+            out += np.bincount(self.index[part], weights=np.repeat(weight[a:b], np.diff(self.cut[a : b + 1])) * self.value[part], minlength=DIM)
+        return out
+
+    def seen(self) -> np.ndarray:
+        """Per feature the rows that have it."""
+        out = np.zeros(DIM, np.int64)
+        for at in range(0, len(self.index), BLOCK):
+            out += np.bincount(self.index[at : at + BLOCK], minlength=DIM)
+        return out
+
 
 @dataclass
 class Model:
@@ -103,33 +127,39 @@ def fit(rows: Rows, target: np.ndarray, weight: np.ndarray, keep: int = 4096, le
     It has weights for at most ``keep`` features, those of at least ``least_rows`` rows that
     are most unlike the base rate; the others weigh 0.
     """
-    owner = rows.owner()
     total_weight = weight.sum()
     base = float(np.clip((weight @ target) / total_weight, 1e-6, 1 - 1e-6)) if total_weight else 0.5
     all_w = np.zeros(DIM)
     if len(rows) == 0 or min(target.max(), 1 - target.min()) <= 0 or target.max() == target.min():
         return Model(all_w, np.zeros(rows.dense.shape[1]), float(np.log(base / (1 - base))))
-    seen = np.bincount(rows.index, minlength=DIM)
-    mass = np.bincount(rows.index, weights=(weight * rows_norm(rows))[owner] * rows.value, minlength=DIM)
-    hits = np.bincount(rows.index, weights=(weight * rows_norm(rows) * target)[owner] * rows.value, minlength=DIM)
+    even = weight * rows_norm(rows)
+    mass, hits = rows.totals(even), rows.totals(even * target)
     odd = np.abs(hits - base * mass) / np.sqrt(base * (1 - base) * mass + 1e-3)
-    odd[seen < least_rows] = -1
+    odd[rows.seen() < least_rows] = -1
     chosen = np.argsort(-odd, kind="stable")[:keep]
     chosen = chosen[odd[chosen] > 0]
-    place = np.full(DIM, -1)
+    place = np.full(DIM, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    col = place[rows.index]
-    use = col >= 0
-    col, row, val = col[use], owner[use], rows.value[use]
+    kept = []  # (column, row, value) of the chosen features, block by block
+    for a, b in rows.blocks():
+        part = slice(rows.cut[a], rows.cut[b])
+        col = place[rows.index[part]]
+        use = col >= 0
+        kept.append((col[use], np.repeat(np.arange(a, b, dtype=np.int32), np.diff(rows.cut[a : b + 1]))[use], rows.value[part][use]))
     k, d = len(chosen), rows.dense.shape[1]
     scale = 1.0 / max(1.0, total_weight)
 
     def loss(x):
         w, v, b = x[:k], x[k : k + d], x[-1]
-        z = np.bincount(row, weights=w[col] * val, minlength=len(rows)) + rows.dense @ v + b
+        z = rows.dense @ v + b
+        for col, row, val in kept:
+            z += np.bincount(row, weights=w[col] * val, minlength=len(rows))
         err = weight * (sigmoid(z) - target)
         value = (weight @ (np.logaddexp(0, z) - target * z) + 0.5 * penalty * (w @ w + v @ v)) * scale
-        grad = np.concatenate([np.bincount(col, weights=err[row] * val, minlength=k) + penalty * w, rows.dense.T @ err + penalty * v, [err.sum()]])
+        grad = penalty * w
+        for col, row, val in kept:
+            grad += np.bincount(col, weights=err[row] * val, minlength=k)
+        grad = np.concatenate([grad, rows.dense.T @ err + penalty * v, [err.sum()]])
         return value, grad * scale
 
     start = np.zeros(k + d + 1)

@@ -66,13 +66,12 @@ def toxic_kinds(rows: Rows, label: np.ndarray, weight: np.ndarray, kinds: int =
     """
     kind = np.where(label == 1, 0, -1)
     bad = np.flatnonzero(label == 1)
-    owner = rows.owner()
     total = np.array([weight[label == v].sum() for v in (0, 1)])
     if not len(bad) or not total[0]:
         return kind
-    clean, toxic = (np.bincount(rows.index[label[owner] == v], weights=weight[owner[label[owner] == v]], minlength=DIM) for v in (0, 1))
+    clean, toxic = (rows.totals(weight * (label == v)) for v in (0, 1))
     lift = np.log((toxic + 0.5) / (total[1] + 1)) - np.log((clean + 0.5) / (total[0] + 1))
-    lift[(lift <= 0) | (np.bincount(rows.index, minlength=DIM) < least_rows)] = 0
+    lift[(lift <= 0) | (rows.seen() < least_rows)] = 0
     few = rows.pick(bad)
     who, value = few.owner(), lift[few.index]
     used, col = np.unique(few.index[value > 0], return_inverse=True)
@@ -143,20 +142,21 @@ def train_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     index = [np.frombuffer(r["features"], np.int32) for r in got]
     cut = np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int64)
     flat = np.concatenate(index) if index else np.zeros(0, np.int32)
-    rows = Rows(cut, flat, np.ones(len(flat), np.float32), np.zeros((len(got), 0)))
+    rows = Rows(cut, flat, np.ones(len(flat), np.int8), np.zeros((len(got), 0)))
     label = np.array([r["label"] for r in got], np.float64)
     weight = np.array([r["copies"] for r in got], np.float64)
+    fold = np.arange(len(got)) % folds
+    del got, index  # the rows hold their own copy
     for v in (0, 1):
         mine = label == v
         if mine.any():
             weight[mine] *= max(1.0, totals[v] / weight[mine].sum())
-    fold = np.arange(len(got)) % folds
     kind = toxic_kinds(rows, label, weight)
     models, held = [], []
     for place in range(len(CHAIN)):
         target = (kind == place).astype(np.float64) if place < KINDS else label
         seen = rows.with_dense(*held)
-        out = np.zeros(len(got))
+        out = np.zeros(len(rows))
         for f in range(folds):
             train, valid = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             if len(valid):
