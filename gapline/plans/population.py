@@ -666,6 +666,30 @@ def m1_any(spark, sf) -> DataFrame:
     return _ingested(spark, sf, False)
 
 
+@query("M1_continuous_distinct", _INGEST_SQL)
+def m1_continuous(spark, sf) -> DataFrame:
+    """The continuous form: overlapping deliveries, a batch each, the second within the delay of the first."""
+    from gapline.streaming import games as G
+
+    base = scratch_path(spark, "distinct")
+    e = cut_lineage(_event_games(X.use_utc(spark), sf))
+    low, high = e.agg(F.min("createdAt"), F.max("createdAt")).first()
+    for part, rest in (("a", 0), ("b", 1)):
+        e.filter(f"CAST(id AS BIGINT) % 2 = {rest} OR CAST(id AS BIGINT) % 3 = 0").repartition(2).write.json(f"{base}/in/{part}")
+    stream = G.game_stream(spark, f"{base}/in/*", EVENT_SCHEMA, files_per_batch=2)
+    stream = stream.withColumn("at", F.timestamp_millis("createdAt"))
+    once = G.distinct_games(stream, "id", "at", f"{(high - low) // 1000 + 1} seconds")
+    (
+        once.writeStream.format("parquet")
+        .option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.schema(once.schema).parquet(f"{base}/out").select("id", "player", "createdAt", "delta")
+
+
 _STREAM_SESSIONS_SQL = """WITH e AS (SELECT 'u' || user_id AS player, (epoch_us(ts) // 1000) AS ms, event_id % 13 - 6 AS delta FROM events),
   g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 43200000 THEN 0 ELSE 1 END AS opens FROM e
     WINDOW w AS (PARTITION BY player ORDER BY ms)),
