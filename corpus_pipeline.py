@@ -2,6 +2,15 @@
 
 STAGES are (name, function) pairs. A function takes (spark, docs, sf_dir) and returns the
 documents for the next stage with their columns; the last returns the packed pieces.
+
+Defined results, stage by stage (each operator's module says more):
+null and empty texts have no features and get the chain's base rate, are one text to the
+exact stage, near to nothing but each other, one token to the mix and a piece of length 0 to the
+packing. Null ids are scored and mixed like others; of rows with one text one stays, with the
+smallest id where there is one; the near stage keeps rows without an id. A null source is a
+source of its own. Repeated rows are exact copies. Very long texts are read whole. Empty
+documents give empty tables, empty labels reject nothing. Further columns, whatever their
+names, pass all stages but the last, whose columns are those of the pieces.
 """
 
 from __future__ import annotations
