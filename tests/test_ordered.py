@@ -98,3 +98,13 @@ def test_any_order_is_cut_evenly(spark, kind):
 def test_order_that_is_not_total_is_an_error(spark):
     with pytest.raises(ValueError, match="not total"):
         arrange(spark.range(500).select(F.lit(1).alias("k"), F.lit(2).alias("t")), ["k"], ["t"], max_rows=20)
+
+
+def test_a_low_bound_makes_no_more_tasks(spark):
+    """Parts follow the bound, tasks and files the rows."""
+    split = arrange(spread(spark, "text"), ["k"], ["t", "id"], max_rows=5)
+    sizes = split.df.filter("_part IS NOT NULL").groupBy("_part").count().agg(F.max("count"), F.count("count")).first()
+    assert sizes[0] == 5 and sizes[1] >= 900
+    assert len(split.df.inputFiles()) <= 4 and split.df.rdd.getNumPartitions() <= 32
+    plain = arrange(spread(spark, "text"), ["k"], ["t", "id"]).scan({"s": ("sum", "v"), "p": ("lag", "id")})
+    pd.testing.assert_frame_equal(rows(plain), rows(split.scan({"s": ("sum", "v"), "p": ("lag", "id")})), check_dtype=False)
