@@ -34,10 +34,13 @@ def experiment(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Out-of-fold frame, fold metrics, and their mean and deviation."""
     target = f"target__{kind}"
-    oof = ML.out_of_fold(rows, folds, features, target, kind, spec, group, key)
-    per_fold = ML.fold_metrics(oof, target, kind)
-    names = [c for c in per_fold.columns if c != "fold"]
-    return oof, per_fold, K.fold_summary(per_fold, names)
+    scored = ML.fold_scores(ML.fold_data(rows, folds, features, [target], group, key), target, spec, key)
+    return ML.with_scores(rows, scored, target, kind, key), *_metrics(scored, target, kind)
+
+
+def _metrics(scored: DataFrame, target: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    per_fold = ML.fold_metrics(scored, target, kind)
+    return per_fold, K.fold_summary(per_fold, [c for c in per_fold.columns if c != "fold"])
 
 
 def objective_matrix(
@@ -53,16 +56,20 @@ def objective_matrix(
 ) -> DataFrame:
     """Fold summaries of several objectives side by side, over the same rows and folds.
 
-    Objectives are fitted two at a time, the folds of each at once.
+    Objectives are fitted two at a time, the folds of each at once. All read one table of
+    vectors, and their metrics the scores alone.
     """
+    kinds = list(kinds)
     rows, folds = ML.fix_folds(df, group, time, n_splits, group_gap)
+    stored = ML.fold_data(rows, folds, features, [f"target__{kind}" for kind in kinds], group, key)
 
     def one(kind: str) -> DataFrame:
         spec = (specs or {}).get(kind) or default_spec(kind)
-        summary = experiment(rows, folds, kind, features, spec, group, key)[2]
+        scored = ML.fold_scores(stored, f"target__{kind}", spec, key)
+        summary = _metrics(scored, f"target__{kind}", kind)[1]
         return summary.select(F.lit(kind).alias("objective_kind"), "metric", "mean", "std")
 
-    return reduce(DataFrame.unionByName, ML.side_by_side(df.sparkSession, one, list(kinds), 2))
+    return reduce(DataFrame.unionByName, ML.side_by_side(df.sparkSession, one, kinds, 2))
 
 
 def write_run(
@@ -189,8 +196,8 @@ def production_run(
             group, "fold", F.when(F.col("fold") == F.col("_own"), "valid").otherwise("train").alias("role")
         )
     )
-    oof = ML.out_of_fold(rows, folds, features, target, "peak_binary", spec, group, key)
-    scored = oof.withColumn("fold", F.col("oof_fold").cast("int"))
+    scored = ML.fold_scores(ML.fold_data(rows, folds, features, [target], group, key), target, spec, key)
+    scored = scored.withColumn("fold", F.col("oof_fold").cast("int"))
     aucs = K.ranking_scores(scored, target, "oof_score", ["fold"]).select("fold", "roc_auc")
     model, fitted = ML.final_scores(rows, features, target, spec, "tilt_prob")
     choice = B.production_choice(B.production_search(fitted, [group], order, delta, "tilt_prob"))

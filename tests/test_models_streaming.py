@@ -46,6 +46,22 @@ def test_out_of_fold_is_complete_and_learns(spark):
     assert s.score_source == "oof_validation" and s.threshold_value == 0.6
 
 
+def test_objectives_share_one_table_of_vectors(spark, monkeypatch):
+    """Four objectives write the rows, the folds and the vectors once, and each its scores."""
+    written, cut = [], ML.cut_lineage
+    monkeypatch.setattr(ML, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    df = learnable(spark).withColumn("target__meaningful_upside_binary", F.col("target__peak_binary"))
+    kinds = ["peak_binary", "meaningful_upside_binary", "future_upside_regression"]
+    out = lab.objective_matrix(df, kinds, ["x", "z"], "sid", "created_at_ms", ["game_id"], n_splits=3)
+    got = {(r.objective_kind, r.metric): r["mean"] for r in out.collect()}
+    assert len(written) == 3 + len(kinds) and sum("_x" in names for names in written) == 1
+    rows, folds = ML.fix_folds(df, "sid", "created_at_ms", 3, 1)
+    for kind in kinds:
+        alone = lab.experiment(rows, folds, kind, ["x", "z"], lab.default_spec(kind), "sid", ["game_id"])[2]
+        for r in alone.collect():
+            assert got[kind, r.metric] == pytest.approx(r["mean"], rel=1e-9)
+
+
 @pytest.mark.parametrize(
     "kind, params, target",
     [
